@@ -27,7 +27,7 @@ class Entropy:
     A candidate is a run of 20 or more of [A-Za-z0-9+/_=-]; its class is hex (only hex digits, with a
     digit), mixed (a digit and a letter) or letters (no digit, and more than one change from lower to
     upper case). Windows of `window` characters whose Shannon entropy reaches the class's threshold
-    make spans; what an allow-list pattern matches anywhere in the candidate or right before it is left out.
+    make spans; a candidate in which an allow-list pattern is found is left out.
     """
 
     window: int = 20
@@ -89,11 +89,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def entropy_spans(text: str, settings: Entropy, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans of high entropy that no known span covers."""
-    allow = [re.compile(p) for p in settings.allow]
     found = []
     for m in CANDIDATE.finditer(text):
         kind = character_class(m[0])
-        if kind is None or any(p.search(m[0]) for p in allow):
+        if kind is None or any(re.search(p, m[0]) for p in settings.allow):
             continue
         for a, b in high_windows(m[0], settings.window, settings.thresholds[kind]):
             a, b = a + m.start(), b + m.start()

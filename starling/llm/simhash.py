@@ -46,16 +46,16 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """docs(doc_id, text, ...) -> the columns in `keep` (doc_id) and fp, a long; one row per row of docs."""
+def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
+    """docs(doc_id, text, ...) -> the columns in `keep` (doc_id) and the fingerprint, a long called `name`; one row per row of docs."""
     keep = keep or ["doc_id"]
     rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
-    schema = rows.select(*keep, F.lit(0).cast("long").alias("fp")).schema
+    schema = rows.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(len(keep))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made.view(np.int64))], names=[*keep, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made.view(np.int64))], names=[*keep, name])
 
     return rows.mapInArrow(run, schema)
 
@@ -88,7 +88,7 @@ def _within(fps: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]
             continue
         todo[root] = False
         frontier = [root]
-        while frontier:
+        while len(frontier):
             rest = np.flatnonzero(todo)
             if not len(rest):
                 break
@@ -210,9 +210,9 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     if not docs.filter("doc_id is null").limit(1).count():
         return kept
-    nameless = fingerprints(docs.filter("doc_id is null"), docs.columns, settings.get("shingle", 4), settings.get("seed", 42))
-    roots = found.filter("component_id is null").select("fp", "root").distinct().withColumnsRenamed({"fp": "__fp", "root": "__root"})
-    nameless = nameless.join(roots, nameless["fp"] == roots["__fp"]).dropDuplicates(["__root"]).select(docs.columns)
+    nameless = fingerprints(docs.filter("doc_id is null"), docs.columns, settings.get("shingle", 4), settings.get("seed", 42), "__simhash")
+    roots = found.filter("component_id is null").select("fp", "root").distinct().withColumnsRenamed({"fp": "__simhash", "root": "__root"})
+    nameless = nameless.join(roots, "__simhash").dropDuplicates(["__root"]).select(docs.columns)
     return kept.unionByName(nameless)
 
 
