@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import secret_scan, simhash
+from . import bpe, decontaminate, quality, secret_scan, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_secrets": secret_scan.op2_secrets,
+    "op4_quality": quality.op4_quality,
+    "op6_bpe": bpe.op6_bpe,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": decontaminate.ORACLE}
