@@ -126,7 +126,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     once; those without an item_id hit words but are neither counted nor listed. Repeated rows of docs have equal verdicts.
     """
     items = materialise(test_items(benchmark), "items")
-    places = materialise(anchors(items, term_counts(docs, items), width), "anchors")
+    counts = materialise(term_counts(docs, items), "term-counts")
+    places = materialise(anchors(items, _bounded(counts), width), "anchors")
     postings = materialise(index(docs, places.select("term").distinct(), width), "postings")
     runs = phrase_matches(postings.filter("term is not null"), places, width)
     before = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

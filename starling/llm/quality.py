@@ -22,6 +22,8 @@ BINS = 4000
 class Settings:
     """The forest is fitted on at most sample_rows labelled rows, those of least hash of doc_id.
 
+    It judges how far each rate of a text is outside the range of the middle normal_share of the sample's good rows.
+
     The threshold is the one of greatest recall of bad rows less loss of good rows, over all labelled rows
     that pass the base rules, among those that lose at most max_good_loss of the good rows.
     """
@@ -31,6 +33,7 @@ class Settings:
     subsample: int = 256
     seed: int = 42
     max_good_loss: float = 0.005
+    normal_share: float = 0.98
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -76,8 +79,8 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
     return (stats[:, 0] < 50) | (100 * stats[:, 4] > 50 * stats[:, 0])
 
 
-def features(stats: np.ndarray) -> np.ndarray:
-    """Rates by which the forest judges, free of a text's length."""
+def rates(stats: np.ndarray) -> np.ndarray:
+    """Rule statistics free of a text's length."""
     n, lines = np.maximum(stats[:, 0], 1), np.maximum(stats[:, 5], 1)
     return np.stack([stats[:, 1] / n, stats[:, 2] / n, stats[:, 3] / lines, stats[:, 4] / n], axis=1)
 
@@ -130,6 +133,23 @@ class IsolationForest:
         return 2.0 ** (-total / len(self.trees) / max(self._expected(self.subsample), 1e-9))
 
 
+class Judge:
+    """The normal range of each rate, and a forest over the distances outside it."""
+
+    def __init__(self, stats: np.ndarray, good: np.ndarray, settings: Settings):
+        found = rates(stats)
+        normal = found[good] if good.any() else found
+        edge = (1 - settings.normal_share) / 2
+        self.low, self.high = np.quantile(normal, [edge, 1 - edge], axis=0) if len(normal) else np.zeros((2, found.shape[1]))
+        self.forest = IsolationForest(self._outside(found), settings.trees, settings.subsample, settings.seed)
+
+    def _outside(self, found: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(found - self.high, self.low - found), 0.0)
+
+    def score(self, stats: np.ndarray) -> np.ndarray:
+        return self.forest.score(self._outside(rates(stats)))
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id and STATISTICS, a row for each row; a null text has zeros."""
 
@@ -147,21 +167,21 @@ def known_quality(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, settings: Settings) -> IsolationForest:
-    """The forest of a bounded sample of labelled rows."""
-    rows = stats.join(known_quality(labels), "doc_id").select(*STATISTICS, F.xxhash64(F.col("doc_id"), F.lit(settings.seed)).alias("h"))
+def fit(stats: DataFrame, labels: DataFrame, settings: Settings) -> Judge:
+    """The judge of a bounded sample of labelled rows."""
+    rows = stats.join(known_quality(labels), "doc_id").select(*STATISTICS, "quality", F.xxhash64(F.col("doc_id"), F.lit(settings.seed)).alias("h"))
     sample = rows.orderBy("h", *STATISTICS).limit(settings.sample_rows).toPandas()
-    return IsolationForest(features(sample[STATISTICS].to_numpy(dtype=np.int64)), settings.trees, settings.subsample, settings.seed)
+    return Judge(sample[STATISTICS].to_numpy(dtype=np.int64), sample.quality.to_numpy(dtype=np.int64) > 0, settings)
 
 
-def scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
+def scored(stats: DataFrame, model: Judge) -> DataFrame:
     """stats with base_failed and the forest's score."""
-    shared = stats.sparkSession.sparkContext.broadcast(forest)
+    shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(i).to_numpy() for i in range(1, 7)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(x)), pa.array(shared.value.score(features(x)))], names=[*batch.schema.names, "base_failed", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(x)), pa.array(shared.value.score(x))], names=[*batch.schema.names, "base_failed", "score"])
 
     return stats.mapInArrow(run, stats.select("*", F.lit(True).alias("base_failed"), F.lit(0.0).alias("score")).schema)
 
@@ -181,12 +201,12 @@ def calibrate(scores: DataFrame, labels: DataFrame, settings: Settings) -> float
     return best / BINS if gain[best] > 0 else 2.0
 
 
-def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, IsolationForest, float]:
-    """The scores of docs, the forest and the threshold."""
+def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, Judge, float]:
+    """The scores of docs, the judge and the threshold."""
     stats = materialise(measure(docs), "statistics")
-    forest = fit(stats, labels, settings)
-    scores = materialise(scored(stats, forest), "scores")
-    return scores, forest, calibrate(scores, labels, settings)
+    model = fit(stats, labels, settings)
+    scores = materialise(scored(stats, model), "scores")
+    return scores, model, calibrate(scores, labels, settings)
 
 
 def judge(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -204,13 +224,13 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = No
 
     Each row is judged where it is read, so texts are not shuffled.
     """
-    _, forest, threshold = train(docs, labels, settings or Settings())
-    shared, at = docs.sparkSession.sparkContext.broadcast(forest), docs.columns.index("text")
+    _, model, threshold = train(docs, labels, settings or Settings())
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.int64).reshape(-1, 6)
-            yield batch.filter(pa.array(~base_failed(x) & (shared.value.score(features(x)) < threshold)))
+            yield batch.filter(pa.array(~base_failed(x) & (shared.value.score(x) < threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 
