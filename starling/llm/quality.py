@@ -25,7 +25,7 @@ class Settings:
     It judges how far each rate of a text is outside the range of the middle normal_share of the sample's good rows.
 
     The threshold is the one of greatest recall of bad rows less loss of good rows, over all labelled rows
-    that pass the base rules, among those that lose at most max_good_loss of the good rows.
+    that pass the base rules, among those that lose at most max_good_loss of the good rows; of equals, the middle.
     """
 
     sample_rows: int = 4096
@@ -33,7 +33,7 @@ class Settings:
     subsample: int = 256
     seed: int = 42
     max_good_loss: float = 0.005
-    normal_share: float = 0.98
+    normal_share: float = 0.996
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -197,8 +197,8 @@ def calibrate(scores: DataFrame, labels: DataFrame, settings: Settings) -> float
     if not bad[0] or not good[0]:
         return 2.0
     gain = np.where(good <= settings.max_good_loss * good[0], bad / bad[0] - good / good[0], -1.0)
-    best = len(gain) - 1 - int(np.argmax(gain[::-1]))
-    return best / BINS if gain[best] > 0 else 2.0
+    best = np.flatnonzero(gain == gain.max())
+    return (best[0] + best[-1]) / 2 / BINS if gain[best[0]] > 0 else 2.0
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, Judge, float]:

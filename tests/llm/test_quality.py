@@ -50,7 +50,7 @@ def corpus(spark):
 
 def test_judge_and_keep(spark):
     docs, labels = corpus(spark)
-    loose = Q.Settings(max_good_loss=0.04)
+    loose = Q.Settings(max_good_loss=0.04, normal_share=1.0)
     got = Q.judge(docs, labels, loose).collect()
     assert len(got) == docs.count()
     verdicts = {r.doc_id: r for r in got}
