@@ -23,13 +23,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a small table that one file and one task hold.
+ROWS_IN_FILE = 50_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation, and later
-    steps see the written size when they choose joins.
+    steps see the written size when they choose joins. `rows`, a bound on df's rows, keeps
+    small tables in few files: one for each ROWS_IN_FILE of them.
     """
     path = fresh_path(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(1 + rows // ROWS_IN_FILE)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -17,14 +17,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     both = links.filter("u is not null and v is not null and u <> v").select("u", "v")
     edges = materialise(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels")
+    n = edges.count()
+    labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels", n)
     while True:
         heard = edges.join(labels, F.col("u") == F.col("node")).select(F.col("v").alias("node"), "root")
         least = labels.union(heard).groupBy("node").agg(F.min("root").alias("root"))
-        least = materialise(least, "labels")
+        least = materialise(least, "labels", n)
         up = least.select(F.col("node").alias("root"), F.col("root").alias("above"))
         jumped = least.join(up, "root").select("node", F.least("root", "above").alias("root"))
-        new = materialise(jumped, "labels")
+        new = materialise(jumped, "labels", n)
         moved = new.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
         labels = new
         if not moved:

@@ -28,6 +28,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _words(items: DataFrame) -> int:
+    return items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, h, w) of each row; h tells rows with one doc_id but other texts apart."""
     return docs.select("doc_id", F.xxhash64("text").alias("h"), split_words("text").alias("w"))
@@ -42,7 +46,7 @@ def test_items(benchmark: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """How often each term of the items occurs in docs; terms that do not occur are missing."""
-    terms = _bounded(materialise(items.select(F.explode("w").alias("term")).distinct(), "terms"))
+    terms = _bounded(materialise(items.select(F.explode("w").alias("term")).distinct(), "terms", _words(items)))
     words = _keyed(docs).select(F.explode_outer("w").alias("term"))  # outer: else Spark splits each text twice to test its size
     return words.join(terms, "term", "left_semi").groupBy("term").count()
 
@@ -125,9 +129,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words. Item rows with one item_id count
     once; those without an item_id hit words but are neither counted nor listed. Repeated rows of docs have equal verdicts.
     """
-    items = materialise(test_items(benchmark), "items")
-    counts = materialise(term_counts(docs, items), "term-counts")
-    places = materialise(anchors(items, _bounded(counts), width), "anchors")
+    items = materialise(test_items(benchmark), "items", benchmark.count())
+    n = _words(items)  # no fewer than there are terms or anchors
+    counts = materialise(term_counts(docs, items), "term-counts", n)
+    places = materialise(anchors(items, _bounded(counts), width), "anchors", n)
     postings = materialise(index(docs, places.select("term").distinct(), width), "postings")
     runs = phrase_matches(postings.filter("term is not null"), places, width)
     before = Window.partitionBy("doc_id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

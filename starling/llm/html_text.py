@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,16 +46,20 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.counts: Counter[str] = Counter()  # of open elements, so that a tag that is not open costs no search
+
+    def _cut(self, k: int) -> None:
+        for node in self.open[k:]:
+            self.counts[node.tag] -= 1
+        del self.open[k:]
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
-        """Closes the innermost open element of `tags` that no element of `scope` encloses, with all in it."""
-        for k in range(len(self.open) - 1, 0, -1):
+        """Closes the open elements of `tags` that no element of `scope` encloses, with all in them."""
+        k = len(self.open) - 1
+        while k > 0 and any(self.counts[t] for t in tags) and self.open[k].tag not in scope - tags:
             if self.open[k].tag in tags:
-                del self.open[k:]
-                self._close(tags, scope)
-                return
-            if self.open[k].tag in scope:
-                return
+                self._cut(k)
+            k -= 1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSES:
@@ -69,6 +74,7 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -76,13 +82,15 @@ class TreeBuilder(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
             return self.handle_starttag("br", [])
-        if tag == "p" and not any(n.tag == "p" for n in self.open):
-            return self.handle_starttag("p", []) or self.handle_endtag("p")
+        if not self.counts[tag]:
+            if tag == "p":  # a stray end tag is an empty paragraph
+                self.handle_starttag("p", [])
+                self.handle_endtag("p")
+            return
         fence = {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else set()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag == tag:
-                del self.open[k:]
-                return
+                return self._cut(k)
             if self.open[k].tag in fence:
                 return
 
@@ -208,7 +216,8 @@ def render(root: Node) -> list[str]:
                 counters[-1] += 1
             _merge(pages[-1], lines, mark, " " * len(mark))
         elif tag in ("blockquote", "dd"):
-            _merge(pages[-1], pages.pop().done(), "  ", "  ")
+            lines = pages.pop().done()
+            _merge(pages[-1], lines, "  ", "  ")
         elif tag in ("td", "th") and tables:
             lines = pages.pop().done()
             if not tables[-1]:

@@ -187,12 +187,13 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, se
     Only doc_id and text are read.
     """
     own = materialise(fingerprints(docs, ["doc_id"], shingle, seed), "fingerprints")
-    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    n = own.count()
+    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", n)
     roots = connected_components(close_pairs(classes.select("fp"), max_distance, blocks, block_limit))
     linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialise(linked, "linked")
+    linked = materialise(linked, "linked", n)
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialise(linked.select("fp", "root").join(ids, "root"), "components")
+    ids = materialise(linked.select("fp", "root").join(ids, "root"), "components", n)
     return own.join(ids, "fp").select("doc_id", "fp", "root", "component_id")
 
 

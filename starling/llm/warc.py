@@ -161,7 +161,7 @@ def revisits(pages: DataFrame, settings: Settings) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     own = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).distinct()
     own = materialise(own, "payloads")
-    first = materialise(own.groupBy("digest", "bytes").agg(F.min("page_id").alias("first")), "first-payloads")
+    first = materialise(own.groupBy("digest", "bytes").agg(F.min("page_id").alias("first")), "first-payloads", own.count())
     again = (F.col("bytes") >= settings.least_revisit) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
     return own.join(first, ["digest", "bytes"]).select("page_id", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
 
