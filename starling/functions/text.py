@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 # The vocabulary of tags, their facets and weights.
 NO_GENRES = "(no genres listed)"
@@ -54,7 +54,7 @@ def tokens(c: Column) -> Column:
 
 def split_pipe(c: Column) -> Column:
     """Trimmed parts of a pipe list; the sentinel for none, an empty text and null give an empty array."""
-    parts = F.filter(F.transform(F.split(c, r"\|"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(c, r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(c.isNull() | (F.trim(c) == NO_GENRES), F.array().cast("array<string>")).otherwise(parts)
 
 
@@ -145,7 +145,7 @@ def compact(c: Column) -> Column:
     return F.array_join(F.transform(singular_tokens(c), singular), "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def gestalt(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matched characters of the recursive longest common blocks, twice over the summed length; left is the first sequence."""
     return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)], dtype="float64")

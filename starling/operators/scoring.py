@@ -91,6 +91,7 @@ def item_profiles(items: DataFrame, ratings: DataFrame, tags: DataFrame, aliases
     """All items, unrated ones too, with scores: 70 for the Bayesian mean, 20 popularity, 5 tags, 5 freshness; unrated terms are 0."""
     base = items.join(item_stats(ratings), "item_id", "left").join(preference_adjusted(ratings), "item_id", "left").join(recent_counts(ratings), "item_id", "left")
     base = base.join(nested_tags(tag_details(tags, aliases)), "item_id", "left").fillna(0)
+    base = base.withColumns({c: F.coalesce(c, F.array().cast(base.schema[c].dataType)) for c in ("genres", "tags", "tag_details")})
     most = base.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"most_{c}") for c in ("rating_count", "recent_rating_count", "tag_evidence")])
     base = base.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(ratings.agg(F.avg("rating").alias("global_avg"))))
     rated = lambda c: F.when(F.col("rating_count") > 0, bayesian(F.col("rating_count"), F.col(c), F.col("global_avg"), prior)).otherwise(0.0)

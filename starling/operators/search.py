@@ -123,7 +123,8 @@ def rank_matches(found: DataFrame, items: DataFrame, kind: str, query: str) -> D
     rank: Column = F.element_at(F.create_map(*[F.lit(x) for p in STAGE_RANKS.items() for x in p]), F.col("stage")) + FIELD_RANKS[kind]
     score = "comprehensive_score" if "comprehensive_score" in items.columns else None
     joined = found.join(items.select("item_id", "title", (F.col(score) if score else F.lit(0.0)).alias("score")), "item_id").withColumn("priority", rank)
-    joined = joined.withColumn("coverage", F.round(F.least(F.lit(len(query)) / F.greatest(F.length("title"), F.lit(1)), F.lit(1.0)), 6))
+    share = F.round(F.least(F.lit(len(query)) / F.greatest(F.length("title"), F.lit(1)), F.lit(1.0)), 6)
+    joined = joined.withColumn("coverage", share if kind == "title" else F.lit(1.0))
     keys = [F.desc("priority"), F.desc("similarity"), F.desc("coverage"), F.desc("score"), F.asc("item_id")]
     best = joined.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy(*keys))).filter("n = 1").drop("n")
     return best.orderBy(*keys)

@@ -9,19 +9,24 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import top
 
 WINDOW, BLEND_WINDOW = 120, 260
 
 
+def _list(name: str) -> Column:
+    """A null list is an empty one."""
+    return F.coalesce(name, F.array().cast("array<string>")).alias(name)
+
+
 def diversify(candidates: DataFrame, n: int, window: int = WINDOW) -> DataFrame:
     """candidates(session_id, item_id, genres, value) -> the n of each session that score best step by step.
 
     6 more if one of the first three genres is new, 4 less for each time that one was chosen; only the first `window` by value take part.
     """
-    first = top(candidates, "session_id", [F.desc("value"), F.asc("item_id")], window).select("session_id", "item_id", "genres", F.col("value").cast("double").alias("value"), "rank")
+    first = top(candidates, "session_id", [F.desc("value"), F.asc("item_id")], window).select("session_id", "item_id", _list("genres"), F.col("value").cast("double").alias("value"), "rank")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         rows, seen, out = group.sort_values("rank").to_dict("records"), {}, []
@@ -87,7 +92,7 @@ def blend(candidates: DataFrame, profile_genres: DataFrame, n: int) -> DataFrame
     """
     ranked = candidates.withColumn("n", F.row_number().over(Window.partitionBy("session_id", "bucket").orderBy(F.desc("value"), "item_id"))).filter(F.col("n") <= BLEND_WINDOW)
     liked = profile_genres.filter("rank <= 5").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("genre", "rank"))).alias("liked"))
-    rows = ranked.join(liked, "session_id", "left").select("session_id", "item_id", "bucket", F.col("value").cast("double").alias("value"), "genres", "tags", "n", F.to_json("liked").alias("liked"))
+    rows = ranked.join(liked, "session_id", "left").select("session_id", "item_id", "bucket", F.col("value").cast("double").alias("value"), _list("genres"), _list("tags"), "n", F.to_json("liked").alias("liked"))
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         import json
