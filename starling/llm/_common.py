@@ -40,11 +40,15 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """A column name that is not among `columns`, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def signed(x: int) -> int:
     """An unsigned 64-bit value as Spark's long."""
     return x - (1 << 64) if x >= 1 << 63 else x
 
-
-def ascii_words(text: str | None) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of a text, as UTF-8; null has none."""
-    return text.encode().split() if text else []

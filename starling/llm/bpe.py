@@ -114,7 +114,7 @@ class Bpe:
         key = a * self.size + b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 1_000_000:
+            if len(self.apart) > 300_000:
                 self.apart.clear()
             known = self.apart[key] = not self._crossed(a, b, NEVER)
         return known

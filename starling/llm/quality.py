@@ -140,7 +140,8 @@ class Judge:
         found = rates(stats)
         normal = found[good] if good.any() else found
         edge = (1 - settings.normal_share) / 2
-        self.low, self.high = np.quantile(normal, [edge, 1 - edge], axis=0) if len(normal) else np.zeros((2, found.shape[1]))
+        normal = normal if len(normal) else np.zeros((1, found.shape[1]))
+        self.low, self.high = np.quantile(normal, edge, axis=0, method="lower"), np.quantile(normal, 1 - edge, axis=0, method="higher")
         self.forest = IsolationForest(self._outside(found), settings.trees, settings.subsample, settings.seed)
 
     def _outside(self, found: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import materialise, signed, table
+from ._common import materialise, signed, table, unused
 from .components import connected_components
 
 BITS = 64
@@ -49,7 +49,7 @@ def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
     """docs(doc_id, text, ...) -> the columns in `keep` (doc_id) and the fingerprint, a long called `name`; one row per row of docs."""
     keep = keep or ["doc_id"]
-    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"))
+    rows = docs.select(*keep, F.col("text").alias(unused(keep, "text")))
     schema = rows.select(*keep, F.lit(0).cast("long").alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +211,10 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
     if not docs.filter("doc_id is null").limit(1).count():
         return kept
-    nameless = fingerprints(docs.filter("doc_id is null"), docs.columns, settings.get("shingle", 4), settings.get("seed", 42), "__simhash")
-    roots = found.filter("component_id is null").select("fp", "root").distinct().withColumnsRenamed({"fp": "__simhash", "root": "__root"})
-    nameless = nameless.join(roots, "__simhash").dropDuplicates(["__root"]).select(docs.columns)
+    fp, root = unused(docs.columns, "fp"), unused(docs.columns, "root")
+    nameless = fingerprints(docs.filter("doc_id is null"), docs.columns, settings.get("shingle", 4), settings.get("seed", 42), fp)
+    roots = found.filter("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
+    nameless = nameless.join(roots, fp).dropDuplicates([root]).select(docs.columns)
     return kept.unionByName(nameless)
 
 
