@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import bayesian, min_max, top
+from ..functions.numeric import bayesian, min_max
 
 
 @dataclass(frozen=True)
@@ -76,14 +76,18 @@ def candidate_pool(train: DataFrame, limit: int, test: DataFrame | None = None,
 def rank_static(scores: DataFrame, column: str, users: DataFrame, history: DataFrame, k: int) -> DataFrame:
     """The k best items of a fixed order that each user has no history with: (user_id, item_id, rank).
 
-    A user's list needs no more than k plus its history's length of the order, so each joins only that many.
+    The k-th item without history stands at place k + m, m being the number of the user's history items whose place less their
+    own number is below k. So each user meets only k + m places, by an equi-join.
     """
-    order = scores.orderBy(F.desc(F.round(column, 8)), "item_id").select("item_id", F.round(column, 8).alias("score"))
-    seen = history.select("user_id", "item_id").distinct()
-    most = users.select("user_id").distinct().join(seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id", "left")
-    need = most.agg(F.max(F.coalesce("n", F.lit(0)))).first()[0] or 0
-    pairs = users.select("user_id").distinct().crossJoin(F.broadcast(order.limit(k + need))).join(seen, ["user_id", "item_id"], "left_anti")
-    return top(pairs, "user_id", [F.desc("score"), F.asc("item_id")], k)
+    seen, own = history.select("user_id", "item_id").distinct(), users.select("user_id").distinct()
+    longest = seen.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    first = scores.select("item_id", F.round(column, 8).alias("score")).orderBy(F.desc("score"), "item_id").limit(k + longest)
+    placed = first.select("item_id", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")).alias("place"))  # no more rows than the longest history and k
+    met = seen.join(placed, "item_id").withColumn("j", F.row_number().over(Window.partitionBy("user_id").orderBy("place")))
+    more = met.filter(F.col("place") - F.col("j") < k).groupBy("user_id").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    places = own.join(more, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), F.lit(k) + F.coalesce("m", F.lit(0)))).alias("place"))
+    found = places.join(placed, "place").join(seen, ["user_id", "item_id"], "left_anti")
+    return found.select("user_id", "item_id", F.row_number().over(Window.partitionBy("user_id").orderBy("place")).alias("rank")).filter(F.col("rank") <= k)
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, catalogue: int) -> DataFrame:
