@@ -101,3 +101,14 @@ def recommend_online(events: DataFrame, scores: DataFrame, ratings: DataFrame, a
     joined = joined.withColumns({f"route_{s}": F.col(f"r_{s}") for s in ONLINE_PRIORS} | {"route_surfaced": F.lit(1.0), "route_sources": F.size("sources") / len(ONLINE_PRIORS), "route_score": F.col("fused") / F.max("fused").over(Window.partitionBy("user_id"))})
     done = rerank.linear_score(joined, artifact).withColumn("score", F.round("online_score", 6))
     return top(done, "user_id", [F.desc("score"), F.asc("item_id")], n).select(F.col("user_id").alias("session_id"), "item_id", "score", "sources", "rank")
+
+
+def reasons(shown: DataFrame) -> DataFrame:
+    """shown(bucket, genres, shared_genres, support, ...) with a sentence that says why an item is there; columns may be missing."""
+    have = set(shown.columns)
+    genre = F.coalesce(F.try_element_at("shared_genres", F.lit(1)) if "shared_genres" in have else F.lit(None).cast("string"), F.try_element_at("genres", F.lit(1)) if "genres" in have else F.lit(None).cast("string"))
+    interest = F.when(genre.isNotNull(), F.format_string("Close to the %s you like", genre)).otherwise(F.lit("Close to what you like"))
+    support = F.col("support") if "support" in have else F.lit(None).cast("long")
+    shared = F.when(support.isNotNull(), F.format_string("Liked by %d people with your taste", support)).otherwise(F.lit("Liked by people with your taste"))
+    explore = F.when(genre.isNotNull(), F.format_string("Something new: %s", genre)).otherwise(F.lit("Something new"))
+    return shown.withColumn("reason", F.when(F.col("bucket") == "interest", interest).when(F.col("bucket") == "collaborative", shared).otherwise(explore))

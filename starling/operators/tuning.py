@@ -8,6 +8,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.numeric import clip
 from .evaluation import ranking_metrics
 
 
@@ -18,23 +19,39 @@ def weight_grid(step: float = 0.1, least_quality: float = 0.5) -> list[dict[str,
     return [dict(zip(("mf", "cf", "quality"), r)) for r in sorted(rows) if r[2] >= least_quality - 1e-9]
 
 
-def tune_blend(scored: DataFrame, relevant: DataFrame, k: int, steps: int = 21, gain: float = 0.0125) -> tuple[float, DataFrame]:
-    """scored(user_id, item_id, learned, base) -> the accepted weight and precision and hit rate of every weight, in one job.
-
-    The best weight is taken if its precision is at least `gain` above that of weight 0 and its hit rate is no worse; else 0.
-    """
-    grid = scored.sparkSession.createDataFrame([(i / (steps - 1),) for i in range(steps)], "weight double")
-    mixed = scored.crossJoin(F.broadcast(grid)).withColumn("score", F.round(F.col("weight") * F.col("learned") + (1 - F.col("weight")) * F.col("base"), 8))
-    order = Window.partitionBy("weight", "user_id").orderBy(F.desc("score"), "item_id")
+def _grid_table(mixed: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """mixed(weight, user_id, item_id, score) -> precision and hit rate of every weight, in one job."""
+    order = Window.partitionBy("weight", "user_id").orderBy(F.desc(F.round("score", 8)), "item_id")
     best = mixed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     hits = best.join(relevant.select("user_id", "item_id").distinct().withColumn("hit", F.lit(1)), ["user_id", "item_id"], "left").fillna({"hit": 0})
     by = hits.join(relevant.select("user_id").distinct(), "user_id", "left_semi").groupBy("weight", "user_id").agg(F.sum("hit").alias("hits"))
-    table = by.groupBy("weight").agg(F.round(F.avg(F.col("hits") / k), 6).alias("precision_at_k"), F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate_at_k")).orderBy("weight")
+    return by.groupBy("weight").agg(F.round(F.avg(F.col("hits") / k), 6).alias("precision_at_k"), F.round(F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)), 6).alias("hit_rate_at_k")).orderBy("weight")
+
+
+def _accepted(table: DataFrame, gain: float) -> float:
+    """The best weight if its precision is at least `gain` above the least weight's and its hit rate no worse; else the least weight."""
     rows = table.collect()  # one row for each weight
-    start = rows[0]
-    top = max(rows, key=lambda r: (r.precision_at_k, r.hit_rate_at_k, -r.weight))
-    ok = top.precision_at_k - start.precision_at_k >= gain and top.hit_rate_at_k >= start.hit_rate_at_k
-    return (top.weight if ok else 0.0), table
+    best = max(rows, key=lambda r: (r.precision_at_k, r.hit_rate_at_k, -r.weight))
+    ok = best.precision_at_k - rows[0].precision_at_k >= gain and best.hit_rate_at_k >= rows[0].hit_rate_at_k
+    return best.weight if ok else rows[0].weight
+
+
+def _with_grid(scored: DataFrame, weights: list[float]) -> DataFrame:
+    return scored.crossJoin(F.broadcast(scored.sparkSession.createDataFrame([(w,) for w in weights], "weight double")))  # a fixed grid
+
+
+def tune_blend(scored: DataFrame, relevant: DataFrame, k: int, steps: int = 21, gain: float = 0.0125) -> tuple[float, DataFrame]:
+    """scored(user_id, item_id, learned, base) -> the accepted weight of the learned score, and the table of all weights from 0 to 1."""
+    mixed = _with_grid(scored, [i / (steps - 1) for i in range(steps)])
+    table = _grid_table(mixed.withColumn("score", F.col("weight") * F.col("learned") + (1 - F.col("weight")) * F.col("base")), relevant, k)
+    return _accepted(table, gain), table
+
+
+def tune_residual(scored: DataFrame, relevant: DataFrame, k: int, most: float = 0.3, steps: int = 7, gain: float = 0.0) -> tuple[float, DataFrame]:
+    """scored(user_id, item_id, base, residual) -> the accepted share of the residual that is added to the base score, and the table of all."""
+    mixed = _with_grid(scored, [most * i / (steps - 1) for i in range(steps)])
+    table = _grid_table(mixed.withColumn("score", clip(F.col("base") + F.col("weight") * F.col("residual"), 0.0, 1.0)), relevant, k)
+    return _accepted(table, gain), table
 
 
 def ranking_objective(m: dict) -> float:

@@ -142,7 +142,7 @@ def title_substring(spark, d):
     return search.linear_search(domain.items(spark, d), "title", "In").select("item_id", "title")
 
 
-@query(f"WITH {ITEMS}, w AS (SELECT min(title) AS t FROM items) SELECT item_id, 1.0 AS similarity FROM items, w WHERE list_has_all(string_split(lower(title), ' '), string_split(lower(t), ' '))")
+@query(f"WITH {ITEMS}, w AS (SELECT min(title) AS t FROM items) SELECT item_id, CAST(1 AS DOUBLE) AS similarity FROM items, w WHERE list_has_all(string_split(lower(title), ' '), string_split(lower(t), ' '))")
 def title_token_search(spark, d):
     items = domain.items(spark, d)
     return search.token_search(search.postings(items), "title", items.agg(F.min("title")).first()[0]).select("item_id", F.col("similarity").cast("double").alias("similarity"))
@@ -438,7 +438,7 @@ def decayed_event_weights(spark, d):
 
 
 @query(f"""WITH {KEPT}, r AS (SELECT *, CASE event_type WHEN 'like' THEN 5.0 WHEN 'dislike' THEN 1.0 ELSE 3.6 END AS rating, CASE event_type WHEN 'view' THEN 0.35 ELSE 1.0 END AS confidence FROM kept WHERE item_id IS NOT NULL)
-  SELECT session_id, item_id, rating, confidence FROM r QUALIFY row_number() OVER (PARTITION BY session_id, item_id ORDER BY confidence DESC, ts DESC, seq DESC) = 1""")
+  SELECT session_id, item_id, CAST(rating AS DOUBLE) AS rating, CAST(confidence AS DOUBLE) AS confidence FROM r QUALIFY row_number() OVER (PARTITION BY session_id, item_id ORDER BY confidence DESC, ts DESC, seq DESC) = 1""")
 def active_profile(spark, d):
     return sessions.active_profile(sessions.since_reset(domain.events(spark, d)))
 

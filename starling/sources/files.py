@@ -129,6 +129,17 @@ def write_dashboard(profiles: DataFrame, ratings: DataFrame, folder: str) -> Non
     summary.write.mode("overwrite").json(f"{folder}/summary")
 
 
+def write_metadata(spark: SparkSession, values: dict[str, object], path: str) -> None:
+    """Keys and values as a two-column table."""
+    spark.createDataFrame([(k, str(v)) for k, v in sorted(values.items())], "key string, value string").write.mode("overwrite").parquet(path)
+
+
+def write_summary(config: dict, rows: DataFrame, path: str, keys: tuple[str, ...] = ("precision_at_k", "hit_rate_at_k", "map_at_k")) -> None:
+    """JSON of a run's settings and its best row by `keys`."""
+    best = rows.agg(F.to_json(F.max_by(F.struct(*rows.columns), F.struct(*keys))).alias("best_metric"))
+    best.withColumn("config", F.lit(json.dumps(config, sort_keys=True, default=str))).write.mode("overwrite").json(path)
+
+
 def runtime_chart(rows: list[tuple[str, int, float]]) -> str:
     """An SVG of seconds by size for each named method."""
     most_n, most_s = max((r[1] for r in rows), default=1), max((r[2] for r in rows), default=1.0) or 1.0

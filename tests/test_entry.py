@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from starling.plans import catalog
+from starling.plans import catalog, details  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 

@@ -102,6 +102,9 @@ def test_blend_and_tuning(spark):
     best, table = T.tune_blend(rows, relevant, 1)
     assert best > 0.5 and table.count() == 21
     assert T.tune_blend(rows, relevant, 1, gain=2.0)[0] == 0.0
+    residual = rows.select("user_id", "item_id", (0.4 - F.col("base") * 0.1).alias("base"), F.col("learned").alias("residual"))
+    best, table = T.tune_residual(residual, relevant, 1)
+    assert best > 0 and table.count() == 7
     mixed = rows.withColumn("b", K.blend(F.col("learned"), F.col("base"), 0.5, mode="rank")).agg(F.min("b"), F.max("b")).first()
     assert 0 <= mixed[0] <= mixed[1] <= 1
 

@@ -83,3 +83,10 @@ def test_backfill(spark):
     for r in L.backfill(chosen, scores, 3).orderBy("session_id", "position").collect():
         got.setdefault(r.session_id, []).append(r.item_id)
     assert got == {1: [5, 6, 7], 2: [6, 7, 5]}
+
+
+def test_reasons(spark):
+    from starling.operators.recommend import reasons
+
+    rows = spark.createDataFrame([("interest", ["Drama"], 3), ("collaborative", ["War"], 4), ("explore", [], None)], "bucket string, genres array<string>, support long")
+    assert [r.reason for r in reasons(rows).collect()] == ["Close to the Drama you like", "Liked by 4 people with your taste", "Something new"]
