@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Used only where the session has no spark.checkpoint.dir, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
@@ -40,6 +43,19 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that goes to Python: Spark's own 10,000 whole texts would be held several times over.
+BATCH_ROWS = 1000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS, for this session from now on."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_SETTING, "10000")) > BATCH_ROWS:
+        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def unused(columns: list[str], name: str) -> str:
     """A column name that is not among `columns`, whatever their case."""
     taken = {c.lower() for c in columns}

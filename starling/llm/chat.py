@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ._common import materialise, table
+from ._common import map_batches, materialise, table
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "seq", "text", "loss", "valid"])
 
     rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, f"conv_id {kind}, {SEGMENTS}")
+    return map_batches(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, f"conv_id {kind}, {SEGMENTS}")
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -179,7 +179,7 @@ def read_back(found: DataFrame, template: Template | None = None) -> DataFrame:
 
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     rows = found.select("conv_id", "seq", "text", "loss", "valid")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq").mapInArrow(run, schema)
+    return map_batches(rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq"), run, schema)
 
 
 def forged(conversations: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import map_batches, table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show nothing.
@@ -292,7 +292,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             sizes, lines = [len(t) for t in texts], [t.count("\n") + 1 if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(lines, pa.int64())], names=["page_id", "text", "n_chars", "n_lines"])
 
-    return pages.select("page_id", "html").mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_chars long, n_lines long")
+    return map_batches(pages.select("page_id", "html"), run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, text string, n_chars long, n_lines long")
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

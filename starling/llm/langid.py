@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ._common import materialise, table
+from ._common import map_batches, materialise, table
 
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 LETTER = regex.compile(r"\p{L}")
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, settings: Settings | None = None) -> LanguageFilter:
                     values, counts = np.unique(np.concatenate(parts), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     common = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     top = counted.filter(F.col("n") >= settings.least_count).withColumn("k", F.row_number().over(common)).filter(F.col("k") <= settings.grams_per_language)
     found = top.select("lang", "gram").toPandas()  # at most grams_per_language rows for each of 64 languages
@@ -148,7 +148,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
+    return map_batches(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import materialise, table
+from ._common import map_batches, materialise, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
@@ -160,7 +160,7 @@ def measure(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in made.T.copy())], names=["doc_id", *STATISTICS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATISTICS))
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in STATISTICS))
 
 
 def known_quality(labels: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def scored(stats: DataFrame, model: Judge) -> DataFrame:
             x = np.stack([batch.column(i).to_numpy() for i in range(1, 7)], axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(x)), pa.array(shared.value.score(x))], names=[*batch.schema.names, "base_failed", "score"])
 
-    return stats.mapInArrow(run, stats.select("*", F.lit(True).alias("base_failed"), F.lit(0.0).alias("score")).schema)
+    return map_batches(stats, run, stats.select("*", F.lit(True).alias("base_failed"), F.lit(0.0).alias("score")).schema)
 
 
 def calibrate(scores: DataFrame, labels: DataFrame, settings: Settings) -> float:
@@ -233,7 +233,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = No
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.int64).reshape(-1, 6)
             yield batch.filter(pa.array(~base_failed(x) & (shared.value.score(x) < threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import materialise, signed, table, unused
+from ._common import map_batches, materialise, signed, table, unused
 from .components import connected_components
 
 BITS = 64
@@ -18,6 +18,8 @@ BITS = 64
 CHUNK = 1 << 16
 #: Distinct fingerprints of one block that one task compares; larger blocks take the other exact way.
 BLOCK_LIMIT = 2048
+#: Keyed rows that are compared at once.
+WORTHWHILE = 1 << 15
 #: Runs up to this length are compared by shifted arrays, longer ones one by one.
 SHORT_RUN = 24
 
@@ -57,7 +59,7 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int =
             made = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(len(keep))), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(made.view(np.int64))], names=[*keep, name])
 
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def block_masks(max_distance: int, blocks: int) -> list[int]:
@@ -129,7 +131,7 @@ def _block_links(max_distance: int):
         for batch in batches:
             k = np.stack([batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(1).to_numpy(zero_copy_only=False)], axis=1)
             key, fp = np.concatenate([key, k]), np.concatenate([fp, batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(fp):
+            if len(fp) < WORTHWHILE:
                 continue
             last = int(np.flatnonzero((key == key[-1]).all(axis=1))[0])  # the last run may go on
             if last:
@@ -173,7 +175,7 @@ def close_pairs(fps: DataFrame, max_distance: int = 4, blocks: int | None = None
             found = points.join(met, "point").filter("fp <> u").select("u", F.col("fp").alias("v")).distinct()
             links = found if links is None else links.union(found)
     runs = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").select("t", "key", "fp")
-    found = runs.mapInArrow(_block_links(max_distance), "u long, v long")
+    found = map_batches(runs, _block_links(max_distance), "u long, v long")
     return found if links is None else found.union(links)
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import map_batches, table
 
 #: Fixed values of the unigram format: the mark of a space, and how much worse than the worst piece an unknown character is.
 SPACE = "\u2581"
@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, pieces: list[str], scores: list[float]) -> Dat
             counts = [counter.text(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

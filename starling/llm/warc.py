@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import fresh_path, materialise, table
+from ._common import fresh_path, map_batches, materialise, table
 
 #: Fixed values of the seekable format: skippable frame, footer, and the size of an entry and of the footer.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, 8, 9
@@ -202,7 +202,7 @@ def write_archive(pages: DataFrame, folder: str, settings: Settings | None = Non
         if writer:
             writer.close()
 
-    return materialise(rows.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, path string, frame int, offset long"), "warc-index")
+    return materialise(map_batches(rows.sortWithinPartitions("page_id", "url", "html"), run, f"page_id {kind}, path string, frame int, offset long"), "warc-index")
 
 
 READ = "url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -231,7 +231,7 @@ def read_archive(index: DataFrame) -> DataFrame:
         if reader:
             reader.close()
 
-    return frames.sortWithinPartitions("path", "frame").mapInArrow(run, f"page_id {kind}, {READ}")
+    return map_batches(frames.sortWithinPartitions("path", "frame"), run, f"page_id {kind}, {READ}")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
