@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 
 # The vocabulary of tags, their facets and weights.
 NO_GENRES = "(no genres listed)"
+BLOCKED = "netflix"
 FACET_WEIGHTS = {"theme": 1.18, "style": 1.12, "franchise": 1.0, "person": 0.86, "meta": 0.66}
 THEMES = "aliens|animation|apocalypse|assassin|coming-of-age|crime|cyberpunk|dystopia|friendship|future|gangster|heist|hit men|horror|magic|murder|post-apocalyptic|revenge|robot|serial killer|space|space action|space opera|superhero|survival|tarantino|time travel|vampire|war|world war ii|zombie".split("|")
 STYLES = "atmospheric|beautiful|bittersweet|bleak|clever|dark|dark comedy|disturbing|dreamlike|emotional|epic|feel-good|fun|funny|good dialogue|gritty|inspirational|mind-bending|quirky|satire|slow|stylized|suspense|tense|thought-provoking|twist ending|visually appealing".split("|")
@@ -79,11 +80,11 @@ def alias_table(extra: Mapping[str, str] | None = None) -> dict[str, str]:
 
 
 def canonical_tag(c: Column, extra: Mapping[str, str] | None = None) -> Column:
-    """The tag that a free text stands for; null for empty ones and for those that name the rental service."""
+    """The tag that a free text stands for; null for empty ones and for those with the blocked word."""
     pairs = [F.lit(x) for item in alias_table(extra).items() for x in item]
     key = tag_key(c)
     named = F.coalesce(F.element_at(F.create_map(*pairs), key), key)
-    return F.when(F.lower(c).contains("netflix") | (F.trim(F.coalesce(c, F.lit(""))) == "") | (key == ""), F.lit(None)).otherwise(named)
+    return F.when(F.lower(c).contains(BLOCKED) | (F.trim(F.coalesce(c, F.lit(""))) == "") | (key == ""), F.lit(None)).otherwise(named)
 
 
 def facet(c: Column) -> Column:

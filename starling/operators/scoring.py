@@ -40,15 +40,27 @@ def recent_counts(ratings: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
     return recent.groupBy("item_id").agg(F.count(F.lit(1)).alias("recent_rating_count"))
 
 
+def item_aggregates(ratings: DataFrame, days: int = RECENT_DAYS) -> tuple[DataFrame, DataFrame]:
+    """Count, mean, preference-adjusted mean and recent count of each item, and the row of constants, from two passes over the ratings.
+
+    The first pass sums by user, and the constants come from its rows; the second sums all item columns at once.
+    """
+    users = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"), F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"), F.max("ts").alias("last_ts"))
+    once = users.agg((F.sum("total") / F.sum("n")).alias("global_avg"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last_ts").alias("last_ts"))
+    moved = clip(F.col("rating") - F.col("mean") + F.col("global_avg"), F.col("low"), F.col("high"))
+    recent = F.col("ts") >= F.col("last_ts") - F.expr(f"INTERVAL {int(days)} DAYS")
+    rows = ratings.select("user_id", "item_id", "rating", "ts").join(users.select("user_id", "mean"), "user_id").crossJoin(F.broadcast(once))  # one row
+    stats = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("rating_count"), F.avg("rating").alias("rating_avg"), F.avg(moved).alias("preference_adjusted_rating"), F.count_if(recent).alias("recent_rating_count"))
+    return stats, once
+
+
 def item_scores(items: DataFrame, ratings: DataFrame, prior: float = LARGE_PRIOR, days: int = RECENT_DAYS) -> DataFrame:
     """Rated items with their scores: 70 for the Bayesian mean, 25 for popularity, 5 for freshness; plain and preference-adjusted."""
     if prior <= 0 or days <= 0:
         raise ValueError("prior and days must be positive")
-    stats, recent = item_stats(ratings), recent_counts(ratings, days)
-    most = stats.agg((F.sum(F.col("rating_avg") * F.col("rating_count")) / F.sum("rating_count")).alias("global_avg"), F.max("rating_count").alias("most"))
-    most = most.crossJoin(recent.agg(F.coalesce(F.max("recent_rating_count"), F.lit(0)).alias("most_recent")))
-    base = items.select("item_id", "title", "release_year").join(stats, "item_id").join(preference_adjusted(ratings), "item_id").join(recent, "item_id", "left")
-    base = base.fillna({"recent_rating_count": 0}).crossJoin(F.broadcast(most))
+    stats, once = item_aggregates(ratings, days)
+    most = stats.agg(F.max("rating_count").alias("most"), F.max("recent_rating_count").alias("most_recent")).crossJoin(once.select("global_avg"))
+    base = items.select("item_id", "title", "release_year").join(stats, "item_id").crossJoin(F.broadcast(most))
     plain = bayesian(F.col("rating_count"), F.col("rating_avg"), F.col("global_avg"), prior)
     moved = bayesian(F.col("rating_count"), F.col("preference_adjusted_rating"), F.col("global_avg"), prior)
     popular, fresh = log_share(F.col("rating_count"), F.col("most"), 25.0), log_share(F.col("recent_rating_count"), F.col("most_recent"), 5.0)
@@ -89,11 +101,12 @@ def nested_tags(details: DataFrame) -> DataFrame:
 
 def item_profiles(items: DataFrame, ratings: DataFrame, tags: DataFrame, aliases: dict[str, str] | None = None, prior: float = SMALL_PRIOR) -> DataFrame:
     """All items, unrated ones too, with scores: 70 for the Bayesian mean, 20 popularity, 5 tags, 5 freshness; unrated terms are 0."""
-    base = items.join(item_stats(ratings), "item_id", "left").join(preference_adjusted(ratings), "item_id", "left").join(recent_counts(ratings), "item_id", "left")
+    stats, once = item_aggregates(ratings)
+    base = items.join(stats, "item_id", "left")
     base = base.join(nested_tags(tag_details(tags, aliases)), "item_id", "left").fillna(0)
     base = base.withColumns({c: F.coalesce(c, F.array().cast(base.schema[c].dataType)) for c in ("genres", "tags", "tag_details")})
     most = base.agg(*[F.greatest(F.max(c), F.lit(1)).alias(f"most_{c}") for c in ("rating_count", "recent_rating_count", "tag_evidence")])
-    base = base.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(ratings.agg(F.avg("rating").alias("global_avg"))))
+    base = base.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(once.select("global_avg")))
     rated = lambda c: F.when(F.col("rating_count") > 0, bayesian(F.col("rating_count"), F.col(c), F.col("global_avg"), prior)).otherwise(0.0)
     plain, moved = rated("rating_avg"), rated("preference_adjusted_rating")
     popular, tagged, fresh = (log_share(F.col(c), F.col(f"most_{c}"), k) for c, k in (("rating_count", 20.0), ("tag_evidence", 5.0), ("recent_rating_count", 5.0)))

@@ -16,7 +16,7 @@ def test_lists_tokens_and_bigrams(spark):
 
 
 def test_tags(spark):
-    assert column(spark, ["Sci_Fi", "SF", "Netflix queue", " ", None, "R&B", "twists"], X.canonical_tag(F.col("x"))) == ["sci-fi", "sci-fi", None, None, None, "r and b", "twist ending"]
+    assert column(spark, ["Sci_Fi", "SF", f"{X.BLOCKED.title()} queue", " ", None, "R&B", "twists"], X.canonical_tag(F.col("x"))) == ["sci-fi", "sci-fi", None, None, None, "r and b", "twist ending"]
     assert column(spark, ["space", "quirky", "pixar", "tom hanks", "seen at home", "unheard of"], X.facet(F.col("x"))) == ["theme", "style", "franchise", "person", "meta", "theme"]
     assert X.alias_table({"a": "b", "b": "c", "c": "a"})["a"] in ("a", "b", "c")
     assert column(spark, ["coming-of-age", "sci-fi", "world war ii", "l.a. noir"], X.tag_display(F.col("x"))) == ["Coming-Of-Age", "Sci-Fi", "World War II", "L.A. Noir"]
