@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,8 @@ REMEMBERED = 8_000_000
 #: Longer texts are split in blocks of so many pieces, which bounds the memory.
 LONG, BLOCK = 1 << 20, 1 << 16
 NEVER = 1 << 60
+LONG_PIECE = 1 << 12
+BIG_ENDIAN = sys.byteorder == "big"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -122,12 +125,20 @@ class Bpe:
     def piece(self, text: str) -> list[int]:
         """Ids of one piece: the last token of every prefix, then back from the end."""
         raw = text.encode().decode("latin-1")
-        last = array("l", [-1]) * (len(raw) + 1)
-        length = array("l", [0]) * (len(raw) + 1)
+        if len(raw) <= LONG_PIECE:
+            last, length = [-1] * (len(raw) + 1), [0] * (len(raw) + 1)
+        else:  # arrays take eight bytes a place
+            last, length = array("l", [-1]) * (len(raw) + 1), array("l", [0]) * (len(raw) + 1)
+        size, apart = self.size, self.apart.get
         for end, (n, i) in self.automaton.iter(raw):  # longest match first at each end
             end += 1
-            if last[end] < 0 and (n == end or (last[end - n] >= 0 and self._stay_apart(last[end - n], i))):
-                last[end], length[end] = i, n
+            if last[end] < 0:
+                if n == end:
+                    last[end], length[end] = i, n
+                elif (before := last[end - n]) >= 0:
+                    fits = apart(before * size + i)
+                    if fits or (fits is None and self._stay_apart(before, i)):
+                        last[end], length[end] = i, n
         ids, at = [], len(raw)
         while at:
             ids.append(last[at])
@@ -174,7 +185,10 @@ class _Known(dict):
         self.model, self.held = model, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.model.piece(piece), dtype="<u4").tobytes()
+        ids = array("I", self.model.piece(piece))
+        if BIG_ENDIAN:
+            ids.byteswap()
+        ids = ids.tobytes()
         self.held += len(piece) + 8
         self[piece] = ids
         return ids
