@@ -43,15 +43,16 @@ def recent_counts(ratings: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
 def item_aggregates(ratings: DataFrame, days: int = RECENT_DAYS) -> tuple[DataFrame, DataFrame]:
     """Count, mean, preference-adjusted mean and recent count of each item, and the row of constants, from two passes over the ratings.
 
-    The first pass sums by user, and the constants come from its rows; the second sums all item columns at once.
+    The first pass sums by user, and the constants come from its rows; the second sums all item columns at once. Both sums are
+    persisted: each reader asks for other columns, so Spark would not see that the passes are the same.
     """
-    users = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"), F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"), F.max("ts").alias("last_ts"))
+    users = ratings.groupBy("user_id").agg(F.avg("rating").alias("mean"), F.sum("rating").alias("total"), F.count(F.lit(1)).alias("n"), F.min("rating").alias("low"), F.max("rating").alias("high"), F.max("ts").alias("last_ts")).persist()
     once = users.agg((F.sum("total") / F.sum("n")).alias("global_avg"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last_ts").alias("last_ts"))
     moved = clip(F.col("rating") - F.col("mean") + F.col("global_avg"), F.col("low"), F.col("high"))
     recent = F.col("ts") >= F.col("last_ts") - F.expr(f"INTERVAL {int(days)} DAYS")
     rows = ratings.select("user_id", "item_id", "rating", "ts").join(users.select("user_id", "mean"), "user_id").crossJoin(F.broadcast(once))  # one row
     stats = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("rating_count"), F.avg("rating").alias("rating_avg"), F.avg(moved).alias("preference_adjusted_rating"), F.count_if(recent).alias("recent_rating_count"))
-    return stats, once
+    return stats.persist(), once
 
 
 def item_scores(items: DataFrame, ratings: DataFrame, prior: float = LARGE_PRIOR, days: int = RECENT_DAYS) -> DataFrame:

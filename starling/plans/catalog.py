@@ -295,7 +295,7 @@ def lsh_neighbors(spark, d):
 
 
 def _split(spark: SparkSession, d: str) -> DataFrame:
-    return ev.time_split(domain.ratings(spark, d), 0.2, 12)
+    return ev.time_split(domain.ratings(spark, d), 0.2, 12).persist()
 
 
 @query(f"WITH {RATINGS}, {SPLIT} SELECT user_id, item_id, rating, split FROM split")
@@ -452,9 +452,9 @@ def session_profile_stats(spark, d):
 @query()
 def for_you(spark, d):
     """Ten items for every session that has given signals, by quota and in turns."""
-    profiles, events = _profiles(spark, d), sessions.since_reset(domain.events(spark, d))
-    weighted = sessions.event_weights(sessions.recent(events))
-    cosines = sessions.session_cosines(sessions.preference_vectors(weighted, vectors.content_vectors(profiles)), vectors.content_vectors(profiles))
+    profiles, events = _profiles(spark, d).persist(), sessions.since_reset(domain.events(spark, d))
+    weighted, own = sessions.event_weights(sessions.recent(events)), vectors.content_vectors(profiles).persist()
+    cosines = sessions.session_cosines(sessions.preference_vectors(weighted, own), own).persist()
     profile = sessions.active_profile(events)
     shared = cf.score_candidates(cf.profile_neighbors(profile, domain.ratings(spark, d), cf.SMALL_SESSION), domain.ratings(spark, d), profile, cf.SMALL_SESSION)
     found = sessions.for_you_candidates(cosines, profiles, events.filter("item_id is not null"), 10, shared)
@@ -505,7 +505,7 @@ def ltr_scores(spark, d):
     train, items = rows.filter("split = 'train'"), domain.items(spark, d)
     users = ev.eligible_users(train, ev.Config())
     pairs = rows.filter("split <> 'train'").join(F.broadcast(users), "user_id").select("user_id", "item_id", "split", (F.col("rating") >= 4).cast("int").alias("label"))
-    matrix = rerank.feature_matrix(pairs, train, items, ev.quality_scores(train))
+    matrix = rerank.feature_matrix(pairs, train, items, ev.quality_scores(train)).persist()  # each stage of the fit reads it
     ranker = rerank.fit_pointwise(matrix.filter("split = 'ranker'"))
     return ranker.score(matrix.filter("split = 'test'")).select("user_id", "item_id", "label", F.round("ranker_score", 6).alias("ranker_score"))
 

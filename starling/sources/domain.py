@@ -20,9 +20,9 @@ def raw_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, item_id, rating, ts): the last rating of each user and item."""
+    """(user_id, item_id, rating, ts): the last rating of each user and item. Persisted, as operators read it several times."""
     last = F.max_by(F.struct("rating", "ts"), F.struct("ts", "seq"))
-    return raw_ratings(spark, sf_dir).groupBy("user_id", "item_id").agg(last.alias("last")).select("user_id", "item_id", "last.rating", "last.ts")
+    return raw_ratings(spark, sf_dir).groupBy("user_id", "item_id").agg(last.alias("last")).select("user_id", "item_id", "last.rating", "last.ts").persist()
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

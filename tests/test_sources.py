@@ -67,7 +67,7 @@ def test_artifact_signature_cache_and_sinks(spark, tmp_path):
     S.write_rows_csv([df, spark.createDataFrame([(5, 1.5)], "i int, x double")], f"{tmp_path}/rows")
     assert spark.read.option("header", True).csv(f"{tmp_path}/rows").columns == ["i", "s", "x"]
     S.write_metadata(spark, {"b": 2, "a": "x"}, f"{tmp_path}/meta")
-    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/meta").collect()] == [("a", "x"), ("b", "2")]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/meta").collect()) == [("a", "x"), ("b", "2")]
     metrics = spark.createDataFrame([("m1", 0.1, 0.2, 0.3), ("m2", 0.1, 0.4, 0.1)], "algorithm string, precision_at_k double, hit_rate_at_k double, map_at_k double")
     S.write_summary({"k": 10}, metrics, f"{tmp_path}/summary")
     assert json.loads(spark.read.json(f"{tmp_path}/summary").first().best_metric)["algorithm"] == "m2"
