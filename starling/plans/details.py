@@ -190,10 +190,10 @@ MM = "CASE WHEN max({c}) OVER w <= min({c}) OVER w THEN 1.0 ELSE ({c} - min({c})
 PLACE = "CASE WHEN count(*) OVER w <= 1 THEN 1.0 ELSE (row_number() OVER (PARTITION BY user_id ORDER BY round({c}, 8), item_id DESC) - 1) / (count(*) OVER w - 1) END"
 
 
-@query(f"WITH {TESTED} SELECT user_id, item_id, round(0.7 * {MM.format(c='quality')} + 0.3 * {MM.format(c='bias')}, 6) AS by_value, round(0.7 * {PLACE.format(c='quality')} + 0.3 * {PLACE.format(c='bias')}, 6) AS by_rank, round(least(greatest(bias + 0.2 * (quality - 0.5), 0), 1), 6) AS residual FROM tested WINDOW w AS (PARTITION BY user_id)")
+@query(f"WITH {TESTED} SELECT user_id, item_id, round(0.7 * {MM.format(c='quality')} + 0.3 * {MM.format(c='bias')}, 8) AS by_value, round(0.7 * {PLACE.format(c='quality')} + 0.3 * {PLACE.format(c='bias')}, 8) AS by_rank, round(least(greatest(bias + 0.2 * (quality - 0.5), 0), 1), 8) AS residual FROM tested WINDOW w AS (PARTITION BY user_id)")
 def blended_scores(spark, d):
     q, b = F.col("quality"), F.col("bias")
-    return _tested(spark, d).select("user_id", "item_id", six(rerank.blend(q, b, 0.7), "by_value"), six(rerank.blend(q, b, 0.7, mode="rank"), "by_rank"), six(rerank.add_residual(b, q - 0.5, 0.2), "residual"))
+    return _tested(spark, d).select("user_id", "item_id", F.round(rerank.blend(q, b, 0.7), 8).alias("by_value"), F.round(rerank.blend(q, b, 0.7, mode="rank"), 8).alias("by_rank"), F.round(rerank.add_residual(b, q - 0.5, 0.2), 8).alias("residual"))
 
 
 @query(f"""WITH {TESTED}, grid AS (SELECT i / 20.0 AS weight FROM range(21) AS g(i)), mixed AS (SELECT weight, user_id, item_id, rating, row_number() OVER (PARTITION BY weight, user_id ORDER BY round(weight * quality + (1 - weight) * bias, 8) DESC, item_id) AS rank FROM tested, grid),
@@ -243,11 +243,11 @@ def ordered_union(spark, d):
 
 @query(f"""WITH {AGED}, w AS (SELECT *, CASE event_type WHEN 'like' THEN 7.0 WHEN 'dislike' THEN -7.5 ELSE 2.8 END AS weight FROM aged),
   n AS (SELECT *, row_number() OVER (PARTITION BY session_id, item_id, event_type IN ('like', 'dislike') ORDER BY age) AS k FROM w)
-  SELECT session_id, round(sum(abs(weight * 0.985 ** age * CASE WHEN event_type = 'view' THEN 0.66 ELSE 1.0 END)), 6) AS long, round(sum(CASE WHEN age < 25 THEN abs(weight * 0.82 ** age * CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.85 END) ELSE 0.0 END), 6) AS short,
-  round(sum(CASE WHEN event_type = 'like' AND k = 1 THEN abs(weight) * 0.992 ** age ELSE 0.0 END), 6) AS explicit FROM n GROUP BY session_id""")
+  SELECT session_id, round(sum(abs(weight * 0.985 ** age * CASE WHEN event_type = 'view' THEN 0.66 ELSE 1.0 END)), 10) AS long, round(sum(CASE WHEN age < 25 THEN abs(weight * 0.82 ** age * CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.85 END) ELSE 0.0 END), 10) AS short,
+  round(sum(CASE WHEN event_type = 'like' AND k = 1 THEN abs(weight) * 0.992 ** age ELSE 0.0 END), 10) AS explicit FROM n GROUP BY session_id""")
 def session_strengths(spark, d):
     weighted = sessions.event_weights(sessions.recent(sessions.since_reset(domain.events(spark, d))))
-    return sessions.strengths(weighted).select("session_id", *[six(F.col(c), c) for c in ("long", "short", "explicit")])
+    return sessions.strengths(weighted).select("session_id", *[F.round(c, 10).alias(c) for c in ("long", "short", "explicit")])
 
 
 @query(f"WITH {EVENTS} SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events_ GROUP BY ALL")

@@ -29,6 +29,6 @@ def test_query_equals_its_oracle(spark, name):
     want = db.execute(catalog.ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    text = lambda v: f"{v:.6f}" if isinstance(v, float) else str(list(v)) if isinstance(v, (list, np.ndarray)) else str(v)
+    text = lambda v: f"{v:.9f}" if isinstance(v, float) else str(list(v)) if isinstance(v, (list, np.ndarray)) else str(v)
     rows = lambda df: sorted(tuple(text(v) for v in r) for r in df[columns].itertuples(index=False))
     assert rows(got.toPandas()) == rows(want)
