@@ -20,10 +20,14 @@ class Config:
     pool: int = 1200
 
 
+def rated_users(ratings: DataFrame, min_ratings: int) -> DataFrame:
+    """All users with min_ratings ratings or more."""
+    return ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_ratings).select("user_id")
+
+
 def eligible_users(ratings: DataFrame, config: Config) -> DataFrame:
     """The first max_users users by id with min_ratings ratings or more."""
-    counts = ratings.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= config.min_ratings)
-    return counts.select("user_id").orderBy("user_id").limit(config.max_users)
+    return rated_users(ratings, config.min_ratings).orderBy("user_id").limit(config.max_users)
 
 
 def time_split(ratings: DataFrame, test_ratio: float = 0.2, min_ratings: int = 2) -> DataFrame:

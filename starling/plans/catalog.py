@@ -491,41 +491,62 @@ def pairwise_hard_negatives(spark, d):
 
 @query()
 def als_recs(spark, d):
-    rows = _split(spark, d)
-    train = rows.filter("split = 'train'")
-    model = factors.fit(train, factors.Config(factors=16, iterations=8))
-    users = ev.eligible_users(train, ev.Config())
-    return model.recommend(users, ev.candidate_pool(train, 300), train, 10).select("user_id", "item_id", F.round("prediction", 4).alias("prediction"), "rank")
+    """Ten items of the default pool for every user with enough ratings."""
+    train, config = _split(spark, d).filter("split = 'train'").persist(), ev.Config()  # the model, the pool and the history read it
+    users = ev.rated_users(train, config.min_ratings)
+    found = factors.fit(train).recommend(users, ev.candidate_pool(train, config.pool), train, 10)
+    return found.select("user_id", "item_id", F.round("prediction", 4).alias("prediction"), "rank")
+
+
+def _recalled(train, items, users, quality, limit, k=10):
+    """What the routes bring for users: (model, cf and item_item scores of (user_id, item_id, value), routes(source, item_id, score))."""
+    model, own = factors.fit(train), train.join(users, "user_id", "left_semi")
+    history, session = own.select("user_id", "item_id"), own.select(F.col("user_id").alias("session_id"), "item_id", "rating")
+    each = recall.per_user_limit(limit, users.count(), k)
+    unseen = lambda df: df.withColumnRenamed("session_id", "user_id").select("user_id", "item_id", F.col("score").alias("value")).join(history, ["user_id", "item_id"], "left_anti")
+    item_item = unseen(cf.item_item_scores(session, cf.item_item_neighbors(train))).persist()  # features and routes read both
+    near = cf.user_neighbors(train, users).select(F.col("user_id").alias("session_id"), F.col("neighbor_id").alias("user_id"), "similarity")
+    shared = unseen(cf.score_candidates(near, train, session, cf.EVALUATOR)).persist()
+    top_mf = model.recommend(users, train, history, each).select("user_id", "item_id", F.col("prediction").alias("value"))
+    near_profile = model.near_centroids(factors.centroids(own, model.items), train, history, each).select("user_id", "item_id", ((F.col("cosine") + 1) / 2).alias("value"))
+    year = recall.year_values(own, items, quality).join(history, ["user_id", "item_id"], "left_anti")
+    parts = {"mf_user_top": top_mf, "profile_centroid": near_profile, "item_item_cf": recall.normalised(item_item), "user_user_cf": recall.normalised(shared), "year_affinity": year}
+    routes = recall.popular_route(quality, recall.popular_limit(limit, k))
+    for source, values in parts.items():
+        routes = routes.unionByName(recall.route(values, source, each))
+    return model, shared, item_item, routes
+
+
+def _ltr_matrix(spark, d):
+    """Features of every later rating of all users with enough ratings, by models fitted on the earlier ones."""
+    rows = ev.three_way_split(domain.ratings(spark, d), min_ratings=12)
+    train, items = rows.filter("split = 'train'").persist(), domain.items(spark, d)  # each model reads it
+    users, quality = ev.rated_users(train, ev.Config().min_ratings), ev.quality_scores(train)
+    pairs = rows.filter("split <> 'train'").join(users, "user_id", "left_semi").select("user_id", "item_id", "split", (F.col("rating") >= 4).cast("int").alias("label"))
+    model, shared, item_item, routes = _recalled(train, items, users, quality, 600)
+    near = lambda positive: pairs.select("user_id", "item_id").join(factors.centroids(train, model.items, positive), "user_id").join(model.items.filter("q is not null"), "item_id").select("user_id", "item_id", factors.cosine("centroid", "q").alias("value"))
+    extras = {
+        "mf": model.predict(pairs.select("user_id", "item_id")).select("user_id", "item_id", F.col("prediction").alias("value")), "cf": shared, "item_item": item_item,
+        "positive": near(True), "negative": near(False), "routes": recall.route_features(routes, list(recall.PRIORS)),
+    }
+    return rerank.feature_matrix(pairs, train, items, quality, extras)
 
 
 @query()
 def ltr_scores(spark, d):
     """Scores of a pointwise ranker on the users' later ratings, trained on the middle ones."""
-    rows = ev.three_way_split(domain.ratings(spark, d), min_ratings=12)
-    train, items = rows.filter("split = 'train'"), domain.items(spark, d)
-    users = ev.eligible_users(train, ev.Config())
-    pairs = rows.filter("split <> 'train'").join(F.broadcast(users), "user_id").select("user_id", "item_id", "split", (F.col("rating") >= 4).cast("int").alias("label"))
-    matrix = rerank.feature_matrix(pairs, train, items, ev.quality_scores(train)).persist()  # each stage of the fit reads it
+    matrix = _ltr_matrix(spark, d).persist()  # each stage of the fit reads it
     ranker = rerank.fit_pointwise(matrix.filter("split = 'ranker'"))
     return ranker.score(matrix.filter("split = 'test'")).select("user_id", "item_id", "label", F.round("ranker_score", 6).alias("ranker_score"))
 
 
 @query()
 def recall_pool(spark, d):
-    """The fused candidate pool of the popular, item-item, user-user and year routes for the evaluation users."""
-    rows = _split(spark, d)
+    """The fused candidate pool of all six routes for every user with enough ratings."""
+    rows = _split(spark, d).persist()  # the model and each route read it
     train, items = rows.filter("split = 'train'"), domain.items(spark, d)
-    users = ev.eligible_users(train, ev.Config())
-    own = train.join(F.broadcast(users), "user_id", "left_semi")
-    quality, history = ev.quality_scores(train), own.select("user_id", "item_id")
-    limit = recall.per_user_limit(600, 160, 10)
-    session = own.select(F.col("user_id").alias("session_id"), "item_id", "rating")
-    unseen = lambda df: df.withColumnRenamed("session_id", "user_id").select("user_id", "item_id", F.col("score").alias("value")).join(history, ["user_id", "item_id"], "left_anti")
-    item_item = recall.route(recall.normalised(unseen(cf.item_item_scores(session, cf.item_item_neighbors(train)))), "item_item_cf", limit)
-    near = cf.user_neighbors(train, users).select(F.col("user_id").alias("session_id"), F.col("neighbor_id").alias("user_id"), "similarity")
-    user_user = recall.route(recall.normalised(unseen(cf.score_candidates(near, train, session, cf.EVALUATOR))), "user_user_cf", limit)
-    year = recall.route(recall.year_values(own, items, quality).join(history, ["user_id", "item_id"], "left_anti"), "year_affinity", limit)
-    routes = recall.popular_route(quality, recall.popular_limit(600, 10)).unionByName(item_item).unionByName(user_user).unionByName(year)
-    test = rows.filter("split = 'test' and rating >= 4").join(F.broadcast(users), "user_id", "left_semi")
+    users, quality = ev.rated_users(train, ev.Config().min_ratings), ev.quality_scores(train)
+    routes = _recalled(train, items, users, quality, 600)[3]
+    test = rows.filter("split = 'test' and rating >= 4").join(users, "user_id", "left_semi")
     pool, _ = recall.build_pool(routes, test, quality, 600, 20.29)
     return pool.select("item_id", F.round("score", 6).alias("score"), F.array_join("sources", "|").alias("sources"))
