@@ -4,103 +4,60 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import map_batches, table
+from .html_tree import Node, TreeBuilder
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that show nothing.
-UNSEEN = frozenset("script style noscript template head title iframe object svg math canvas audio video datalist select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+#: Elements that show nothing of their own, in a browser that runs scripts and plays media, but loads no plug-in.
+UNSEEN = frozenset("script style noscript template head title iframe audio video datalist noembed noframes rp progress meter param source track".split())
+#: Parts of svg and math that hold definitions and descriptions.
+UNSEEN_FOREIGN = frozenset("title desc metadata defs symbol style script clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 #: Blocks with an empty line on either side.
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure".split())
-#: An opening tag closes these open elements, up to the nearest of the scope.
-CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
-    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "caption", "colgroup"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"caption", "colgroup", "tbody"}, {"table"}), "tfoot": ({"thead", "tbody", "caption"}, {"table"}),
-    "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}), "body": ({"head"}, {"html"}),
-}
-#: These close an open paragraph.
-ENDS_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dir dl pre listing xmp plaintext blockquote table figure".split())
+LISTS = frozenset(("ul", "ol", "menu", "dir"))
+PREFORMATTED = frozenset(("pre", "listing", "xmp", "plaintext", "textarea"))
+BLOCK_DISPLAY = frozenset("block list-item table flex grid flow-root".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
-
-
-class Node:
-    __slots__ = ("attrs", "children", "tag")
-
-    def __init__(self, tag: str, attrs: dict[str, str | None] | None = None):
-        self.tag, self.attrs, self.children = tag, attrs or {}, []
-
-
-class TreeBuilder(HTMLParser):
-    """Builds a tree and supplies the tags that HTML lets a page leave out."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("#root")
-        self.open = [self.root]
-        self.counts: Counter[str] = Counter()  # of open elements, so that a tag that is not open costs no search
-
-    def _cut(self, k: int) -> None:
-        for node in self.open[k:]:
-            self.counts[node.tag] -= 1
-        del self.open[k:]
-
-    def _close(self, tags: set[str], scope: set[str]) -> None:
-        """Closes the open elements of `tags` that no element of `scope` encloses, with all in them."""
-        k = len(self.open) - 1
-        while k > 0 and any(self.counts[t] for t in tags) and self.open[k].tag not in scope - tags:
-            if self.open[k].tag in tags:
-                self._cut(k)
-            k -= 1
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in CLOSES:
-            self._close(*CLOSES[tag])
-        if tag in ENDS_P:
-            self._close({"p"}, {"td", "th", "table", "button", "li", "dd"})
-        if tag in ("td", "th") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            self.handle_starttag("tr", [])
-        if tag == "tr" and self.open[-1].tag == "table":
-            self.handle_starttag("tbody", [])
-        node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-            self.counts[tag] += 1
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)  # HTML ignores the slash
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "br":
-            return self.handle_starttag("br", [])
-        if not self.counts[tag]:
-            if tag == "p":  # a stray end tag is an empty paragraph
-                self.handle_starttag("p", [])
-                self.handle_endtag("p")
-            return
-        fence = {"td", "th", "table"} - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body") else set()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                return self._cut(k)
-            if self.open[k].tag in fence:
-                return
-
-    def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
-
-
-def visible(node: Node) -> bool:
-    """Whether an element shows: not by its kind, the hidden attribute, its style, nor as a hidden input."""
-    return not (node.tag in UNSEEN or "hidden" in node.attrs or HIDDEN.search(node.attrs.get("style") or "") or (node.tag == "input" and (node.attrs.get("type") or "").lower() == "hidden"))
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.DOTALL)
+#: Columns up to which lines are indented and cells aligned; what lies beyond follows two spaces later. It bounds the spaces
+#: that a page can make of its tags, and never drops text.
+MOST_INDENT, MOST_ALIGNED = 64, 400
+#: Tables nested deeper are written as lines, not as grids.
+MOST_NESTED = 8
+#: Fixed values of the HTML standard: a cell spans at most so many columns and rows.
+MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
+
+
+def style_of(node: Node) -> dict[str, str]:
+    """The element's own style: property -> value, in lower case; important declarations, then later ones, win."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in CSS_COMMENT.sub("", node.attrs.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        value, important = value.strip().lower(), False
+        if value.endswith("important") and value.removesuffix("important").rstrip().endswith("!"):
+            value, important = value.removesuffix("important").rstrip()[:-1].strip(), True
+        name = name.strip().lower()
+        if value and (important or not found.get(name, (False, ""))[0]):
+            found[name] = important, value
+    return {k: v for k, (_, v) in found.items()}
+
+
+def removed(node: Node, style: dict[str, str]) -> bool:
+    """Whether an element and all in it take no part: by its kind, an attribute, or its style."""
+    tag, attrs = node.tag, node.attrs
+    if tag in (UNSEEN_FOREIGN if node.foreign else UNSEEN):
+        return True
+    if tag == "input":
+        return (attrs.get("type") or "").lower() not in ("submit", "button", "reset") or "hidden" in attrs or style.get("display") == "none"
+    if style.get("display") == "none" or style.get("content-visibility") == "hidden":
+        return True
+    by_attribute = "hidden" in attrs or "popover" in attrs or (tag == "dialog" and "open" not in attrs)
+    return by_attribute and "display" not in style
 
 
 def width(text: str) -> int:
@@ -111,12 +68,29 @@ def width(text: str) -> int:
 
 
 class _Page:
-    """Lines with collapsed white space; a block break ends the line, a gap leaves one empty line."""
+    """Lines with collapsed white space; a block break ends the line, a gap leaves one empty line.
+
+    Levels of indentation lie on a stack; a level's mark stands before its first line, and spaces before the others.
+    """
 
     def __init__(self):
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.space = self.gap = False
+        self.indent = 0  # of the levels that have a line
+        self.levels: list[str] = []  # the marks
+        self.waiting = 0  # so many innermost levels have no line yet
+
+    def enter(self, mark: str) -> None:
+        self.levels.append(mark)
+        self.waiting += 1
+
+    def leave(self) -> None:
+        mark = self.levels.pop()
+        if self.waiting:
+            self.waiting -= 1
+        else:
+            self.indent -= len(mark)
 
     def text(self, data: str, keep: bool) -> None:
         if keep:
@@ -136,11 +110,20 @@ class _Page:
             self.space = True
 
     def _put(self, text: str) -> None:
-        if text:
-            if self.gap and self.lines and not self.parts and self.lines[-1]:
+        if not text:
+            return
+        if not self.parts:
+            if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
-            self.gap = False
-            self.parts.append(text)
+            if self.indent:
+                self.parts.append(" " * min(self.indent, MOST_INDENT))
+            if self.waiting:
+                marks = self.levels[-self.waiting :]
+                self.parts += marks
+                self.indent += sum(map(len, marks))
+                self.waiting = 0
+        self.gap = False
+        self.parts.append(text)
 
     def _end(self, always: bool = False) -> None:
         line = "".join(self.parts).rstrip(" ")
@@ -156,13 +139,150 @@ class _Page:
         self._end()
         self.gap |= gap
 
+    def put_lines(self, lines: list[str]) -> None:
+        """Whole lines, as they are."""
+        self._end()
+        for line in lines:
+            self._put(line)
+            self._end(True)
+
     def done(self) -> list[str]:
         self._end()
-        while self.lines and not self.lines[-1]:
-            self.lines.pop()
-        while self.lines and not self.lines[0]:
-            self.lines.pop(0)
-        return self.lines
+        first, last = 0, len(self.lines)
+        while last > first and not self.lines[last - 1]:
+            last -= 1
+        while first < last and not self.lines[first]:
+            first += 1
+        return self.lines[first:last]
+
+
+class _Table:
+    """Cells of a table by row; head and foot groups go first and last wherever they stand."""
+
+    def __init__(self):
+        self.groups: list[tuple[int, list]] = []  # (0 head, 1 body or 2 foot, rows)
+        self.seen: set[int] = set()
+
+    def group(self, tag: str) -> None:
+        kind = {"thead": 0, "tfoot": 2}.get(tag, 1)
+        kind = 1 if kind in self.seen and kind != 1 else kind
+        self.seen.add(kind)
+        self.groups.append((kind, []))
+
+    def row(self) -> None:
+        if not self.groups:
+            self.group("tbody")
+        self.groups[-1][1].append([])
+
+    def cell(self, lines: list[str], columns: int, rows: int) -> None:
+        if not self.groups or not self.groups[-1][1]:
+            self.row()
+        self.groups[-1][1][-1].append((lines, columns, rows))
+
+    def laid(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Rows of (first column, end column, lines): each cell takes the first place that no cell from a row above still takes."""
+        out = []
+        for _, rows in sorted(self.groups, key=lambda g: g[0]):
+            taken: list[tuple[int, int, int]] = []  # (first column, end column, end row) by column
+            for r, row in enumerate(rows):
+                if not row:
+                    continue
+                taken = [t for t in taken if t[2] > r]
+                at, k, placed, more = 0, 0, [], []
+                for lines, columns, span in row:
+                    while k < len(taken) and taken[k][0] <= at:
+                        at, k = max(at, taken[k][1]), k + 1
+                    placed.append((at, at + columns, lines))
+                    if span != 1:
+                        more.append((at, at + columns, r + span if span else len(rows)))
+                    at += columns
+                if more:
+                    taken = sorted(taken + more)[: MOST_ALIGNED // 2]  # further ones start beyond the columns that are aligned
+                out.append(placed)
+        return out
+
+
+def _grid(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Rows of cells as lines. A column starts two places after the widest line of every cell that ends before it."""
+    rows = [r for r in rows if any(lines for _, _, lines in r)]
+    starts = sorted({a for r in rows for a, _, _ in r})
+    ends: dict[int, list[tuple[int, int]]] = {}
+    for r in rows:
+        for a, b, lines in r:
+            ends.setdefault(b, []).append((a, max(map(width, lines), default=0)))
+    at: dict[int, int] = {}
+    before, stops = 0, sorted(ends)
+    k = 0
+    for s in starts:
+        while k < len(stops) and stops[k] <= s:
+            before = max(before, *(at[a] + w + 2 for a, w in ends[stops[k]]))
+            k += 1
+        at[s] = before = min(before, MOST_ALIGNED)
+    out = []
+    for r in rows:
+        lines = [(a, x) for a, _, x in r if x]
+        for k in range(max(len(x) for _, x in lines)):
+            parts, used = [], 0
+            for a, x in lines:
+                if k < len(x) and x[k]:
+                    room = max(at[a] - used, 2 if used else 0)
+                    parts += [" " * room, x[k]]
+                    used += room + width(x[k])
+            out.append("".join(parts).rstrip(" "))
+    return out
+
+
+def _number(text: str | None, low: int, high: int, default: int) -> int:
+    found = re.match(r"[ \t\n\f]*([+-]?[0-9]{1,12})", text or "")
+    return max(low, min(high, int(found[1]))) if found else default
+
+
+def _mark(value: int, kind: str) -> str:
+    """An item's number in the style of its list's type."""
+    if kind in ("a", "A") and value > 0:
+        made = ""
+        while value:
+            value, digit = divmod(value - 1, 26)
+            made = chr(97 + digit) + made
+    elif kind in ("i", "I") and 0 < value < 4000:
+        made = ""
+        for n, letters in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            made += letters * (value // n)
+            value %= n
+    else:
+        return str(value)
+    return made.upper() if kind.isupper() else made
+
+
+def _plain(node: Node) -> str:
+    """All text in an element."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x is node or x.tag not in UNSEEN:
+            todo += reversed(x.children)
+    return SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def _options(select: Node) -> list[str]:
+    """What a select shows: all options of a list box, the chosen or else the first one of a menu."""
+    found: list[tuple[Node | None, str]] = []
+    for child in select.children:
+        if isinstance(child, str):
+            continue
+        if child.tag == "optgroup":
+            found.append((None, child.attrs.get("label", "")))
+            found += [(x, x.attrs.get("label") or _plain(x)) for x in child.children if not isinstance(x, str) and x.tag == "option"]
+        elif child.tag == "option":
+            found.append((child, child.attrs.get("label") or _plain(child)))
+    found = [f for f in found if f[0] is None or not removed(f[0], style_of(f[0]))]
+    if "multiple" in select.attrs or _number(select.attrs.get("size"), 0, 1 << 30, 1) > 1:
+        return [label for _, label in found if label]
+    own = [f for f in found if f[0] is not None]
+    chosen = [f for f in own if "selected" in f[0].attrs] or [f for f in own if "disabled" not in f[0].attrs][:1]
+    return [label for _, label in chosen[-1:] if label]
 
 
 def render(root: Node) -> list[str]:
@@ -171,119 +291,148 @@ def render(root: Node) -> list[str]:
     Lists are marked (`- `, or the number), nested ones and quotes are indented, table cells are padded to their column.
     """
     page = _Page()
-    # An element that needs its own page (an item, a quote, a cell) pushes one; leaving it merges the lines into the one below.
-    stack: list[tuple] = [("enter", root, False)]
-    pages, tables, counters = [page], [], []
+    pages, tables = [page], []  # a cell, and what stands in no cell of a table, has its own page
+    counters: list[list] = []  # of the open lists: next number, step, type; None for unnumbered ones
+    # Steps: enter a node with (preformatted, shown, text of an svg shows); or leave it with what entering opened.
+    stack: list[tuple] = [(root, (False, True, True), None)]
     while stack:
-        step, node, keep = stack.pop()
+        node, state, opened = stack.pop()
         page = pages[-1]
         if isinstance(node, str):
-            page.text(node, keep)
+            if state[1] and state[2]:
+                page.text(node, state[0])
+            elif node.strip(" \t\n\f") != node or not node.strip(" \t\n\f"):
+                page.text(" ", False)
             continue
         tag = node.tag
-        if step == "enter":
-            if tag == "br":
-                page.line()
-                continue
-            if tag == "hr":
-                page.block(True)
-                continue
-            if tag != "#root" and not visible(node):
-                continue
-            if tag == "img":
-                if node.attrs.get("alt"):
-                    page.text(node.attrs["alt"], False)
-                continue
-            keep = keep or tag in ("pre", "textarea")
-            if tag in BLOCK and tag not in ("td", "th", "tr"):
-                page.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
-            if tag in ("ul", "ol", "menu"):
-                start = node.attrs.get("start") or "1"
-                counters.append(int(start) if tag == "ol" and re.fullmatch(r"-?\d{1,9}", start) else 1 if tag == "ol" else None)
-            elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
-                tables[-1].append([])
-            if tag in ("li", "blockquote", "dd", "table") or (tag in ("td", "th") and tables):
-                pages.append(_Page())
-            stack.append(("leave", node, keep))
-            stack += [("enter", child, keep) for child in reversed(node.children)]
+        if opened is not None:
+            _leave(node, opened, pages, tables, counters)
+            continue
+        style = style_of(node) if "style" in node.attrs else {}
+        if removed(node, style):
             continue
-        if tag == "li":
-            lines, mark = pages.pop().done(), "- "
-            if counters and counters[-1] is not None:
-                mark = f"{counters[-1]}. "
-                counters[-1] += 1
-            _merge(pages[-1], lines, mark, " " * len(mark))
+        keep, shown, drawn = state
+        if "visibility" in style:
+            shown = style["visibility"] in ("visible", "initial") or (shown and style["visibility"] not in ("hidden", "collapse"))
+        if tag == "br":
+            page.line()
+            continue
+        if tag == "hr":
+            page.block(True)
+            continue
+        if tag in ("img", "input"):
+            text = node.attrs.get("alt" if tag == "img" else "value")
+            if text and shown:
+                page.text(text, False)
+            continue
+        if tag == "select":
+            labels = _options(node) if shown else []
+            for k, label in enumerate(labels):
+                if len(labels) > 1:
+                    page.block(False)
+                page.text(label, False)
+            if len(labels) > 1:
+                page.block(False)
+            continue
+        keep = keep or (tag in PREFORMATTED and not node.foreign)
+        if "white-space" in style:
+            keep = style["white-space"].startswith("pre") or style["white-space"] == "break-spaces"
+        if node.foreign:
+            drawn = tag in ("text", "foreignobject") or (drawn and tag != "svg")
+        children = node.children
+        if tag == "details" and "open" not in node.attrs:
+            children = [c for c in children if not isinstance(c, str) and c.tag == "summary"][:1]
+        cell = tag in ("td", "th") and bool(tables)
+        block = (tag in BLOCK and not node.foreign) or (node.foreign and tag in ("text", "mtr", "foreignobject", "svg"))
+        if "display" in style and not node.foreign and tag not in LISTS | {"li", "table", "tr", "td", "th", "caption"}:
+            block = style["display"] in BLOCK_DISPLAY or (block and style["display"] not in ("inline", "inline-block", "contents"))
+        block = block and not cell and not (tag in ("tr", "tbody", "thead", "tfoot") and tables)
+        gap = block and tag in SPACED and not (tag in ("ul", "ol", "dir") and bool(counters))
+        opened = (block, gap, None)
+        if block:
+            page.block(gap)
+        if node.foreign and tag == "mtd":
+            page.text(" ", False)
+        if tag in LISTS:
+            counters.append(_counter(node))
+            opened = (block, gap, "list")
+        elif tag == "li":
+            page.enter(_item_mark(node, counters))
+            opened = (block, gap, "level")
         elif tag in ("blockquote", "dd"):
-            lines = pages.pop().done()
-            _merge(pages[-1], lines, "  ", "  ")
-        elif tag in ("td", "th") and tables:
-            lines = pages.pop().done()
-            if not tables[-1]:
-                tables[-1].append([])
-            tables[-1][-1].append((lines, _span(node)))
+            page.enter("  ")
+            opened = (block, gap, "level")
         elif tag == "table":
-            around = pages.pop().done()  # a caption, and what stands in no cell
-            _merge(pages[-1], around + _grid(tables.pop()), "", "")
-        if tag in ("ul", "ol", "menu"):
-            counters.pop()
-        if tag in BLOCK and tag not in ("td", "th", "tr"):
-            pages[-1].block(tag in SPACED and not (tag in ("ul", "ol") and counters))
+            if len(tables) < MOST_NESTED:
+                tables.append(_Table())
+                pages.append(_Page())
+                opened = (block, gap, "table")
+            else:
+                tables.append(None)
+                opened = (block, gap, "flat")
+        elif tables and tables[-1] is None and tag in ("tr", "td", "th"):
+            page.block(False)
+        elif tag in ("tbody", "thead", "tfoot") and tables and tables[-1]:
+            tables[-1].group(tag)
+        elif tag == "tr" and tables:
+            tables[-1].row()
+        elif cell:
+            pages.append(_Page())
+            opened = (block, gap, "cell")
+        stack.append((node, state, opened))
+        inner = (keep, shown, drawn)
+        stack += [(child, inner, None) for child in reversed(children)]
     return pages[0].done()
 
 
-def _span(cell: Node) -> int:
-    found = cell.attrs.get("colspan") or "1"
-    return max(1, min(1000, int(found))) if re.fullmatch(r"\d{1,9}", found) else 1
-
-
-def _merge(page: _Page, lines: list[str], first: str, rest: str) -> None:
-    if lines:
+def _leave(node: Node, opened: tuple, pages: list[_Page], tables: list, counters: list) -> None:
+    block, gap, kind = opened
+    page = pages[-1]
+    if kind == "list":
+        counters.pop()
+    elif kind == "level":
         page.block(False)
-        for k, line in enumerate(lines):
-            page._put(((first if k == 0 else rest) + line) if line else "")
-            page._end(True)
-
-
-def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of cells as lines; each column is as wide as its widest line in a cell of one column."""
-    rows = [r for r in rows if any(lines for lines, _ in r)]
-    widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                widths[at] = max([widths.get(at, 0), *map(width, lines)])
-            at += span
-    out = []
-    for row in rows:
-        for k in range(max(len(lines) for lines, _ in row)):
-            cells, at = [], 0
-            for lines, span in row:
-                line = lines[k] if k < len(lines) else ""
-                room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1) if span <= 64 else 0
-                cells.append(line + " " * max(0, room - width(line)))
-                at += span
-            out.append("  ".join(cells).rstrip(" "))
-    return out
+        page.leave()
+    elif kind == "cell":
+        rows = _number(node.attrs.get("rowspan"), 0, MOST_ROWSPAN, 1)
+        tables[-1].cell(pages.pop().done(), max(1, _number(node.attrs.get("colspan"), 0, MOST_COLSPAN, 1)), rows)
+    elif kind == "table":
+        around = pages.pop().done()  # a caption, and what stands in no cell
+        pages[-1].put_lines(around + _grid(tables.pop().laid()))
+    elif kind == "flat":
+        tables.pop()
+    if block:
+        pages[-1].block(gap)
+
+
+def _counter(node: Node) -> list | None:
+    if node.tag != "ol":
+        return None
+    down = "reversed" in node.attrs
+    items = sum(not isinstance(c, str) and c.tag == "li" for c in node.children)
+    return [_number(node.attrs.get("start"), -(10**9), 10**9, items if down else 1), -1 if down else 1, node.attrs.get("type", "1")]
+
+
+def _item_mark(node: Node, counters: list) -> str:
+    if not counters or counters[-1] is None:
+        return "- "
+    counter = counters[-1]
+    value = _number(node.attrs.get("value"), -(10**9), 10**9, counter[0])
+    counter[0] = value + counter[1]
+    return f"{_mark(value, counter[2])}. "
 
 
 def extract(html: str | None) -> str:
     """All visible text of a page; a null or empty page gives an empty text."""
-    if not html:
-        return ""
-    builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
-    return "\n".join(render(builder.root))
+    return "\n".join(render(TreeBuilder(html).root)) if html else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(page_id, html, ...) -> (page_id, text, n_chars, n_lines), a row for each row.
 
     Whole pages are read, in time linear in them; other columns are not read. Any string is a page: unclosed and
-    stray tags are repaired as browsers do, and what is no markup is text.
+    stray tags are repaired as browsers do, and what is no markup is text. A null or empty page has an empty text, no
+    characters and no lines. Repeated rows give repeated rows, equal pages equal texts; a page_id may be null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
