@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Used only where the session has no spark.checkpoint.dir, as in tests.
+#: Used only where a session on this machine alone has no spark.checkpoint.dir, as in tests.
 DEFAULT_DIR = "/tmp/checkpoints"
 
 
@@ -18,24 +21,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    """The folder that the driver and all executors share; a cluster must name it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return found or DEFAULT_DIR
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there is deleted when the enclosing steps() ends, else with the application."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _scopes[-1].append(path)
+    return path
+
+
+#: Paths to delete: those of the application, then those of each open steps().
+_scopes: list[list[str]] = [[]]
+
+
+def _delete(paths: list[str]) -> None:
+    context, jvm = SparkContext._active_spark_context, SparkContext._gateway.jvm
+    settings = context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(settings).delete(path, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    try:
+        _delete(_scopes[0])
+    except Exception:  # the JVM has gone, and its folder is the cluster's to clean
+        pass
+
+
+@contextmanager
+def steps() -> Iterator[None]:
+    """What materialise() writes inside is deleted at the end, but for what outlive() names: that is left to the scope around."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _delete(_scopes.pop())
+
+
+def outlive(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """materialise(), for a table that is read after the steps() around."""
+    found = materialise(df, name, rows)
+    if len(_scopes) > 1:
+        _scopes[-2].append(_scopes[-1].pop())
+    return found
 
 
 #: Rows of a small table that one file and one task hold.
-ROWS_IN_FILE = 50_000
+ROWS_IN_FILE = 8_000
 
 
 def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Cuts the lineage: a lost executor costs a re-read, never a recomputation, and later
-    steps see the written size when they choose joins. `rows`, a bound on df's rows, keeps
-    small tables in few files: one for each ROWS_IN_FILE of them.
+    steps see the written size when they choose joins. `rows`, a bound on the rows of a df that
+    is cheap to make, keeps small tables in few files: one for each ROWS_IN_FILE of them.
     """
     path = fresh_path(df.sparkSession, name)
     df = df if rows is None else df.coalesce(1 + rows // ROWS_IN_FILE)
@@ -43,16 +90,17 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a batch that goes to Python: Spark's own 10,000 whole texts would be held several times over.
-BATCH_ROWS = 1000
-BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of a batch that goes to Python, whatever its rows, where the session leaves Spark's own 64 MB: batches of whole
+#: texts are held several times over. A session that chose its own bound keeps it.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING, SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64m", "64MB")
 
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow(run, schema) with batches of at most BATCH_ROWS, for this session from now on."""
+    """df.mapInArrow(run, schema) with batches of about BATCH_BYTES; one text is never split."""
     conf = df.sparkSession.conf
-    if int(conf.get(BATCH_SETTING, "10000")) > BATCH_ROWS:
-        conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    if conf.get(BATCH_SETTING) in SPARKS_OWN:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 

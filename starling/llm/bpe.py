@@ -58,12 +58,15 @@ class Bpe:
         spec = json.loads(blob)
         model, split = spec["model"], spec["pre_tokenizer"] or {}
         plain = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not t["normalized"] for t in spec["added_tokens"])
-        if model["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or spec["normalizer"] or model["ignore_merges"] or not plain:
+        odd = any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix"))
+        if odd or model["type"] != "BPE" or split.get("type") != "ByteLevel" or split["add_prefix_space"] or not split["use_regex"] or spec["normalizer"] or model["ignore_merges"] or not plain:
             raise ValueError("not a plain byte-level BPE file")
         alphabet = byte_alphabet()
         latin = lambda t: "".join(alphabet[c] for c in t)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         vocabulary = {latin(t): i for t, i in model["vocab"].items() if t not in self.special}
+        if missing := [b for b in range(256) if chr(b) not in vocabulary]:
+            raise ValueError(f"the vocabulary lacks {len(missing)} bytes, the first of them {missing[0]:#04x}, so not every text has tokens")
         self.size = 1 + max(*model["vocab"].values(), *self.special.values(), -1)
         self.bytes: list[bytes] = [b""] * self.size
         for t, i in vocabulary.items():
@@ -239,7 +242,8 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_tokens, ids_sha256, decoded_sha256), a row for each row.
 
     Ids are digested as little-endian unsigned 32-bit integers, the decoded text as UTF-8. A null text counts as
-    empty. Only doc_id and text are read; a text is held with its ids, and nothing else is.
+    empty. Only doc_id and text are read; a text is held with its ids, and nothing else is. Repeated rows have equal results, an
+    empty table none, and a doc_id may be null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(_blob(path))
 

@@ -8,30 +8,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import map_batches, materialise, table
+from ._common import map_batches, table
 
 NOT_LETTERS = regex.compile(r"[^\p{L}]+")
 LETTER = regex.compile(r"\p{L}")
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Code points of a text that are hashed at once; blocks overlap by the longest n-gram less one.
 BLOCK = 1 << 18
-MOST_LANGUAGES = 64
+BIT_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The filter is fitted on at most sample_docs labelled rows of each language, those of least hash of doc_id.
+    """The filter is fitted on some sample_docs labelled rows of each language, and holds all n-grams of these.
 
-    Of their n-grams, the grams_per_language commonest that occur least_count times or more are put in.
+    The sample has the rows whose hash is below sample_docs / rows of the language: all of them if they are no more than
+    sample_docs, else about that many, and one at least. Each language has places_per_gram slots for each n-gram of the one with most of them.
     """
 
     orders: tuple[int, ...] = (2, 3, 4)
     sample_docs: int = 1500
-    grams_per_language: int = 20_000
-    least_count: int = 3
-    slot_bits: int = 19
+    places_per_gram: int = 24
+    seed: int = 42
 
 
 def grams(text: str, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
@@ -52,27 +52,33 @@ def grams(text: str, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
 
 
 class LanguageFilter:
-    """slots[i] has bit l set if an n-gram of language l hashes to i; all of an n-gram's slots together tell its languages."""
+    """slots[i] has the bit of language l set if an n-gram of l hashes to i; all of an n-gram's slots together tell its languages.
+
+    A slot is a row of bytes, eight languages each, so any number of languages has its bits.
+    """
 
     def __init__(self, languages: list[str], members: list[np.ndarray], settings: Settings):
-        if len(languages) > MOST_LANGUAGES:
-            raise ValueError(f"a bitmask holds {MOST_LANGUAGES} languages, not {len(languages)}")
         self.languages, self.settings = languages, settings
-        self.slots = np.zeros(1 << settings.slot_bits, dtype=np.uint64)
+        most = max(map(len, members), default=0)
+        self.bits = max(10, (most * settings.places_per_gram - 1).bit_length())
+        self.slots = np.zeros((1 << self.bits, -(-len(languages) // 8)), dtype=np.uint8)
         for bit, hashes in enumerate(members):
             for places in self._places(hashes):
-                self.slots[places] |= np.uint64(1 << bit)
-        filled = np.array([(self.slots >> np.uint64(b) & np.uint64(1)).mean() for b in range(len(languages))])
-        self.false = filled ** len(MULTIPLIERS)
-        if len(languages) <= 8:
-            self.slots = self.slots.astype(np.uint8)
+                self.slots[places, bit // 8] |= np.uint8(1 << bit % 8)
+        self.false = self._popcounts(self.slots) / len(self.slots)
+        self.false **= len(MULTIPLIERS)
 
     def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
         for m in MULTIPLIERS:
-            yield (hashes * np.uint64(m)) >> np.uint64(64 - self.settings.slot_bits)
+            yield (hashes * np.uint64(m)) >> np.uint64(64 - self.bits)
+
+    def _popcounts(self, masks: np.ndarray) -> np.ndarray:
+        """How many of the masks have each language's bit."""
+        counts = [np.bincount(column, minlength=256) @ BIT_OF_BYTE for column in masks.T]
+        return np.concatenate([np.zeros(0), *counts])[: len(self.languages)]
 
     def masks(self, hashes: np.ndarray) -> np.ndarray:
-        """All languages that may contain each n-gram, as a bitmask."""
+        """All languages that may contain each n-gram, as rows of bytes."""
         first, *rest = self._places(hashes)
         found = self.slots[first]
         for places in rest:
@@ -88,13 +94,8 @@ class LanguageFilter:
             return "und", 0.0
         hits, total = np.zeros(len(self.languages)), 0
         for hashes in grams(text, self.settings.orders):
-            masks = self.masks(hashes)
-            total += len(masks)
-            if masks.dtype == np.uint8:
-                counts = np.bincount(masks, minlength=256)
-                hits += [counts[np.arange(256) >> b & 1 == 1].sum() for b in range(len(self.languages))]
-            else:
-                hits += [int((masks >> np.uint64(b) & np.uint64(1)).sum()) for b in range(len(self.languages))]
+            hits += self._popcounts(self.masks(hashes))
+            total += len(hashes)
         share = (hits / max(total, 1) - self.false) / np.maximum(1 - self.false, 1e-9)
         best = int(np.argmax(share))
         return self.languages[best], float(np.clip(share[best], 0.0, 1.0))
@@ -105,31 +106,33 @@ def held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, settings: Settings | None = None) -> LanguageFilter:
-    """docs(doc_id, text, lang, ...) -> a filter for the languages of its rows; rows without doc_id, text or lang are left out."""
+    """docs(doc_id, text, lang, ...) -> a filter for the languages of its rows; rows without doc_id, text or lang are left out.
+
+    Rows of one doc_id, lang and text count once. The languages and the n-grams of the sample come to the driver: at most as
+    many as sample_docs texts of each language have.
+    """
     settings = settings or Settings()
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.filter("doc_id is not null and lang is not null and text is not null")
-    chosen = known.select("doc_id", "lang").distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= settings.sample_docs).drop("n")
-    chosen = materialise(chosen, "language-sample")
-    languages = [r.lang for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    sample = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most sample_docs ids for each of 64 languages
+    parts = 1 << 30
+    known = known.withColumn("hash", F.pmod(F.xxhash64("doc_id", "text", F.lit(settings.seed)), F.lit(parts)))
+    rows = known.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n"), F.min("hash").alias("least")).orderBy(F.desc("n"), "lang").collect()  # one row a language
+    languages = [r.lang for r in rows]
+    if not rows:
+        return LanguageFilter([], [], settings)
+    shares = [(r.lang, max(r.least + 1, parts * settings.sample_docs // max(r.n, settings.sample_docs))) for r in rows]
+    sample = known.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, most long")), "lang").filter("hash < most")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by.setdefault(lang, []).extend(grams(text.as_py(), settings.orders))
+                by.setdefault(lang, []).extend(np.unique(g) for g in grams(text.as_py(), settings.orders))
             for lang, parts in by.items():
                 if parts:
-                    values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "gram", "n"])
+                    values = np.unique(np.concatenate(parts))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64))], names=["lang", "gram"])
 
-    counted = map_batches(sample.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    common = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    top = counted.filter(F.col("n") >= settings.least_count).withColumn("k", F.row_number().over(common)).filter(F.col("k") <= settings.grams_per_language)
-    found = top.select("lang", "gram").toPandas()  # at most grams_per_language rows for each of 64 languages
+    found = map_batches(sample.select("lang", "text"), run, "lang string, gram long").distinct().toPandas()
     members = [found.gram[found.lang == lang].to_numpy(dtype=np.int64).view(np.uint64) for lang in languages]
     return LanguageFilter(languages, members, settings)
 

@@ -1,4 +1,7 @@
-"""Near copies by Jaccard similarity of word shingles: prefix filter, exact verification, connected components."""
+"""Near copies by Jaccard similarity of word shingles.
+
+SimHash blocks find the close ones first; a prefix filter finds the rest, as 64 bits tell a similarity of 0.8 only roughly. Every
+link is verified on the shingles themselves, and components are those of all such links."""
 
 from __future__ import annotations
 
@@ -12,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ._common import map_batches, materialise, signed, unused
+from ._common import map_batches, materialise, outlive, signed, steps, unused
 from .components import connected_components
+from .simhash import close_pairs, fingerprint, one_row_each, words_of
 
 #: Two texts are near copies if their sets of SHINGLE words in a row share LEAST[0] / LEAST[1] of their union or more.
 SHINGLE = 5
@@ -23,11 +27,10 @@ LEAST = (4, 5)
 ORDER_ROWS = 20_000
 MOST_COMMON = 200_000
 COMMON = 8
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """A-Z in lower case, words [^\\x20\\x09-\\x0D]+, as in simhash."""
-    return text.encode().lower().split() if text else []
+#: Texts to verify up to which their hashes, 8 bytes each, are broadcast, so that other texts are not shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Texts that a task remembers to have seen.
+REMEMBERED = 1_000_000
 
 
 def node_of(words: list[bytes]) -> int:
@@ -43,13 +46,14 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], dtype=np.uint64))
 
 
-def _rows(docs: DataFrame, keep: list[str], schema: str, make) -> DataFrame:
-    """The columns in `keep`, and for each row of docs what make(words) gives, a tuple of the further columns."""
+def _rows(docs: DataFrame, keep: list[str], schema: str, maker) -> DataFrame:
+    """The columns in `keep`, and for each row of docs what a task's make = maker() gives for its words, a tuple of the further columns."""
     rows = docs.select(*keep, F.col("text").alias(unused(keep, "text")))
     full = StructType(rows.select(*keep).schema.fields + StructType.fromDDL(schema).fields)
     types = to_arrow_schema(StructType.fromDDL(schema)).types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
         for batch in batches:
             made = [make(words_of(t.as_py())) for t in batch.column(len(keep))]
             arrays = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(types)]
@@ -62,7 +66,7 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common among some ORDER_ROWS rows of docs, sorted, and their counts."""
     every = max(1, n // ORDER_ROWS)
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counted = _rows(some, [], "s array<long>", lambda w: (shingles(w).view(np.int64),)).select(F.explode("s").alias("s")).groupBy("s").count()
+    counted = _rows(some, [], "s array<long>", lambda: lambda w: (shingles(w).view(np.int64),)).select(F.explode("s").alias("s")).groupBy("s").count()
     found = counted.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()  # at most MOST_COMMON
     s, c = found.column("s").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(s)
@@ -77,15 +81,26 @@ def _prefixes(docs: DataFrame, n: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
     a, b = LEAST
 
-    def make(words: list[bytes]):
-        (known, counts), own = sent.value, shingles(words)
-        at = np.searchsorted(known, own)
-        at[at == len(known)] = 0
-        weight = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
-        first = own[np.lexsort((own, weight))][: len(own) - -(-a * len(own) // b) + 1]
-        return node_of(words), len(own), first.view(np.int64)
-
-    rows = _rows(docs, [], "node long, n long, s array<long>", make)
+    def maker():
+        seen: set[int] = set()  # so that a text that repeats is no hot key
+
+        def make(words: list[bytes]):
+            node = node_of(words)
+            if node in seen:
+                return node, 0, []
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(node)
+            (known, counts), own = sent.value, shingles(words)
+            at = np.searchsorted(known, own)
+            at[at == len(known)] = 0
+            weight = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
+            first = own[np.lexsort((own, weight))][: len(own) - -(-a * len(own) // b) + 1]
+            return node, len(own), first.view(np.int64)
+
+        return make
+
+    rows = _rows(docs, [], "node long, n long, s array<long>", maker)
     return rows.select("node", "n", F.posexplode("s").alias("pos", "s")).select("s", "node", "n", "pos")
 
 
@@ -96,14 +111,16 @@ def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (b * F.least(n, m) >= a * F.greatest(n, m)) & ((a + b) * shared >= a * (n + m))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose shingles are similar enough."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose shingles are similar enough; classes(node, h) has the hash of a text of each node."""
     a, b = LEAST
     pairs = materialise(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    texts = _rows(docs.withColumn("__own", F.col("text")).select("text", "__own"), ["__own"], "node long", lambda w: (node_of(w),))
-    texts = materialise(texts.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "pair-texts")
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("__own").alias(f"text_{x}"))
+    wanted = materialise(classes.select("node", "h").join(wanted, "node", "left_semi"), "wanted")
+    texts, keys = docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("t")), wanted.select("h")
+    texts = texts.join(F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys, "h", "left_semi")
+    texts = materialise(texts.dropDuplicates(["h"]).join(wanted, "h").select("node", "t"), "pair-texts")
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(f"text_{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,42 +136,60 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(map_batches(both, run, "u long, v long"), "close-pairs")
 
 
-def links(docs: DataFrame, n: int) -> DataFrame:
-    """docs(text, ...) -> links(u, v) of nodes whose components are those of all near copies.
+def by_simhash(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """links(u, v) of nodes that are near copies and whose fingerprints differ in a few bits: enough to join most copies, not all."""
+    firsts = materialise(classes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    equal = classes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    one = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}"))
+    close = close_pairs(firsts.select("fp")).join(one("u"), "u").join(one("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    return _verified(equal.union(close), docs, classes)
+
+
+def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """pairs with whether known(node, root) has both ends in one component."""
+    side = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    both = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
+    return both.withColumn("joined", F.coalesce(F.col("root_u") == F.col("root_v"), F.lit(False))).drop("root_u", "root_v")
+
+
+def by_prefix(docs: DataFrame, classes: DataFrame, n: int, known: DataFrame) -> DataFrame:
+    """links(u, v) of nodes which, with those that made known(node, root), have the components of all near copies.
 
-    The members of a shingle are held against its least one; then those that are no near copy of that, and only they, against
-    all others. A group of near copies so costs its size; no pair is left out.
+    The members of a shingle are held against its least one; then those that are not joined to that, and only they, against
+    all others. A group of near copies so costs its size; no pair is left out but those whose ends are joined already.
     """
     own = Window.partitionBy("s")
-    rows = _prefixes(docs, n).distinct().withColumns({"members": F.count(F.lit(1)).over(own), "least": F.min(F.struct("node", "n", "pos")).over(own)})
+    rows = _prefixes(docs, n).repartition("s").dropDuplicates(["s", "node"])
+    rows = rows.withColumns({"members": F.count(F.lit(1)).over(own), "least": F.min(F.struct("node", "n", "pos")).over(own)})
     rows = materialise(rows.filter("members > 1").drop("members"), "shared-shingles")
     others = rows.filter(F.col("node") != F.col("least.node"))
-    star = others.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")))
-    first = _verified(star.select(F.col("least.node").alias("u"), F.col("node").alias("v")), docs)
-    rest = others.join(first, (F.col("least.node") == F.col("u")) & (F.col("node") == F.col("v")), "left_anti")
+    star = others.select(F.col("least.node").alias("u"), F.col("node").alias("v"), _may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")).alias("may"))
+    star = materialise(_apart(star.groupBy("u", "v").agg(F.max("may").alias("may")), known), "stars")
+    first = _verified(star.filter("may and not joined").select("u", "v"), docs, classes)
+    done = first.union(star.filter("joined").select("u", "v"))
+    rest = others.join(done, (F.col("least.node") == F.col("u")) & (F.col("node") == F.col("v")), "left_anti")
     mates = others.select("s", F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"))
     pairs = rest.join(mates, "s").filter((F.col("node") != F.col("mate")) & _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos")))
-    pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v")).join(first, ["u", "v"], "left_anti")
-    return first.union(_verified(pairs, docs))
+    pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
+    pairs = _apart(pairs, known).filter("not joined").select("u", "v")
+    return first.union(_verified(pairs, docs, classes))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of docs(doc_id, text, ...), one for each component of near copies: that with the smallest doc_id, one of them if it repeats.
 
-    A component whose rows all lack a doc_id keeps one row, any of them. All columns stay as they are. Texts without words,
-    null among them, are copies of each other.
+    A component whose rows all lack a doc_id keeps one of them. All columns stay as they are. Texts without words, null among
+    them, are copies of each other. Equal rows count once; an empty table gives an empty table.
     """
-    own = materialise(_rows(docs, ["doc_id"], "node long", lambda w: (node_of(w),)), "nodes")
-    n = own.count()
-    roots = connected_components(links(docs.select("text"), n)).withColumnRenamed("node", "__node")
-    classes = own.groupBy("node").agg(F.min("doc_id").alias("least"))
-    linked = classes.join(roots, F.col("node") == F.col("__node"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    linked = materialise(linked, "linked", n)
-    chosen = materialise(linked.groupBy("root").agg(F.min("least").alias("doc_id")), "components", n)
-    kept = docs.join(chosen.select("doc_id").filter("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    if not docs.filter("doc_id is null").limit(1).count():
-        return kept
-    node, root = unused(docs.columns, "node"), unused(docs.columns, "root")
-    nameless = _rows(docs.filter("doc_id is null"), docs.columns, f"`{node}` long", lambda w: (node_of(w),))
-    alone = linked.join(chosen.filter("doc_id is null").select("root"), "root", "left_semi").select(F.col("node").alias(node), F.col("root").alias(root))
-    return kept.unionByName(nameless.join(alone, node).dropDuplicates([root]).select(docs.columns))
+    with steps():
+        rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+        own = _rows(rows, ["doc_id", "h"], "node long, fp long", lambda: lambda w: (node_of(w), signed(fingerprint(w, SHINGLE))))
+        best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")
+        classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp")), "classes")
+        n = classes.count()
+        first = by_simhash(docs, classes)
+        known = connected_components(first)
+        roots = connected_components(first.union(by_prefix(docs, classes, n, known)))
+        linked = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
+        chosen = outlive(linked.select("best.doc_id", "best.h"), "chosen")
+    return one_row_each(docs, chosen)

@@ -17,6 +17,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are greedy, so dropping short runs and asking for long ones is the same
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SEGMENT = re.compile(r"[^/=_-]+")
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -24,19 +25,17 @@ KINDS = ("assign", "access", "hex", "entropy")
 class Entropy:
     """Settings of the entropy scan.
 
-    A candidate is a run of 20 or more of [A-Za-z0-9+/_=-]; its class is hex (only hex digits, with a
-    digit), mixed (a digit and a letter) or letters (no digit, and more than one change from lower to
-    upper case). Windows of `window` characters whose Shannon entropy reaches the class's threshold
-    make spans; a candidate in which an allow-list pattern is found is left out.
+    A candidate is a run of 20 or more of [A-Za-z0-9+/_=-]. What the allow-list knows is cut out of it: places that match a
+    pattern of `allow_places`, and segments between / = _ - in which a pattern of `allow` is found. The class of each stretch
+    that is left is hex (only hex digits, with a letter), mixed (a digit and a letter) or letters (no digit, and more than one
+    change from lower to upper case). Windows of `window` characters whose Shannon entropy reaches the class's threshold make
+    spans.
     """
 
     window: int = 20
     thresholds: dict[str, float] = field(default_factory=lambda: {"hex": 2.9, "mixed": 3.6, "letters": 3.9})
-    allow: tuple[str, ...] = (
-        r"(?i)example|sample|dummy|placeholder|changeme|x{6,}",
-        r"(?i)abcdefgh|01234567|12345678",
-        r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    )
+    allow: tuple[str, ...] = (r"(?i)example|sample|dummy|placeholder|changeme|x{6,}", r"(?i)abcdefgh|01234567|12345678")
+    allow_places: tuple[str, ...] = (r"(?<![0-9A-Za-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9A-Za-z])",)
 
 
 def character_class(text: str) -> str | None:
@@ -87,17 +86,33 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def stretches(text: str, start: int, end: int, settings: Entropy) -> Iterator[tuple[int, int]]:
+    """The parts of a candidate that the allow-list leaves."""
+    cut = [m.span() for p in settings.allow_places for m in re.compile(p).finditer(text, start, end)]
+    cut += [m.span() for m in SEGMENT.finditer(text, start, end) if any(re.search(p, m[0]) for p in settings.allow)]
+    at = start
+    for a, b in sorted(cut):
+        if a > at:
+            yield at, a
+        at = max(at, b)
+    if at < end:
+        yield at, end
+
+
 def entropy_spans(text: str, settings: Entropy, known: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans of high entropy that no known span covers."""
-    found = []
+    """Spans of high entropy that no known span covers; known is by start, as the spans are."""
+    found, at, reach = [], 0, -1  # reach: the furthest end of the known spans that start no later
     for m in CANDIDATE.finditer(text):
-        kind = character_class(m[0])
-        if kind is None or any(re.search(p, m[0]) for p in settings.allow):
-            continue
-        for a, b in high_windows(m[0], settings.window, settings.thresholds[kind]):
-            a, b = a + m.start(), b + m.start()
-            if not any(s <= a and b <= e for _, s, e in known):
-                found.append(("entropy", a, b))
+        for start, end in stretches(text, *m.span(), settings):
+            kind = character_class(text[start:end]) if end - start >= settings.window else None
+            if kind is None:
+                continue
+            for a, b in high_windows(text[start:end], settings.window, settings.thresholds[kind]):
+                a, b = a + start, b + start
+                while at < len(known) and known[at][1] <= a:
+                    at, reach = at + 1, max(reach, known[at][2])
+                if b > reach:
+                    found.append(("entropy", a, b))
     return found
 
 
@@ -109,7 +124,8 @@ def scan(docs: DataFrame, settings: Entropy | None = None) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans), a row for each row.
 
     spans holds kind:start:end of the patterns and of the entropy scan, by start and then kind. A null or
-    empty text has none. Whole texts are read, in time linear in them; other columns are not read.
+    empty text has none. Whole texts are read, in time linear in them; other columns are not read. Repeated rows have equal
+    results, an empty table none, and a doc_id may be null.
     """
     settings = settings or Entropy()
 
@@ -145,9 +161,10 @@ def blot(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
 
 
 def redact(docs: DataFrame, settings: Entropy | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with the spans of scan() replaced by mark; n_chars, if there is one, follows the text.
+    """docs with the spans of scan() replaced by mark, overlapping ones by one; n_chars, if there is one, follows the text.
 
-    Rows and other columns stay as they are; a null text stays null.
+    Rows and other columns stay as they are, repeated rows and null ids too; a null or empty text stays as it is. An empty table
+    gives an empty table.
     """
     settings = settings or Entropy()
     at = docs.columns.index("text")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import map_batches, materialise, signed, table, unused
+from ._common import map_batches, materialise, outlive, signed, steps, table, unused
 from .components import connected_components
 
 BITS = 64
@@ -24,14 +24,22 @@ WORTHWHILE = 1 << 15
 SHORT_RUN = 24
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """A-Z in lower case, words [^\\x20\\x09-\\x0D]+."""
+    return text.encode().lower().split() if text else []
+
+
 def simhash(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint of a text.
+    """Unsigned 64-bit fingerprint of a text's words."""
+    return fingerprint(words_of(text), shingle, seed)
+
+
+def fingerprint(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint of shingles of `shingle` words with repeats, joined by one space.
 
-    A-Z in lower case, words [^\\x20\\x09-\\x0D]+, shingles of `shingle` words with repeats, joined by
-    one space. A bit is set if over half the shingles' XXH64 have it. Fewer words than a shingle:
-    the whole sequence is the one shingle. No words, or null: zero.
+    A bit is set if over half the shingles' XXH64 have it. Fewer words than a shingle: the whole sequence is the one
+    shingle. No words: zero.
     """
-    words = text.encode().lower().split() if text else []
     if not words:
         return 0
     joined = b" ".join(words)
@@ -168,12 +176,11 @@ def close_pairs(fps: DataFrame, max_distance: int = 4, blocks: int | None = None
     if crowded.limit(1).count():
         hot = materialise(keyed.join(crowded, ["t", "key"], "left_semi"), "crowded-members")
         keyed = keyed.join(crowded, ["t", "key"], "left_anti")
-        for t in [r.t for r in hot.select("t").distinct().collect()]:  # at most one for each mask
-            points = hot.filter(F.col("t") == t).select("fp", F.explode(F.transform(F.array(*[F.lit(m) for m in _ball(masks[t], max_distance // 2)]), lambda m: m.bitwiseXOR(F.col("fp")))).alias("point"))
-            met = points.groupBy("point").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).filter("u < top").select("point", "u")
-            met = materialise(met, "crowded-points")
-            found = points.join(met, "point").filter("fp <> u").select("u", F.col("fp").alias("v")).distinct()
-            links = found if links is None else links.union(found)
+        balls = [(t, change) for t, m in enumerate(masks) for change in _ball(m, max_distance // 2)]
+        balls = fps.sparkSession.createDataFrame(balls, "t int, change long")  # a constant of the settings: at most some 75,000 rows for 4 bits
+        points = hot.join(F.broadcast(balls), "t").select("t", "fp", F.col("change").bitwiseXOR(F.col("fp")).alias("point"))
+        met = points.groupBy("t", "point").agg(F.min("fp").alias("u"), F.max("fp").alias("top")).filter("u < top").select("t", "point", "u")
+        links = points.join(materialise(met, "crowded-points"), ["t", "point"]).filter("fp <> u").select("u", F.col("fp").alias("v")).distinct()
     runs = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").select("t", "key", "fp")
     found = map_batches(runs, _block_links(max_distance), "u long, v long")
     return found if links is None else found.union(links)
@@ -185,17 +192,18 @@ def near_duplicates(docs: DataFrame, max_distance: int = 4, shingle: int = 4, se
     Rows with equal fingerprints, and fingerprints within max_distance bits, are linked; root is the least
     fingerprint (signed) reachable and component_id the smallest doc_id reachable, the row's own included.
     Null and empty texts have fingerprint zero and are linked like any other. A null doc_id is kept and never
-    is a component_id; a component without any doc_id has a null component_id. Repeated rows stay repeated.
-    Only doc_id and text are read.
+    is a component_id; a component without any doc_id has a null component_id. Repeated rows stay repeated; an empty
+    table gives an empty table. Only doc_id and text are read.
     """
-    own = materialise(fingerprints(docs, ["doc_id"], shingle, seed), "fingerprints")
-    n = own.count()
-    classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", n)
-    roots = connected_components(close_pairs(classes.select("fp"), max_distance, blocks, block_limit))
-    linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = materialise(linked, "linked", n)
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialise(linked.select("fp", "root").join(ids, "root"), "components", n)
+    with steps():
+        own = outlive(fingerprints(docs, ["doc_id"], shingle, seed), "fingerprints")
+        n = own.count()
+        classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes", n)
+        roots = connected_components(close_pairs(classes.select("fp"), max_distance, blocks, block_limit))
+        linked = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        linked = materialise(linked, "linked", n)
+        ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+        ids = outlive(linked.select("fp", "root").join(ids, "root"), "components", n)
     return own.join(ids, "fp").select("doc_id", "fp", "root", "component_id")
 
 
@@ -203,21 +211,30 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """Rows of docs, one for each component: that with the smallest doc_id, one of them if it repeats.
+def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, text, ...), one for each row of chosen(doc_id, h) with that doc_id and xxhash64(text) = h; equal rows count once.
+
+    Equal rows are dropped before they are shuffled, so one row that repeats is no hot key; texts are shuffled once.
+    """
+    h, own = unused(docs.columns, "h"), unused(docs.columns, "own")
+    single = docs.withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h])
+    keys = chosen.select(F.col("doc_id").alias(own), F.col("h").alias("__" + own))
+    return single.join(keys, single["doc_id"].eqNullSafe(keys[own]) & (single[h] == keys["__" + own]), "left_semi").select(docs.columns)
+
+
+def one_of_each(docs: DataFrame, max_distance: int = 4, shingle: int = 4, seed: int = 42, **settings) -> DataFrame:
+    """Rows of docs(doc_id, text, ...), one for each component of near_duplicates(): that with the smallest doc_id, then fingerprint.
 
-    A component whose rows all lack a doc_id keeps one row, any of them. All columns stay as they are.
+    If several rows have both, one of them stays. A component whose rows all lack a doc_id keeps one of them. All columns
+    stay as they are; an empty table gives an empty table.
     """
-    found = materialise(near_duplicates(docs, **settings), "near-duplicates")
-    chosen = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    if not docs.filter("doc_id is null").limit(1).count():
-        return kept
-    fp, root = unused(docs.columns, "fp"), unused(docs.columns, "root")
-    nameless = fingerprints(docs.filter("doc_id is null"), docs.columns, settings.get("shingle", 4), settings.get("seed", 42), fp)
-    roots = found.filter("component_id is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
-    nameless = nameless.join(roots, fp).dropDuplicates([root]).select(docs.columns)
-    return kept.unionByName(nameless)
+    with steps():
+        h = F.xxhash64("text").alias("h")
+        roots = near_duplicates(docs, max_distance, shingle, seed, **settings).select("fp", "root").distinct()
+        rows = fingerprints(docs.select("doc_id", "text", h), ["doc_id", "h"], shingle, seed).join(roots, "fp")
+        best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "h")).alias("best"))
+        chosen = outlive(best.select("best.doc_id", "best.h"), "chosen")
+    return one_row_each(docs, chosen)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,11 @@ UNKNOWN_PENALTY = 10.0
 REMEMBERED, LONG, BLOCK = 8_000_000, 1 << 20, 1 << 16
 
 
-def vocabulary(path: str | None = None) -> tuple[list[str], list[float]]:
-    """Pieces and scores of a sentencepiece file, by default the public one with 32,000 pieces."""
+def vocabulary(path: str | None = None) -> tuple[list[str], list[float], bool]:
+    """Pieces that text can match, their scores, and whether a byte stands for what is none, of a sentencepiece file; by default the public one.
+
+    Control, unknown, unused and byte pieces match no text, so `</s>` in a text is four characters.
+    """
     import sentencepiece
 
     if path is None:
@@ -28,23 +31,25 @@ def vocabulary(path: str | None = None) -> tuple[list[str], list[float]]:
 
         path = str(public_tokenizers.path("piece_bpe_32k.model"))
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [model.id_to_piece(i) for i in range(len(model))], [model.get_score(i) for i in range(len(model))]
+    ids = range(len(model))
+    own = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+    return [model.id_to_piece(i) for i in own], [model.get_score(i) for i in own], sum(map(model.is_byte, ids)) == 256
 
 
 class UnigramCounter:
     """The number of pieces in the best segmentation of each word, a word being a space mark and what follows.
 
     Ties go to the longer last piece: of equal scores the earlier start stays. A character that is no piece is unknown; a
-    run of unknown characters becomes its UTF-8 bytes where the vocabulary has all byte pieces, else one piece.
+    run of unknown characters becomes its UTF-8 bytes where the vocabulary has byte pieces, else one piece.
     """
 
-    def __init__(self, pieces: list[str], scores: list[float]):
+    def __init__(self, pieces: list[str], scores: list[float], bytes_: bool = False):
         self.automaton = ahocorasick.Automaton()
         for piece, score in zip(pieces, scores):
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(scores) - UNKNOWN_PENALTY
-        self.bytes = {f"<0x{b:02X}>" for b in range(256)} <= set(pieces)
+        self.bytes = bytes_
         self.known: dict[str, int] = {}
         self.held = 0
         self.words = regex.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
@@ -106,12 +111,13 @@ class UnigramCounter:
         return total
 
 
-def token_counts(docs: DataFrame, pieces: list[str], scores: list[float]) -> DataFrame:
+def token_counts(docs: DataFrame, pieces: list[str], scores: list[float], bytes_: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, n_tokens), a row for each row; null and empty texts have none.
 
-    Whole texts are counted; the vocabulary is sent to the workers once.
+    Whole texts are counted; the vocabulary is sent to the workers once. Repeated rows have equal counts, an empty table has none,
+    and a doc_id may be null; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((pieces, scores))
+    shared = docs.sparkSession.sparkContext.broadcast((pieces, scores, bytes_))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnigramCounter(*shared.value)

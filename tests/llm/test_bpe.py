@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -64,3 +65,17 @@ def test_frames(spark):
     back = {r.doc_id: r.text for r in bpe.decode(bpe.encode(docs.filter("doc_id <> 1"))).collect()}
     assert all(back[i] == (t or "") for i, t, *_ in rows if i not in (None, 1))
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_incomplete_and_other_vocabularies_are_refused():
+    spec = json.loads(bpe._blob(None))
+    gone = {k: v for k, v in spec["model"]["vocab"].items() if k != "a"}
+    for change in ({"vocab": gone, "merges": []}, {"dropout": 0.1}, {"byte_fallback": True}, {"end_of_word_suffix": "</w>"}, {"type": "Unigram"}):
+        with pytest.raises(ValueError):
+            bpe.Bpe(json.dumps(spec | {"model": spec["model"] | change}).encode())
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(i, t, 1) for i, t in enumerate(["ab cd", None, "é"])], "doc_id long, text string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_tokens for r in bpe.op6_bpe(spark, str(tmp_path)).collect()}
+    assert got == {i: len(want(t)[0]) for i, t in enumerate(["ab cd", None, "é"])}

@@ -6,8 +6,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from starling.llm import bpe, secret_scan, simhash
+from starling.llm import bpe, secret_scan
 from tests.llm.test_decontaminate import slow as contaminated
+from tests.llm.test_near_copies import slow as near_copies
 
 
 @pytest.fixture
@@ -36,18 +37,10 @@ def test_each_stage_and_the_whole(spark, folder):
     ids = {r.doc_id for r in kept.collect()}
     assert not ids & set(range(71, 87)) and len(ids) > 55
     single = stage["near_dedup"](spark, kept, d).cache()
-    rows = [(r.doc_id, simhash.simhash(r.text)) for r in kept.collect()]
-    names = sorted({i for i, _ in rows if i is not None})
-    fp = dict(rows)
-    root = {i: i for i in names}
-    changed = True
-    while changed:
-        changed = False
-        for a in names:
-            for b in names:
-                if (fp[a] ^ fp[b]).bit_count() <= 4 and root[b] > root[a]:
-                    root[b], changed = root[a], True
-    assert sorted(r.doc_id for r in single.collect() if r.doc_id is not None) == sorted(set(root.values()))
+    rows = sorted(((r.doc_id, r.text) for r in kept.collect()), key=lambda r: (r[0] is None, r[0]))
+    root = near_copies([t for _, t in rows])
+    assert sorted(r.doc_id for r in single.collect() if r.doc_id is not None) == sorted({rows[k][0] for k in root} - {None})
+    assert len(set(root)) < len(rows)
     clean = stage["decontamination"](spark, single, d).cache()
     bad = {r[0] for r in contaminated([(r.doc_id, r.text) for r in single.collect()], items) if r[5]}
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(r.doc_id) for r in single.collect() if r.doc_id not in bad) and bad

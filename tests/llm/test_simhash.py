@@ -100,3 +100,18 @@ def test_near_duplicates_and_one_of_each(spark):
     assert [r.text for r in kept if r.doc_id is None] == ["alone at last"]
     assert kept[0].asDict().keys() == {"doc_id", "text", "fp", "root", "t"}
     assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_a_doc_id_with_two_texts_loses_no_component(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    for rows in ([(100, b), (204, a), (204, b)], [(100, b), (204, b), (204, a)], [(204, b), (204, b), (204, a), (204, a)]):
+        kept = [(r.doc_id, r.text) for r in S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()]
+        assert sorted(kept) == [(min(i for i, t in rows if t == x), x) for x in sorted((a, b), key=lambda x: min(i for i, t in rows if t == x))], rows
+
+
+def test_query(spark, tmp_path):
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(TEXTS)], "doc_id long, text string, fp int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in S.op1_simhash(spark, str(tmp_path)).collect()}
+    fps = {i: S.simhash(t) for i, t in enumerate(TEXTS)}
+    want = slow_roots(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    assert got == {i: (f"{fps[i]:016x}", want[i]) for i in fps}
