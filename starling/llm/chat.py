@@ -9,8 +9,9 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import map_batches, materialise, table
+from ._common import map_batches, table
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
     Rows are streamed in order, so a conversation of any length takes the memory of one turn.
     """
     template = template or Template()
-    kind = conversations.schema["conv_id"].dataType.simpleString()
+    kind, own = conversations.schema["conv_id"].dataType.simpleString(), to_arrow_type(conversations.schema["conv_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, code, _, _ = template.codec()
@@ -98,17 +99,13 @@ def segments(conversations: DataFrame, template: Template | None = None) -> Data
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows)) or [()] * 5
-        kinds = [_arrow(kind), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+        kinds = [own, pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["conv_id", "seq", "text", "loss", "valid"])
 
     rows = conversations.select("conv_id", "turn", "role", "text")
     return map_batches(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, f"conv_id {kind}, {SEGMENTS}")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 class _Reader:
     """Reads a formatted text piece by piece, and hands over each turn when its closing mark has come."""
 
@@ -137,17 +134,18 @@ class _Reader:
         return None
 
 
-def read_back(found: DataFrame, template: Template | None = None) -> DataFrame:
+def read_back(found: DataFrame, template: Template | None = None, in_order: bool = False) -> DataFrame:
     """segments() -> one row for each conversation, from the written text and the loss flags alone.
 
     (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid): turns are parsed from the joined
     segments; the digest is of role, \\n, text, \\n for each. Loss is over the unescaped text under the mask. Text that is no
-    whole turn raises ValueError.
+    whole turn raises ValueError. in_order: the rows come straight from segments(), each conversation in one partition and in
+    order, and are not shuffled again; rows that were written and read are put in order first. An empty table gives an empty one.
     """
     template = template or Template()
     kind = found.schema["conv_id"].dataType.simpleString()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
-    kinds = [_arrow(kind), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    kinds = [to_arrow_type(found.schema["conv_id"].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = []  # the conversation, its reader, digest and length of the loss text, its length, its validity
@@ -179,7 +177,7 @@ def read_back(found: DataFrame, template: Template | None = None) -> DataFrame:
 
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     rows = found.select("conv_id", "seq", "text", "loss", "valid")
-    return map_batches(rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq"), run, schema)
+    return map_batches(rows if in_order else rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq"), run, schema)
 
 
 def forged(conversations: DataFrame) -> DataFrame:
@@ -192,8 +190,8 @@ def forged(conversations: DataFrame) -> DataFrame:
 
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Formats every conversation and reads the written segments back."""
-    return read_back(materialise(segments(forged(table(spark, sf_dir, "conversations"))), "segments"))
+    """Formats every conversation and reads the segments back in the task that wrote them."""
+    return read_back(segments(forged(table(spark, sf_dir, "conversations"))), in_order=True)
 
 
 ORACLE = r"""

@@ -1,4 +1,4 @@
-"""Quality rules: rule statistics, an isolation forest over them, a threshold from labelled rows."""
+"""Quality rules: rule statistics, an isolation forest over each, thresholds from labelled rows."""
 
 from __future__ import annotations
 
@@ -9,23 +9,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._common import map_batches, materialise, table
+from ._common import map_batches, materialise, steps, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\v\f\r"
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
+#: What the forests see: the rule statistics, free of a text's length.
+RATES = ["word_chars a word", "symbols a word", "duplicates a line", "repeats a word"]
 #: Steps of the score between 0 and 1 in which labelled rows are counted.
 BINS = 4000
+#: Labelled ids up to which they are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """The forest is fitted on at most sample_rows labelled rows, those of least hash of doc_id.
+    """The forests are fitted on at most sample_rows labelled rows, those of least hash of doc_id.
 
-    It judges how far each rate of a text is outside the range of the middle normal_share of the sample's good rows.
-
-    The threshold is the one of greatest recall of bad rows less loss of good rows, over all labelled rows
-    that pass the base rules, among those that lose at most max_good_loss of the good rows; of equals, the middle.
+    Thresholds come from all labelled rows that pass the base rules. Of the statistics, the one whose score tells most bad rows
+    from good ones (greatest recall less loss) gets the first threshold, the middle of equals; then the next, on the rows that
+    are left, while it finds at least least_recall of all bad rows. All thresholds together lose at most max_good_loss of the
+    good rows.
     """
 
     sample_rows: int = 4096
@@ -33,7 +37,7 @@ class Settings:
     subsample: int = 256
     seed: int = 42
     max_good_loss: float = 0.005
-    normal_share: float = 0.996
+    least_recall: float = 0.01
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -80,7 +84,7 @@ def base_failed(stats: np.ndarray) -> np.ndarray:
 
 
 def rates(stats: np.ndarray) -> np.ndarray:
-    """Rule statistics free of a text's length."""
+    """RATES of rows of STATISTICS."""
     n, lines = np.maximum(stats[:, 0], 1), np.maximum(stats[:, 5], 1)
     return np.stack([stats[:, 1] / n, stats[:, 2] / n, stats[:, 3] / lines, stats[:, 4] / n], axis=1)
 
@@ -134,21 +138,15 @@ class IsolationForest:
 
 
 class Judge:
-    """The normal range of each rate, and a forest over the distances outside it."""
+    """An isolation forest over each of RATES: how few random splits part a text's rate from those of the sample."""
 
-    def __init__(self, stats: np.ndarray, good: np.ndarray, settings: Settings):
+    def __init__(self, stats: np.ndarray, settings: Settings):
         found = rates(stats)
-        normal = found[good] if good.any() else found
-        edge = (1 - settings.normal_share) / 2
-        normal = normal if len(normal) else np.zeros((1, found.shape[1]))
-        self.low, self.high = np.quantile(normal, edge, axis=0, method="lower"), np.quantile(normal, 1 - edge, axis=0, method="higher")
-        self.forest = IsolationForest(self._outside(found), settings.trees, settings.subsample, settings.seed)
-
-    def _outside(self, found: np.ndarray) -> np.ndarray:
-        return np.maximum(np.maximum(found - self.high, self.low - found), 0.0)
+        self.forests = [IsolationForest(found[:, [j]], settings.trees, settings.subsample, settings.seed + j) for j in range(len(RATES))]
 
-    def score(self, stats: np.ndarray) -> np.ndarray:
-        return self.forest.score(self._outside(rates(stats)))
+    def scores(self, stats: np.ndarray) -> np.ndarray:
+        found = rates(stats)
+        return np.stack([f.score(found[:, [j]]) for j, f in enumerate(self.forests)], axis=1)
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -168,70 +166,98 @@ def known_quality(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, settings: Settings) -> Judge:
-    """The judge of a bounded sample of labelled rows."""
-    rows = stats.join(known_quality(labels), "doc_id").select(*STATISTICS, "quality", F.xxhash64(F.col("doc_id"), F.lit(settings.seed)).alias("h"))
-    sample = rows.orderBy("h", *STATISTICS).limit(settings.sample_rows).toPandas()
-    return Judge(sample[STATISTICS].to_numpy(dtype=np.int64), sample.quality.to_numpy(dtype=np.int64) > 0, settings)
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of docs(doc_id, ...) that have a label, with their quality; texts of the others are not shuffled."""
+    known = known_quality(labels)
+    return docs.join(F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known, "doc_id")
+
+
+def fit(rows: DataFrame, settings: Settings) -> Judge:
+    """The judge of a bounded sample of labelled rows(doc_id, *STATISTICS)."""
+    order = F.xxhash64(F.col("doc_id"), F.lit(settings.seed))
+    sample = rows.select(*STATISTICS, order.alias("h")).orderBy("h", *STATISTICS).limit(settings.sample_rows).toPandas()
+    return Judge(sample[STATISTICS].to_numpy(dtype=np.int64), settings)
 
 
 def scored(stats: DataFrame, model: Judge) -> DataFrame:
-    """stats with base_failed and the forest's score."""
+    """stats with base_failed and the scores of the forests, in the order of RATES."""
     shared = stats.sparkSession.sparkContext.broadcast(model)
+    places = [stats.columns.index(c) for c in STATISTICS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy() for i in range(1, 7)], axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(x)), pa.array(shared.value.score(x))], names=[*batch.schema.names, "base_failed", "score"])
-
-    return map_batches(stats, run, stats.select("*", F.lit(True).alias("base_failed"), F.lit(0.0).alias("score")).schema)
-
-
-def calibrate(scores: DataFrame, labels: DataFrame, settings: Settings) -> float:
-    """The score from which rows are rejected; above 1 if no label tells good from bad."""
-    rows = scores.filter("not base_failed").join(known_quality(labels), "doc_id")
-    counts = rows.groupBy(F.floor(F.col("score") * BINS).cast("int").alias("bin"), (F.col("quality") > 0).alias("good")).count().collect()  # at most 2 * BINS rows
-    table_ = np.zeros((2, BINS + 2))
-    for r in counts:
-        table_[int(r.good), r.bin] += r["count"]
-    bad, good = np.cumsum(table_[:, ::-1], axis=1)[:, ::-1]
-    if not bad[0] or not good[0]:
-        return 2.0
-    gain = np.where(good <= settings.max_good_loss * good[0], bad / bad[0] - good / good[0], -1.0)
-    best = np.flatnonzero(gain == gain.max())
-    return (best[0] + best[-1]) / 2 / BINS if gain[best[0]] > 0 else 2.0
-
-
-def train(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[DataFrame, Judge, float]:
-    """The scores of docs, the judge and the threshold."""
-    stats = materialise(measure(docs), "statistics")
-    model = fit(stats, labels, settings)
-    scores = materialise(scored(stats, model), "scores")
-    return scores, model, calibrate(scores, labels, settings)
+            x = np.stack([batch.column(i).to_numpy() for i in places], axis=1)
+            made = pa.array(list(shared.value.scores(x)), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base_failed(x)), made], names=[*batch.schema.names, "base_failed", "scores"])
+
+    return map_batches(stats, run, stats.select("*", F.lit(True).alias("base_failed"), F.array(F.lit(0.0)).alias("scores")).schema)
+
+
+def calibrate(rows: DataFrame, settings: Settings) -> list[float]:
+    """The score from which each statistic rejects, over labelled rows(quality, base_failed, scores); 2, which none reaches, where it tells nothing."""
+    rows = rows.filter("not base_failed").select((F.col("quality") > 0).alias("good"), F.transform("scores", lambda s: F.floor(s * BINS).cast("int")).alias("bins"))
+    thresholds, totals = [2.0] * len(RATES), None
+    while True:
+        left = rows.filter(F.aggregate(F.zip_with("bins", F.array(*[F.lit(t * BINS) for t in thresholds]), lambda b, t: b < t), F.lit(True), lambda a, b: a & b))
+        counts = left.select("good", F.posexplode("bins").alias("j", "bin")).groupBy("j", "good", "bin").count().collect()  # at most 2 * BINS rows a statistic
+        found = np.zeros((len(RATES), 2, BINS + 2))
+        for r in counts:
+            found[r.j, int(r.good), r.bin] += r["count"]
+        now = found[0].sum(axis=1)  # bad and good rows left
+        totals = now if totals is None else totals
+        if not now.all():
+            return thresholds
+        bad, good = np.moveaxis(np.cumsum(found[:, :, ::-1], axis=2)[:, :, ::-1], 1, 0)
+        spare = settings.max_good_loss * totals[1] - (totals[1] - now[1])
+        gain = np.where((good <= spare) & (bad >= settings.least_recall * totals[0]), bad / totals[0] - good / totals[1], 0.0)
+        j = int(gain.max(axis=1).argmax())
+        best = np.flatnonzero(gain[j] == gain[j].max())
+        if gain[j].max() <= 0 or thresholds[j] < 2:
+            return thresholds
+        thresholds[j] = int(best[0] + best[-1] + 1) // 2 / BINS
+
+
+def rejects(scores: np.ndarray, thresholds: list[float]) -> np.ndarray:
+    """By the steps in which the thresholds were counted."""
+    return (np.floor(scores * BINS) >= np.array(thresholds) * BINS).any(axis=1)
+
+
+def train(rows: DataFrame, settings: Settings) -> tuple[Judge, list[float]]:
+    """The judge and the thresholds of labelled rows(doc_id, *STATISTICS, quality)."""
+    model = fit(rows, settings)
+    return model, calibrate(scored(rows, model), settings)
 
 
 def judge(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """docs(doc_id, text, ...) and labels(doc_id, quality, ...) -> doc_id, STATISTICS, base_failed, score, kept.
+    """docs(doc_id, text, ...) and labels(doc_id, quality, ...) -> doc_id, STATISTICS, base_failed, scores, kept.
 
     One row for each row of docs. A null or empty text has zeros and fails the base rules. Without labelled
-    rows of both kinds the base rules alone decide. Equal texts have equal results.
+    rows of both kinds the base rules alone decide. Equal texts have equal results, repeated rows too; a row without doc_id
+    is judged and has no label, and an empty table gives an empty table.
     """
-    scores, _, threshold = train(docs, labels, settings or Settings())
-    return scores.withColumn("kept", ~F.col("base_failed") & (F.col("score") < F.lit(threshold)))
+    settings = settings or Settings()
+    stats = materialise(measure(docs), "statistics")
+    model, thresholds = train(labelled(stats, labels), settings)
+    below = F.aggregate(F.zip_with("scores", F.array(*[F.lit(t * BINS) for t in thresholds]), lambda s, t: F.floor(s * BINS) < t), F.lit(True), lambda a, b: a & b)
+    return scored(stats, model).withColumn("kept", ~F.col("base_failed") & below)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns.
+    """The rows of docs that judge() keeps, with all their columns; null and empty texts go, repeated rows stay repeated.
 
-    Each row is judged where it is read, so texts are not shuffled.
+    Only labelled texts are measured twice. Each row is judged where it is read, so texts are not shuffled.
     """
-    _, model, threshold = train(docs, labels, settings or Settings())
+    settings = settings or Settings()
+    with steps():
+        known = labelled(docs.select("doc_id", "text"), labels).select("doc_id", "text")
+        stats = materialise(measure(known), "statistics")
+        model, thresholds = train(labelled(stats, labels), settings)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], dtype=np.int64).reshape(-1, 6)
-            yield batch.filter(pa.array(~base_failed(x) & (shared.value.score(x) < threshold)))
+            yield batch.filter(pa.array(~base_failed(x) & ~rejects(shared.value.scores(x), thresholds)))
 
     return map_batches(docs, run, docs.schema)
 

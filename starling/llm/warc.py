@@ -8,14 +8,17 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, IntegralType, StringType
 
-from ._common import fresh_path, map_batches, materialise, table
+from ._common import fresh_path, map_batches, materialise, outlive, steps, table, unused
 
 #: Fixed values of the seekable format: skippable frame, footer, and the size of an entry and of the footer.
 SKIPPABLE, SEEKABLE, ENTRY, FOOTER = 0x184D2A5E, 0x8F92EAB1, 8, 9
@@ -40,16 +43,19 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def record_id(page_id: int | str | None) -> str:
+    """A record's identifier; a string is marked as one and escaped."""
+    return f"<urn:page:{'none' if page_id is None else 'text:' + quote(page_id, safe='') if isinstance(page_id, str) else page_id}>"
 
 
-def page_of(identifier: str | None) -> int | None:
+def page_of(identifier: str | None) -> int | str | None:
     found = (identifier or "").removeprefix("<urn:page:").removesuffix(">")
+    if found.startswith("text:"):
+        return unquote(found.removeprefix("text:"))
     return int(found) if found not in ("", "none") else None
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+def record(page_id: int | str | None, url: str | None, payload: bytes, refers_to: int | str | None, revisit: bool, date: str) -> bytes:
     """One WARC record; a revisit has the payload's headers and not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
@@ -152,35 +158,45 @@ class BundleReader:
         self.file.close()
 
 
+#: Revisits up to which they are broadcast, so that payloads are not shuffled; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Plain bytes that a task reads: the least for more tasks than the cluster runs at once, and the most.
+READ_LEAST, READ_MOST = 1 << 22, 1 << 27
+
+
+def _page_kind(df: DataFrame) -> DataType:
+    kind = df.schema["page_id"].dataType
+    if not isinstance(kind, (IntegralType, StringType)):
+        raise TypeError(f"page_id must be an integer or a string, not {kind.simpleString()}")
+    return kind
+
+
 def revisits(pages: DataFrame, settings: Settings) -> DataFrame:
-    """pages(page_id, url, html, ...) -> (page_id, digest, bytes, refers_to, revisit) for each distinct page_id and payload.
+    """pages(page_id, url, html, ...) -> (page_id, digest, refers_to) for each distinct page_id and payload that is a revisit.
 
     The least page_id of a payload is its response. Rows that share that page_id and payload are responses too;
     rows without a page_id are revisits if the payload has a page with one.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    own = pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes")).distinct()
-    own = materialise(own, "payloads")
-    first = materialise(own.groupBy("digest", "bytes").agg(F.min("page_id").alias("first")), "first-payloads", own.count())
-    again = (F.col("bytes") >= settings.least_revisit) & F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False)) & F.col("first").isNotNull()
-    return own.join(first, ["digest", "bytes"]).select("page_id", "digest", F.when(again, F.col("first")).alias("refers_to"), again.alias("revisit"))
+    own = pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).alias("bytes"))
+    own = materialise(own.filter(F.col("bytes") >= settings.least_revisit).select("page_id", "digest").distinct(), "payloads")
+    first = own.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1 and refers_to is not null").drop("n")
+    return own.join(first, "digest").filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to")
 
 
 def write_archive(pages: DataFrame, folder: str, settings: Settings | None = None) -> DataFrame:
     """Writes pages(page_id, url, html, ...) to bundles in a shared folder; returns the index.
 
-    The index has (page_id, path, frame, offset) for each row of pages, offset being in the frame's plain bytes. A null
-    html is an empty payload, a null url about:blank. Each task sorts its rows and writes drafts that it renames when
-    whole, so a task that runs again gives the same files. Repeated rows give repeated records.
+    The index has (page_id, path, frame, offset, length) for each row of pages, offset and length being of the frame's plain
+    bytes. page_id is an integer or a string. A null html is an empty payload, a null url about:blank. Each task sorts its rows
+    and writes drafts that it renames when whole, so a task that runs again gives the same files. Repeated rows give repeated
+    records, and an empty table an empty index. Payloads are shuffled only if there are more than BROADCAST_ROWS revisits.
     """
-    settings = settings or Settings()
-    links = materialise(revisits(pages, settings), "revisits").withColumnsRenamed({"page_id": "__page", "digest": "__digest"})
+    settings, kind = settings or Settings(), _page_kind(pages)
     files, path = located(folder)
     files.create_dir(path)
-    digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest"))
-    rows = rows.join(links, rows["page_id"].eqNullSafe(links["__page"]) & (F.col("digest") == F.col("__digest"))).select("page_id", "url", "html", "refers_to", "revisit")
-    kind = pages.schema["page_id"].dataType.simpleString()
+    names = [unused(["page_id", "url", "html", "refers_to"], n) for n in ("page", "digest")]
+    own = to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -194,27 +210,37 @@ def write_archive(pages: DataFrame, folder: str, settings: Settings | None = Non
                 if not writer:
                     name = f"{folder}/pages-{context.partitionId():06d}-{n:04d}.warc.zst"
                     writer = BundleWriter(name, settings, f"draft-{context.taskAttemptId()}")
-                frame, offset = writer.add(record(page, url, (html or "").encode(), refers, revisit, settings.date))
-                out.append((page, name, frame, offset))
-            columns = list(zip(*out)) or [()] * 4
-            types = [batch.schema.types[0], pa.string(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "path", "frame", "offset"])
+                raw = record(page, url, (html or "").encode(), refers, revisit, settings.date)
+                out.append((page, name, *writer.add(raw), len(raw)))
+            columns = list(zip(*out)) or [()] * 5
+            types = [own, pa.string(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "path", "frame", "offset", "length"])
         if writer:
             writer.close()
 
-    return materialise(map_batches(rows.sortWithinPartitions("page_id", "url", "html"), run, f"page_id {kind}, path string, frame int, offset long"), "warc-index")
-
-
-READ = "url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    with steps():
+        links = materialise(revisits(pages, settings), "revisits")
+        small = links.count() <= BROADCAST_ROWS
+        links = links.withColumnsRenamed({"page_id": names[0], "digest": names[1]})
+        digest = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+        met = F.col("page_id").eqNullSafe(F.col(names[0])) & (digest == F.col(names[1]))
+        rows = pages.select("page_id", "url", "html").join(F.broadcast(links) if small else links, met, "left")
+        rows = rows.select("page_id", "url", "html", "refers_to", F.col(names[1]).isNotNull().alias("revisit"))
+        schema = f"page_id {kind.simpleString()}, path string, frame int, offset long, length long"
+        return outlive(map_batches(rows.sortWithinPartitions("page_id", "url", "html"), run, schema), "warc-index")
 
 
 def read_archive(index: DataFrame) -> DataFrame:
     """The records that an index points to: (page_id, url, payload_bytes, payload_digest, record_type, refers_to).
 
-    Frames are dealt out whole and read alone; each payload that is there is checked against its digest.
+    Frames are dealt out whole, by their bytes, and read alone; each payload that is there is checked against its digest.
     """
-    kind = index.schema["page_id"].dataType.simpleString()
-    frames = index.groupBy("path", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))  # a frame's records are bounded by its bytes
+    kind, context = _page_kind(index), index.sparkSession.sparkContext
+    plain = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(1, plain // READ_MOST, min(plain // READ_LEAST, 2 * context.defaultParallelism))
+    # A frame's records are bounded by its bytes.
+    frames = index.repartition(parts, "path", "frame").groupBy("path", "frame").agg(F.sort_array(F.collect_list("offset")).alias("offsets"))
+    kinds = {"page_id": to_arrow_type(kind), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": to_arrow_type(kind)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, opened = None, None
@@ -226,12 +252,12 @@ def read_archive(index: DataFrame) -> DataFrame:
                     reader, opened = BundleReader(path), path
                 raw = reader.frame(frame)
                 found = [parse(raw, at)[0] for at in offsets]
-                kinds = {"page_id": pa.int64() if kind == "bigint" else pa.int32(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in kinds.items()], names=list(kinds))
         if reader:
             reader.close()
 
-    return map_batches(frames.sortWithinPartitions("path", "frame"), run, f"page_id {kind}, {READ}")
+    name = kind.simpleString()
+    return map_batches(frames.sortWithinPartitions("path", "frame"), run, f"page_id {name}, url string, payload_bytes long, payload_digest string, record_type string, refers_to {name}")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,18 @@ def test_damage_is_seen(spark):
     found = spark.createDataFrame([(1, 0, "[INST] no end", False, True)], "conv_id long, seq long, text string, loss boolean, valid boolean")
     with pytest.raises(Exception, match="is no turn"):
         C.read_back(found).collect()
+
+
+def test_query_reads_back_without_a_second_shuffle(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], f"text {c} {t} </s>") for c in range(40) for t in range(4)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/conversations.parquet")
+    found = C.op5_chat(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    text = "</s>[INST] ok [/INST]"
+    got = {r.conv_id: tuple(r)[1:5] + (r.valid,) for r in found.collect()}
+    assert got == want(rows + [(-7, 0, "user", text), (-7, 1, "assistant", text)])
+
+
+def test_other_kinds_of_ids(spark):
+    found = C.segments(spark.createDataFrame([(1.5, 0, "user", "a"), (1.5, 1, "assistant", "b")], "conv_id double, turn int, role string, text string"))
+    assert [(r.conv_id, r.n_turns) for r in C.read_back(found).collect()] == [(1.5, 2)]

@@ -3,6 +3,7 @@ import hashlib
 import random
 import struct
 
+import pytest
 import zstandard
 
 from starling.llm import warc as W
@@ -28,8 +29,8 @@ def slow(rows, least=0):
     return sorted(out, key=str)
 
 
-def frame(spark, rows):
-    return spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, digest string, bytes int")
+def frame(spark, rows, kind="long"):
+    return spark.createDataFrame([(*r, "x", 5) for r in rows], f"page_id {kind}, url string, html string, digest string, refers_to int")
 
 
 def test_round_trip(spark, tmp_path):
@@ -77,3 +78,33 @@ def test_damage_is_seen():
 
 def test_empty_table(spark, tmp_path):
     assert W.read_archive(W.write_archive(frame(spark, corpus()).limit(0), str(tmp_path / "e"))).count() == 0
+
+
+def test_shuffled_revisits_equal_broadcast_ones(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "BROADCAST_ROWS", 0)
+    got = W.read_archive(W.write_archive(frame(spark, corpus()), str(tmp_path / "s"))).drop("url").collect()
+    assert sorted(map(tuple, got), key=str) == slow(corpus())
+
+
+def test_text_ids(spark, tmp_path):
+    rows = [("b", "u", "<p>same"), ("a/ >\r\n", "u", "<p>same"), ("none", "u", "x"), ("text:5", "u", "y"), (None, "u", "y"), ("é", "u", "z")]
+    got = W.read_archive(W.write_archive(frame(spark, rows, "string"), str(tmp_path / "t"))).drop("url").collect()
+    assert sorted(map(tuple, got), key=str) == slow(rows)
+    with pytest.raises(TypeError):
+        W.write_archive(frame(spark, [], "double"), str(tmp_path / "d"))
+
+
+def test_tasks_follow_the_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(W, "READ_LEAST", 1 << 12)
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choices("abcdefgh ", k=2000))) for i in range(60)]
+    index = W.write_archive(frame(spark, rows).coalesce(2), str(tmp_path / "p"), W.Settings(frame_bytes=4000))
+    assert W.read_archive(index).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(W, "READ_MOST", 10_000)
+    assert W.read_archive(index).rdd.getNumPartitions() > 11
+
+
+def test_query(spark, tmp_path):
+    rows = [r for r in corpus() if r[0] is not None]
+    frame(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(map(tuple, W.op10_warc(spark, str(tmp_path)).collect()), key=str) == slow(rows)
