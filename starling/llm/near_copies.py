@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ._common import map_batches, materialise, outlive, signed, steps, unused
 from .components import connected_components
-from .simhash import close_pairs, fingerprint, one_row_each, words_of
+from .simhash import CHUNK, close_pairs, of_hashes, one_row_each, words_of
 
 #: Two texts are near copies if their sets of SHINGLE words in a row share LEAST[0] / LEAST[1] of their union or more.
 SHINGLE = 5
@@ -38,12 +38,57 @@ def node_of(words: list[bytes]) -> int:
     return signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
 
 
-def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Distinct 64-bit hashes of the shingles, sorted; fewer words than a shingle are the one shingle, none have none."""
+def fingerprint(words: list[bytes]) -> int:
+    """SimHash of the shingles, repeats included, as Spark's long; zero without words."""
+    hashes = shingle_hashes(words)
+    return signed(of_hashes((hashes[at : at + CHUNK] for at in range(0, len(hashes), CHUNK)), len(hashes))) if len(hashes) else 0
+
+
+class _WordHashes(dict):
+    """64-bit hashes of the words met so far, forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+_hashes = _WordHashes()
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the shingles in order, repeats included; fewer words than a shingle are the one shingle, none have none."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))], dtype=np.uint64))
+    own = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    count = max(1, len(words) - shingle + 1)
+    h = np.full(count, min(shingle, len(words)), dtype=np.uint64)
+    for k in range(min(shingle, len(words))):
+        h = (h ^ own[k : k + count]) * np.uint64(MULTIPLIERS[0])
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(MULTIPLIERS[1])
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(words: list[bytes]) -> np.ndarray:
+    """Distinct hashes of the shingles, sorted."""
+    return np.unique(shingle_hashes(words))
+
+
+def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> frozenset:
+    """The distinct shingles themselves."""
+    return frozenset(zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else frozenset([tuple(words)] if words else [])
+
+
+def close_sets(p: frozenset, q: frozenset) -> bool:
+    """Whether two sets of shingles are similar enough."""
+    a, b = LEAST
+    if b * min(len(p), len(q)) < a * max(len(p), len(q)):
+        return False
+    shared = len(p & q)
+    return b * shared >= a * (len(p) + len(q) - shared)
 
 
 def _rows(docs: DataFrame, keep: list[str], schema: str, maker) -> DataFrame:
@@ -113,7 +158,6 @@ def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of pairs(u, v) whose shingles are similar enough; classes(node, h) has the hash of a text of each node."""
-    a, b = LEAST
     pairs = materialise(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = materialise(classes.select("node", "h").join(wanted, "node", "left_semi"), "wanted")
@@ -124,13 +168,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(64)(lambda t: shingles(words_of(t)))
+        sets = lru_cache(16)(lambda t: shingle_set(words_of(t)))
         for batch in batches:
-            close = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                p, q = sets(x), sets(y)
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                close.append(b * shared >= a * (len(p) + len(q) - shared))
+            close = [close_sets(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
 
     return materialise(map_batches(both, run, "u long, v long"), "close-pairs")
@@ -183,7 +223,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     with steps():
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        own = _rows(rows, ["doc_id", "h"], "node long, fp long", lambda: lambda w: (node_of(w), signed(fingerprint(w, SHINGLE))))
+        own = _rows(rows, ["doc_id", "h"], "node long, fp long", lambda: lambda w: (node_of(w), fingerprint(w)))
         best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")
         classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp")), "classes")
         n = classes.count()

@@ -48,10 +48,19 @@ def fingerprint(words: list[bytes], shingle: int = 4, seed: int = 42) -> int:
     n = max(1, len(words) - shingle + 1)
     ends = starts[min(shingle, len(words)) :][:n] - 1
     digest = xxhash.xxh64_intdigest
+
+    def hashes() -> Iterator[np.ndarray]:
+        for at in range(0, n, CHUNK):
+            spans = zip(starts[at : at + CHUNK][: n - at].tolist(), ends[at : at + CHUNK].tolist())
+            yield np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
+
+    return of_hashes(hashes(), n)
+
+
+def of_hashes(chunks: Iterator[np.ndarray], n: int) -> int:
+    """Fingerprint of n shingles' 64-bit hashes: the bits that over half of them have."""
     sums = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, CHUNK):
-        spans = zip(starts[at : at + CHUNK][: n - at].tolist(), ends[at : at + CHUNK].tolist())
-        hashes = np.array([digest(joined[a:b], seed) for a, b in spans], dtype="<u8")
+    for hashes in chunks:
         sums += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * sums > n, bitorder="little").view("<u8")[0])
 
@@ -217,9 +226,9 @@ def one_row_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     Equal rows are dropped before they are shuffled, so one row that repeats is no hot key; texts are shuffled once.
     """
     h, own = unused(docs.columns, "h"), unused(docs.columns, "own")
-    single = docs.withColumn(h, F.xxhash64("text")).dropDuplicates(["doc_id", h])
-    keys = chosen.select(F.col("doc_id").alias(own), F.col("h").alias("__" + own))
-    return single.join(keys, single["doc_id"].eqNullSafe(keys[own]) & (single[h] == keys["__" + own]), "left_semi").select(docs.columns)
+    named = F.concat(F.when(F.col("doc_id").isNull(), "").otherwise("="), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))  # never null, so that both steps share one partitioning
+    single = docs.withColumns({own: named, h: F.xxhash64("text")}).dropDuplicates([own, h])
+    return single.join(chosen.select(named.alias(own), F.col("h").alias(h)), [own, h], "left_semi").select(docs.columns)
 
 
 def one_of_each(docs: DataFrame, max_distance: int = 4, shingle: int = 4, seed: int = 42, **settings) -> DataFrame:

@@ -100,7 +100,7 @@ def test_calibration_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(Q, "BINS", 50)
     for seed, loss in ((1, 0.0), (2, 0.05), (3, 0.2)):
         rng = np.random.default_rng(seed)
-        rows = [(bool(g), [float(v) for v in np.clip(rng.normal(0.5 + (0 if g else shift), 0.08), 0, 1)]) for g in rng.random(300) < 0.8 for shift in [np.array([0.0, 0.1, 0.25, 0.15])]]
+        rows = [(bool(g), [float(v) for v in np.clip(rng.normal(np.full(4, 0.5) + (0 if g else shift), 0.08), 0, 1)]) for g in rng.random(300) < 0.8 for shift in [np.array([0.0, 0.1, 0.25, 0.15])]]
         settings = Q.Settings(max_good_loss=loss)
         frame = spark.createDataFrame([(int(g), False, s) for g, s in rows] + [(0, True, [0.9] * 4)], "quality int, base_failed boolean, scores array<double>")
         got = Q.calibrate(frame, settings)
