@@ -95,9 +95,10 @@ def aligned_windows(postings: DataFrame, wins: DataFrame) -> DataFrame:
     places = wins.select("i", F.explode(F.arrays_zip("qs", "terms")).alias("p")).select("i", F.col("p.qs").alias("q"), F.col("p.terms").alias("term")).distinct()
     lists = postings.join(_bounded(places), "term").select("doc_id", "h", "i", (F.col("pos") - F.col("q")).alias("start"), "q")
     met = lists.groupBy("doc_id", "h", "i", "start").agg(F.collect_set("q").alias("found"))
-    own = wins.groupBy("i").agg(F.first("n").alias("n"), F.collect_list(F.struct("s", "qs")).alias("wins"))
+    own = wins.groupBy("i").agg(F.first("n").alias("n"), F.min(F.size("qs")).alias("fewest"), F.collect_list(F.struct("s", "qs")).alias("wins"))
     whole = lambda x: (F.size(F.array_except(x["qs"], "found")) == 0) & (x["s"] + F.col("start") >= 0)
-    met = met.join(_bounded(own), "i").select("doc_id", "h", "i", "start", "n", F.transform(F.filter("wins", whole), lambda x: x["s"]).alias("s"))
+    met = met.withColumn("k", F.size("found")).join(_bounded(own.select("i", "n", "fewest")), "i").filter("k >= fewest")  # most places met one term only
+    met = met.join(_bounded(own.select("i", "wins")), "i").select("doc_id", "h", "i", "start", "n", F.transform(F.filter("wins", whole), lambda x: x["s"]).alias("s"))
     return met.filter(F.size("s") > 0)
 
 
