@@ -6,10 +6,12 @@ import argparse
 import json
 import sys
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import collaborative as cf, evaluation as ev, factors, rerank, scoring, tuning
+from . import drivers
+from .operators import evaluation as ev, factors, scoring, tuning
 from .pipelines import Dataset, load
 from .service import Service, serve
 
@@ -34,63 +36,30 @@ def parser() -> argparse.ArgumentParser:
     add.add_argument("title")
     add.add_argument("-n", type=int, default=10)
     commands.add_parser("experiment")
+    add = commands.add_parser("user")
+    add.add_argument("user_id", type=int)
+    add.add_argument("-n", type=int, default=10)
     for name in LARGE_ONLY:
         add = commands.add_parser(name)
-        add.add_argument("--trials", type=int, default=8)
-        add.add_argument("--log", default="trials")
+        add.add_argument("--output-dir", default=f"output/{name}")
+        add.add_argument("--profile", choices=["smoke", "standard"], default="standard")
+        add.add_argument("--max-users", type=int)
+        if name == "bayes-search":
+            add.add_argument("--mode", choices=list(tuning.SPACES), default="hybrid")
+            add.add_argument("--trials", type=int)
+        if name == "rerank":
+            add.add_argument("--recall-params")
+            add.add_argument("--negative-sampling", choices=["hybrid_hard", "explicit_hard"])
+            add.add_argument("--blend-mode", choices=["value", "rank"])
+            add.add_argument("--min-blend-precision-gain", type=float)
     add = commands.add_parser("serve")
     add.add_argument("--port", type=int, default=8000)
+    add.add_argument("--events")
+    add.add_argument("--artifact")
+    add.add_argument("--runtime")
     return found
 
 
-def compare(data: Dataset, config: ev.Config) -> DataFrame:
-    """Metrics of the popular, bias, factor and neighbour recommenders on the evaluation users."""
-    rows = ev.time_split(cf_input(data), config.test_ratio, config.min_ratings)
-    train, test = rows.filter("split = 'train'").persist(), rows.filter("split = 'test'")
-    users = ev.eligible_users(train, config)
-    history = train.join(F.broadcast(users), "user_id", "left_semi")
-    quality, relevant = ev.quality_scores(train), test.filter(F.col("rating") >= config.relevant).join(F.broadcast(users), "user_id", "left_semi")
-    pool = ev.candidate_pool(train, config.pool)
-    near = cf.user_neighbors(train, users).select(F.col("user_id").alias("session_id"), F.col("neighbor_id").alias("user_id"), "similarity")
-    session = history.select(F.col("user_id").alias("session_id"), "item_id", "rating")
-    shared = cf.score_candidates(near, train, session, cf.EVALUATOR).join(F.broadcast(pool), "item_id", "left_semi")
-    from .functions.numeric import top
-
-    ranked = {
-        "popular": ev.rank_static(quality, "quality", users, history, config.k),
-        "bias": ev.rank_static(ev.bias_scores(train), "bias", users, history, config.k),
-        "als_biased": factors.fit(train).recommend(users, pool, history, config.k),
-        "user_user": top(shared.withColumnRenamed("session_id", "user_id"), "user_id", [F.desc("score"), F.asc("item_id")], config.k),
-    }
-    return ev.compare(ranked, relevant, config.k, quality.count())
-
-
-def cf_input(data: Dataset) -> DataFrame:
-    """One rating for each user and item, the last."""
-    return data.ratings.groupBy("user_id", "item_id").agg(F.max_by("rating", "ts").alias("rating"), F.max("ts").alias("ts"))
-
-
-def learn(data: Dataset, neural: bool, config: ev.Config) -> dict:
-    """Trains a reranker on the middle ratings and reports the metrics of its order on the last ones."""
-    from pyspark.sql import Window
-
-    rows = ev.three_way_split(cf_input(data), config.ranker_ratio, config.test_ratio, config.min_ratings).persist()
-    train = rows.filter("split = 'train'")
-    users = ev.eligible_users(train, config)
-    quality = ev.quality_scores(train)
-    pool = users.crossJoin(F.broadcast(ev.candidate_pool(train, config.pool))).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    model = factors.fit(train, factors.Config(factors=16))
-    later = rows.filter("split <> 'train'").select("user_id", "item_id", "split", "rating")
-    pairs = pool.join(later, ["user_id", "item_id"], "left").withColumn("label", F.coalesce((F.col("rating") >= config.relevant).cast("int"), F.lit(0)))
-    matrix = rerank.feature_matrix(pairs, train, data.items, quality, {"mf": model.predict(pool).select("user_id", "item_id", F.col("prediction").alias("value"))}).persist()
-    fitting = rerank.sample_negatives(matrix.filter("split is null or split = 'ranker'"))
-    ranker = rerank.fit_neural(fitting) if neural else rerank.fit_pointwise(fitting)
-    order = Window.partitionBy("user_id").orderBy(F.desc(F.round("ranker_score", 8)), "item_id")
-    ranked = ranker.score(matrix.filter("split is null or split = 'test'")).withColumn("rank", F.row_number().over(order))
-    relevant = rows.filter(f"split = 'test' and rating >= {config.relevant}").join(F.broadcast(users), "user_id", "left_semi")
-    return ev.ranking_metrics(ranked, relevant, config.k, quality.count()).first().asDict()
-
-
 def experiment(data: Dataset, repeats: int = 3) -> list[tuple[str, int, float]]:
     """Best of `repeats` seconds for rankings of growing parts of the catalogue."""
     out = []
@@ -114,7 +83,11 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
     data = load(spark, args.dataset, args.data)
     if args.command in LARGE_ONLY and data.name == "small":
         raise NotImplementedError(f"{args.command} needs a large dataset")
-    service, config = Service(data), ev.Config()
+    service = Service(data, getattr(args, "events", None), getattr(args, "artifact", None), getattr(args, "runtime", None))
+    smoke = getattr(args, "profile", None) == "smoke"
+    config = ev.Config(max_users=40, pool=300) if smoke else ev.Config()
+    if getattr(args, "max_users", None):
+        config = replace(config, max_users=args.max_users)
     match args.command:
         case "demo":
             return {"dashboard": service.dashboard(), "top": service.top(5)}
@@ -124,32 +97,29 @@ def run(args: argparse.Namespace, spark: SparkSession) -> object:
             return service.search(args.kind, args.query, args.n)
         case "recommend":
             return service.recommend(args.title, args.n)
+        case "user":
+            return service.user(args.user_id, args.n)
         case "experiment":
             return experiment(data)
         case "rerank" | "neural-rerank":
-            return learn(data, args.command == "neural-rerank", config)
+            return drivers.learn(data, args.output_dir, config, _learning(args, spark, smoke))
         case "large-search":
-            return [r.asDict() for r in compare(data, config).collect()]
+            return [r.asDict() for r in drivers.large_search(data, args.output_dir, drivers.SMOKE if smoke else drivers.SearchPlan()).collect()]
         case "bayes-search":
-            rows = ev.time_split(cf_input(data), config.test_ratio, config.min_ratings).persist()
-            train = rows.filter("split = 'train'")
-            users, quality = ev.eligible_users(train, config), ev.quality_scores(train)
-            pool = users.crossJoin(F.broadcast(ev.candidate_pool(train, config.pool))).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-            model = factors.fit(train, factors.Config(factors=16))
-            matrix = rerank.feature_matrix(pool, train, data.items, quality, {"mf": model.predict(pool).select("user_id", "item_id", F.col("prediction").alias("value"))}).persist()
-            relevant = rows.filter(f"split = 'test' and rating >= {config.relevant}").join(F.broadcast(users), "user_id", "left_semi").persist()
-            size = quality.count()
-
-            def judge(s: dict) -> dict:
-                m = tuning.evaluate_weights(matrix, relevant, {"mf": s["mf"], "cf": s["cf"], "quality": max(1 - s["mf"] - s["cf"], 0.0)}, config.k, size)
-                return m | {"objective": tuning.ranking_objective(m)}
-
-            log = tuning.run_trials(spark, tuning.trials("hybrid", args.trials), judge, args.log)
-            return ev.best_row(log, ["objective"]).first().asDict()
+            return drivers.bayes_search(data, args.output_dir, args.mode, args.trials or (5 if smoke else 30), config)
         case "serve":
             serve(service, args.port).serve_forever()
 
 
+def _learning(args: argparse.Namespace, spark: SparkSession, smoke: bool) -> drivers.Learning:
+    """The settings of a learning command: those of its profile, and what the flags change."""
+    found = drivers.Learning(neural=args.command == "neural-rerank", negatives="hybrid_hard" if smoke else "explicit_hard", factors=factors.Config(16, 5) if smoke else factors.Config())
+    if getattr(args, "recall_params", None):
+        found = replace(found, **drivers.load_recall_settings(spark, args.recall_params))
+    given = {"negatives": getattr(args, "negative_sampling", None), "blend": getattr(args, "blend_mode", None), "least_gain": getattr(args, "min_blend_precision_gain", None)}
+    return replace(found, **{k: v for k, v in given.items() if v is not None})
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("starling").getOrCreate()

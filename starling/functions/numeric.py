@@ -68,3 +68,9 @@ def z_score(c: Column, over: WindowSpec) -> Column:
 def top(df, group: str, order: list[Column], n: int, rank: str = "rank"):
     """The first n rows of each group, with their rank."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col(rank) <= n)
+
+
+def top_split(df, group: str, order: list[Column], n: int, by: str, parts: int = 64, rank: str = "rank"):
+    """top() for groups of any size: each is first cut in `parts` by the hash of `by`, so that no task sorts a whole group."""
+    first = Window.partitionBy(group, F.pmod(F.xxhash64(by), F.lit(parts))).orderBy(*order)
+    return top(df.withColumn(rank, F.row_number().over(first)).filter(F.col(rank) <= n).drop(rank), group, order, n, rank)

@@ -9,7 +9,11 @@ from .vectors import tag_cooccurrence
 
 # Words that make a pair noise.
 RATING_TOKENS = ["g", "pg", "pg13", "r", "nc17"]
-FILLERS = ["ass", "s"], ["good", "great", "multiple", "some", "strong", "sustained", "stylized", "bloody"]
+SHORT_FILLERS = ["ass", "s"]
+LONG_FILLERS = ["good", "great", "multiple", "some", "strong", "sustained", "stylized", "bloody"]
+FILLERS = [SHORT_FILLERS, LONG_FILLERS]
+# Keys of one signature, and of one token, above which they are no evidence.
+MOST_OF_SIGNATURE, MOST_OF_TOKEN = 60, 120
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
@@ -19,14 +23,15 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
     return keyed.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def candidate_pairs(keys: DataFrame, most_in_bucket: int = 120) -> DataFrame:
+def candidate_pairs(keys: DataFrame) -> DataFrame:
     """Pairs a < b of keys(tag) with one compact signature or a common token.
 
-    Buckets of more than most_in_bucket keys are no evidence, as in the feature's definition, and give none.
+    Larger buckets than MOST_OF_SIGNATURE or MOST_OF_TOKEN are no evidence, as in the feature's definition, and give none.
     """
     marks = F.array_union(F.array(F.concat(F.lit("="), compact(F.col("tag")))), singular_tokens(F.col("tag")))
     blocks = keys.select("tag", F.explode(marks).alias("block")).distinct()
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, most_in_bucket))
+    most = F.when(F.col("block").startswith("="), MOST_OF_SIGNATURE).otherwise(MOST_OF_TOKEN)
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(F.lit(2), most))
     kept = blocks.join(sizes.select("block"), "block")
     return kept.alias("x").join(kept.alias("y"), "block").filter("x.tag < y.tag").select(F.col("x.tag").alias("a"), F.col("y.tag").alias("b")).distinct()
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import clip, log_share, min_max, top, year_affinity
 from ..functions.text import canonical_title, gestalt, same_series
 from . import collaborative as cf, recall, rerank, sessions
-from .factors import centroids, cosine
+from .factors import best_items
 
 #: The online routes' tuned shares and weights, and how many items a route may bring.
 ONLINE_PRIORS = recall.PRIORS
@@ -40,34 +41,71 @@ def recommend_user(ratings: DataFrame, user_id: int, n: int = 10, most_history:
     return cf.recommend_sessions(own.select(F.col("user_id").alias("session_id"), "item_id", "rating"), others, cf.LARGE_SESSION, n)
 
 
-def online_routes(profile: DataFrame, scores: DataFrame, ratings: DataFrame, model=None) -> DataFrame:
-    """(session_id, source, item_id, score): the candidates that each route gives each session, at most ROUTE_LIMIT."""
-    seen = profile.select("session_id", "item_id").distinct()
-    stats = sessions.profile_stats(profile, scores)
-    rated = scores.select("item_id", "release_year", "comprehensive_score", "bayesian_rating", "rating_count")
-    edge = scores.agg(F.max("comprehensive_score").alias("best"), F.max("rating_count").alias("most"))
-    rated = rated.crossJoin(F.broadcast(edge)).withColumns({"quality": F.col("comprehensive_score") / F.col("best"), "popular": log_share(F.col("rating_count"), F.col("most"))})
-    popular = rated.orderBy(F.desc("quality"), "item_id").limit(ROUTE_LIMIT)
-    everyone = stats.select("session_id", "positive_year")
-    fixed = everyone.crossJoin(F.broadcast(popular.select("item_id", "quality"))).select("session_id", F.lit("popular_quality").alias("source"), "item_id", F.col("quality").alias("score"))
-    years = rated.orderBy(F.desc("quality"), "item_id").limit(4 * ROUTE_LIMIT).select("item_id", "release_year", "quality")
-    dated = everyone.filter("positive_year is not null").crossJoin(F.broadcast(years)).withColumn("score", 0.7 * year_affinity(F.col("release_year"), F.col("positive_year")) + 0.3 * F.col("quality"))
-    parts = [fixed, dated.select("session_id", F.lit("year_affinity").alias("source"), "item_id", "score")]
-    parts.append(cf.two_hop(profile, ratings).select("session_id", F.lit("item_item_cf").alias("source"), "item_id", "score"))
-    shared = cf.score_candidates(cf.profile_neighbors(profile, ratings, cf.LARGE_SESSION), ratings, profile, cf.LARGE_SESSION)
-    parts.append(shared.select("session_id", F.lit("user_user_cf").alias("source"), "item_id", "score"))
+def _rated(scores: DataFrame) -> DataFrame:
+    """scores with quality: the comprehensive score as a share of the greatest."""
+    best = scores.agg(F.max("comprehensive_score").alias("best"))
+    return scores.crossJoin(F.broadcast(best)).withColumn("quality", F.when(F.col("best") > 0, clip(F.col("comprehensive_score") / F.col("best"), 0.0, 1.0)).otherwise(0.0)).drop("best")
+
+
+def profile_score(v, b, q, c):
+    """0.45 of nearness to the liked items' mean year, 0.20 to their mean rating and 0.35 of quality."""
+    years = np.where((v[:, 1:2] > 0) & (q[:, 1] > 0), np.exp(-np.abs(q[:, 0] - v[:, 0:1]) / 18), 0.0)
+    means = np.where(v[:, 3:4] > 0, np.exp(-np.abs(q[:, 2] - v[:, 2:3]) / 0.8), 1.0)
+    return 0.45 * years + 0.2 * means + 0.35 * q[:, 3]
+
+
+def year_score(v, b, q, c):
+    """0.7 of nearness to the liked items' mean year and 0.3 of quality; sessions without such a year have none."""
+    years = np.where(q[:, 1] > 0, np.exp(-np.abs(q[:, 0] - v[:, 0:1]) / 18), 0.0)
+    return np.where(v[:, 1:2] > 0, 0.7 * years + 0.3 * q[:, 3], -np.inf)
+
+
+def model_score(v, b, q, c):
+    """0.75 of what the factors say of the liked items' mean vector and 0.25 of quality, the vector's last number."""
+    return 0.75 * (v @ q[:, :-1].T + c) + 0.25 * q[:, -1]
+
+
+def online_routes(profile: DataFrame, scores: DataFrame, ratings: DataFrame, model=None, limit: int = 600) -> DataFrame:
+    """(session_id, source, item_id, score): the candidates that each of six routes gives each session.
+
+    Every item is scored for the year and profile routes, and ROUTE_LIMIT are kept. With a factor model mf_user_top is its view
+    of the liked items, else 0.45 of the profile route and 0.55 of quality, or the popular items where there is no such route.
+    """
+    seen = profile.select(F.col("session_id").alias("user_id"), "item_id").distinct()
+    rated = _rated(scores).select("item_id", "release_year", "bayesian_rating", "avg_rating", "quality")
+    popular = rated.orderBy(F.desc("quality"), "item_id").limit(max(limit // 3, 50)).select("item_id", "quality")
+    liked = profile.filter("rating >= 3.6")
+    tastes = profile.select("session_id").distinct().join(
+        liked.join(rated, "item_id", "left").groupBy("session_id").agg(F.avg("release_year").alias("year"), F.avg(F.coalesce("avg_rating", F.lit(0.0))).alias("mean")), "session_id", "left"
+    )
+    known = lambda c: F.col(c).isNotNull().cast("double")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    users = tastes.select(F.col("session_id").alias("user_id"), F.array(number("year"), known("year"), number("mean"), known("mean")).alias("v"), F.lit(0.0).alias("bias"))
+    pool = rated.select("item_id", F.array(number("release_year"), known("release_year"), number("avg_rating"), number("quality")).alias("q"), F.lit(0.0).alias("bias"))
+    named = lambda df, source, value: df.select(F.col("user_id").alias("session_id"), F.lit(source).alias("source"), "item_id", F.col(value).alias("score"))
+    near = best_items(users.filter("v[1] > 0 or v[3] > 0"), pool, seen, ROUTE_LIMIT, profile_score, "value").persist()  # two routes read it
+    dated = best_items(users.filter("v[1] > 0"), pool, seen, ROUTE_LIMIT, year_score, "value")
+    fixed = users.select("user_id").crossJoin(F.broadcast(popular))  # at most limit / 3 items
+    parts = [named(fixed, "popular_quality", "quality"), named(near, "profile_centroid", "value"), named(dated, "year_affinity", "value")]
     if model is not None:
-        liked = profile.filter("rating >= 3.6").withColumnRenamed("session_id", "user_id")
-        centre = centroids(liked.withColumn("rating", F.greatest("rating", F.lit(4.0))), model.items).withColumnRenamed("user_id", "session_id")
-        pool = model.items.filter("q is not null").join(F.broadcast(years.select("item_id")), "item_id", "left_semi").select("item_id", "q")
-        near = centre.crossJoin(F.broadcast(pool)).select("session_id", F.lit("profile_centroid").alias("source"), "item_id", ((cosine("centroid", "q") + 1) / 2).alias("score"))
-        parts.append(near)
+        weight = F.greatest(F.col("rating") - 3, F.lit(0.25))
+        seeds = liked.join(model.items.filter("q is not null").select("item_id", "q"), "item_id").select(F.col("session_id").alias("user_id"), weight.alias("w"), F.posexplode("q").alias("k", "x"))
+        means = seeds.groupBy("user_id", "k").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+        means = means.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("l")).select("user_id", F.col("l.x").alias("v"), F.lit(0.0).alias("bias"))
+        factors_ = model.items.filter("q is not null").join(rated.select("item_id", "quality"), "item_id", "left")
+        factors_ = factors_.select("item_id", F.concat(F.transform("q", lambda x: x.cast("double")), F.array(number("quality"))).alias("q"), F.col("item_bias").alias("bias"))
+        parts.append(named(best_items(means, factors_, seen, max(limit, 100), model_score, "value"), "mf_user_top", "value"))
+    else:
+        proxy = near.join(rated.select("item_id", "quality"), "item_id").withColumn("value", 0.45 * F.col("value") + 0.55 * F.col("quality"))
+        without = users.filter("v[1] = 0 and v[3] = 0").select("user_id").crossJoin(F.broadcast(popular))
+        parts += [named(proxy, "mf_user_top", "value"), named(without, "mf_user_top", "quality")]
+    parts.append(top(cf.two_hop(profile, ratings), "session_id", [F.desc("score"), F.desc("support"), F.asc("item_id")], limit).select("session_id", F.lit("item_item_cf").alias("source"), "item_id", "score"))
+    shared = cf.score_candidates(cf.profile_neighbors(profile, ratings, cf.LARGE_SESSION), ratings, profile, cf.LARGE_SESSION)
+    parts.append(top(shared, "session_id", [F.desc("score"), F.desc("support"), F.asc("item_id")], limit).select("session_id", F.lit("user_user_cf").alias("source"), "item_id", "score"))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    kept = every.join(seen, ["session_id", "item_id"], "left_anti")
-    order = Window.partitionBy("session_id", "source").orderBy(F.desc(F.round("score", 8)), "item_id")
-    return kept.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= ROUTE_LIMIT).drop("n")
+    return every.join(seen.withColumnRenamed("user_id", "session_id"), ["session_id", "item_id"], "left_anti")
 
 
 def combine_routes(routes: DataFrame, limit: int, k: float = 20.0, priors: dict[str, recall.Prior] = ONLINE_PRIORS) -> DataFrame:
@@ -79,28 +117,50 @@ def combine_routes(routes: DataFrame, limit: int, k: float = 20.0, priors: dict[
     return top(fused, "session_id", [F.desc(F.round("score", 8)), F.desc(F.size("sources")), F.asc("item_id")], limit)
 
 
-def recommend_online(events: DataFrame, scores: DataFrame, ratings: DataFrame, artifact: DataFrame, n: int = 10, limit: int = 600, model=None) -> DataFrame:
-    """Sessions' events -> n items each, by the stacked reranker: routes, fusion, 25 features, linear score.
+def online_features(fused: DataFrame, routes: DataFrame, profile: DataFrame, scores: DataFrame) -> DataFrame:
+    """fused(session_id, item_id, score, sources) with the 25 features as a session knows them.
 
-    (session_id, item_id, score, sources, rank). Sessions without an opinion on any item have no row; backfill them.
+    The profile route stands for similarity to what is liked, the disliked items' mean year for dissimilarity, mf_user_top for the
+    factors; counts are logarithms as a share of the greatest.
     """
-    profile = sessions.active_profile(sessions.since_reset(events))
-    routes = online_routes(profile, scores, ratings, model)
-    fused = combine_routes(routes, limit)
-    pairs = fused.select(F.col("session_id").alias("user_id"), "item_id")
-    train = profile.select(F.col("session_id").alias("user_id"), "item_id", "rating")
     own = Window.partitionBy("session_id", "source")
-    wide = routes.withColumn("v", min_max(F.col("score"), own)).groupBy("session_id", "item_id").agg(*[F.max(F.when(F.col("source") == s, F.col("v")).otherwise(0.0)).alias(f"r_{s}") for s in ONLINE_PRIORS])
-    best = scores.agg(F.max("comprehensive_score").alias("best"))
-    quality = scores.crossJoin(F.broadcast(best)).select("item_id", clip(F.col("comprehensive_score") / F.col("best"), 0.0, 1.0).alias("quality"))
-    cfs = routes.filter("source = 'user_user_cf'").select(F.col("session_id").alias("user_id"), "item_id", F.col("score").alias("value"))
-    items = routes.filter("source = 'item_item_cf'").select(F.col("session_id").alias("user_id"), "item_id", F.col("score").alias("value"))
-    matrix = rerank.feature_matrix(pairs, train, scores, quality, {"cf": cfs, "item_item": items})
-    matrix = matrix.drop(*[f"route_{s}" for s in ONLINE_PRIORS], "route_surfaced", "route_sources", "route_score")
-    joined = matrix.join(wide.withColumnRenamed("session_id", "user_id"), ["user_id", "item_id"]).join(fused.select(F.col("session_id").alias("user_id"), "item_id", "sources", F.col("score").alias("fused")), ["user_id", "item_id"])
-    joined = joined.withColumns({f"route_{s}": F.col(f"r_{s}") for s in ONLINE_PRIORS} | {"route_surfaced": F.lit(1.0), "route_sources": F.size("sources") / len(ONLINE_PRIORS), "route_score": F.col("fused") / F.max("fused").over(Window.partitionBy("user_id"))})
-    done = rerank.linear_score(joined, artifact).withColumn("score", F.round("online_score", 6))
-    return top(done, "user_id", [F.desc("score"), F.asc("item_id")], n).select(F.col("user_id").alias("session_id"), "item_id", "score", "sources", "rank")
+    scaled = routes.withColumn("v", min_max(F.col("score"), own))
+    wide = scaled.groupBy("session_id", "item_id").agg(*[F.max(F.when(F.col("source") == s, F.col("v"))).alias(f"r_{s}") for s in ONLINE_PRIORS])
+    rated = _rated(scores).select("item_id", "release_year", "avg_rating", "rating_count", "quality")
+    edge = rated.agg(F.max("rating_count").alias("most"), F.min("release_year").alias("low"), F.max("release_year").alias("high"))
+    stats = sessions.profile_stats(profile, scores)
+    rows = fused.join(wide, ["session_id", "item_id"], "left").join(rated, "item_id").join(stats, "session_id").crossJoin(F.broadcast(edge))
+    r = lambda s: F.coalesce(f"r_{s}", F.lit(0.0))
+    dislike = year_affinity(F.col("release_year"), F.col("negative_year"))
+    made = {
+        "mf": F.coalesce("r_mf_user_top", "quality"), "cf": r("user_user_cf"), "quality": F.col("quality"), "item_avg": F.coalesce("avg_rating", F.lit(0.0)) / 5, "item_count": log_share(F.col("rating_count"), F.col("most")),
+        "user_avg": F.col("mean") / 5, "user_count": log_share(F.col("n"), F.col("most")), "positive_similarity": r("profile_centroid"), "negative_similarity": dislike,
+        "similarity_margin": 0.5 + 0.5 * (r("profile_centroid") - dislike), "item_item": r("item_item_cf"), "user_positives": F.least(F.col("positives") / 20, F.lit(1.0)), "user_positive_rate": F.col("positive_rate"),
+        "year": F.coalesce((F.col("release_year") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1)), F.lit(0.0)), "has_year": F.col("release_year").isNotNull().cast("double"),
+        "year_affinity": year_affinity(F.col("release_year"), F.col("positive_year")), "route_surfaced": F.lit(1.0), "route_score": F.col("score") / F.max("score").over(Window.partitionBy("session_id")),
+        "route_sources": F.size("sources") / len(ONLINE_PRIORS), **{f"route_{s}": r(s) for s in ONLINE_PRIORS},
+    }
+    return rows.select("session_id", "item_id", "sources", *[clip(made[f], 0.0, 1.0).cast("double").alias(f) for f in rerank.FEATURES])
+
+
+#: Which bucket an item is shown in, by the first of these routes that brought it; "top" if none did.
+BUCKETS = [("user_user_cf", "collaborative"), ("item_item_cf", "item_item"), ("profile_centroid", "profile"), ("mf_user_top", "profile"), ("year_affinity", "year")]
+
+
+def recommend_online(events: DataFrame, scores: DataFrame, ratings: DataFrame, artifact: DataFrame, n: int = 10, limit: int = 600, model=None, k: float = 20.0, priors: dict[str, recall.Prior] = ONLINE_PRIORS) -> DataFrame:
+    """Sessions' events -> n items each, by the stacked reranker: routes, fusion, 25 features, linear score.
+
+    (session_id, item_id, score, quality, sources, bucket, rank). Sessions without an opinion on any item have no row; backfill them.
+    """
+    profile = sessions.active_profile(sessions.since_reset(events)).persist()  # each route reads it
+    routes = online_routes(profile, scores, ratings, model, limit).persist()
+    matrix = online_features(combine_routes(routes, limit, k, priors), routes, profile, scores)
+    done = rerank.linear_score(matrix, artifact).withColumn("score", F.round("online_score", 6))
+    bucket = F.lit("top")
+    for source, name in reversed(BUCKETS):
+        bucket = F.when(F.array_contains("sources", source), name).otherwise(bucket)
+    best = top(done, "session_id", [F.desc("score"), F.desc("quality"), F.asc("item_id")], n)
+    return best.select("session_id", "item_id", "score", "quality", "sources", bucket.alias("bucket"), "rank")
 
 
 def reasons(shown: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from math import exp, log
 from collections.abc import Callable
 from itertools import product
 
@@ -58,41 +59,68 @@ def ranking_objective(m: dict) -> float:
     return m["precision_at_k"] + 0.25 * m["map_at_k"] + 0.10 * m["hit_rate_at_k"] - 0.25 * max(0.08 - m["catalog_coverage"], 0.0)
 
 
+def least_reachable(least: float, limit: int, relevant: int) -> float:
+    """The recall asked for, or nearly all that a pool of `limit` items can have."""
+    return min(least, 0.95 * min(limit / max(relevant, 1), 1.0))
+
+
 def recall_objective(m: dict, least: float, limit: int, relevant: int) -> float:
     """Below 0 if recall misses the least that the pool can reach, above it otherwise."""
-    least = min(least, 0.95 * min(limit / max(relevant, 1), 1.0))
+    least = least_reachable(least, limit, relevant)
     if m["route_recall"] < least:
         return (m["route_recall"] - least) - 0.05 * (least - m["route_recall"])
     return m["route_precision"] + 0.25 * m["route_marginal_recall_sum"] + 0.10 * m["route_recall"]
 
 
-#: The search ranges.
+# The search ranges; of the recall routes, a floor, what the cap adds to it, and the base weight.
+ROUTE_RANGES = {
+    "popular_quality": ((0.12, 0.45), (0.04, 0.40), (0.75, 1.80)),
+    "mf_user_top": ((0.12, 0.85), (0.10, 0.75), (0.55, 1.70)),
+    "profile_centroid": ((0.12, 0.95), (0.10, 0.85), (0.45, 1.80)),
+    "item_item_cf": ((0.08, 0.75), (0.08, 0.65), (0.45, 1.80)),
+    "user_user_cf": ((0.05, 0.55), (0.05, 0.45), (0.35, 1.40)),
+    "year_affinity": ((0.10, 0.85), (0.10, 0.75), (0.45, 1.80)),
+}
 SPACES = {
     "hybrid": {"mf": (0.05, 0.45), "cf": (0.0, 0.15)},
     "mf": {"factors": range(24, 129, 8), "iterations": range(10, 41, 5), "reg": (1e-3, 1e-1)},
-    "recall": {"rrf_k": (20.0, 140.0)},
+    "recall": {"rrf_k": (20.0, 140.0)} | {f"{s}_{name}": r for s, ranges in ROUTE_RANGES.items() for name, r in zip(("floor", "cap_extra", "base_weight"), ranges)},
 }
+LOGARITHMIC = {"reg"}
+
+
+def trials(mode: str, n: int, seed: int = 42) -> list[dict]:
+    """n settings of a mode's space by a seeded generator; the first m of any longer list are the same."""
+    rng = random.Random(f"{mode}-{seed}")
 
+    def drawn(name: str, values):
+        if isinstance(values, range):
+            return rng.choice(values)
+        if name in LOGARITHMIC:
+            return round(exp(rng.uniform(log(values[0]), log(values[1]))), 6)
+        return round(rng.uniform(*values), 6)
 
-def trials(objective: str, n: int, seed: int = 42) -> list[dict]:
-    """n settings of an objective's space by a seeded generator; the first m of any longer list are the same."""
-    rng = random.Random(f"{objective}-{seed}")
-    return [{"trial_id": f"{objective}-{seed}-{i}"} | {k: rng.choice(v) if isinstance(v, range) else round(rng.uniform(*v), 6) for k, v in SPACES[objective].items()} for i in range(n)]
+    return [{"trial_id": f"{mode}-{seed}-{i}"} | {k: drawn(k, v) for k, v in SPACES[mode].items()} for i in range(n)]
 
 
-def run_trials(spark: SparkSession, settings: list[dict], evaluate: Callable[[dict], dict], log: str) -> DataFrame:
-    """Evaluates the settings whose trial_id the log lacks and appends a row for each; returns the whole log."""
+def run_trials(spark: SparkSession, settings: list[dict], evaluate: Callable[[dict], dict | list[dict]], folder: str) -> DataFrame:
+    """Evaluates the settings whose trial_id the log lacks and appends what it gives, a row or several; returns the whole log."""
     try:
-        done = {r.trial_id for r in spark.read.parquet(log).select("trial_id").collect()}  # one row for each trial
+        done = {r.trial_id for r in spark.read.parquet(folder).select("trial_id").collect()}  # one row for each trial
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         done = set()
     for s in settings:
         if s["trial_id"] not in done:
-            row = s | evaluate(s)
-            spark.createDataFrame([row]).write.mode("append").parquet(log)
-    return spark.read.option("mergeSchema", True).parquet(log)
+            found = evaluate(s)
+            rows = [{k: v for k, v in (s | r).items() if v is not None} for r in (found if isinstance(found, list) else [found])]
+            every = None
+            for row in rows:  # rows may differ in their columns
+                one = spark.createDataFrame([row])
+                every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+            every.coalesce(1).write.mode("append").parquet(folder)  # at once, so that a trial is whole or missing
+    return spark.read.option("mergeSchema", True).parquet(folder)
 
 
 def evaluate_weights(features: DataFrame, relevant: DataFrame, weights: dict[str, float], k: int, catalogue: int) -> dict:

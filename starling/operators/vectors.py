@@ -70,40 +70,39 @@ def tag_cooccurrence(item_tags: DataFrame, most_tags: int = 70, least: int = 2)
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") >= least)
 
 
-def tag_semantics(item_tags: DataFrame, dims: int = 48, least_items: int = 3, least_cosine: float = 0.24, n: int = 10, most_tags: int = 4000) -> DataFrame:
-    """Neighbours of tags in a latent space: (tag, neighbour, similarity, shared, rank).
+def tag_semantics(item_tags: DataFrame, dims: int = 48, least_items: int = 3, least_cosine: float = 0.24, n: int = 10) -> DataFrame:
+    """Neighbours of tags in a latent space, of those with an item in common: (tag, neighbour, similarity, shared, rank).
 
-    item_tags(item_id, tag, weight). Rows are ln(1 + w) * (ln((N + 1) / (df + 1)) + 1), of length 1; the tags' Gram matrix is summed by
-    a join in Spark and decomposed on the driver, which the bound on tags, the commonest ones, keeps small.
+    item_tags(item_id, tag, weight). Rows are ln(1 + w) * (ln((N + 1) / (df + 1)) + 1), of length 1, decomposed as a distributed matrix
+    of items by tags; the driver holds `dims` numbers of each tag.
     """
-    df = item_tags.groupBy("tag").agg(F.countDistinct("item_id").alias("df")).filter(F.col("df") >= least_items).orderBy(F.desc("df"), "tag").limit(most_tags)
-    total = item_tags.select("item_id").distinct().count()
-    rows = item_tags.join(F.broadcast(df), "tag").select("item_id", "tag", (F.log1p("weight") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)).alias("value"))
-    rows = rows.withColumn("norm", F.sqrt(F.sum(F.col("value") ** 2).over(Window.partitionBy("tag")))).select("item_id", "tag", (F.col("value") / F.col("norm")).alias("value"))
-    per_item = rows.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("tag", "value"))).alias("l"))  # an item's tags
-    pairs = per_item.select(F.explode(F.expr("flatten(transform(l, x -> transform(l, y -> struct(x.tag AS a, y.tag AS b, x.value * y.value AS v))))")).alias("p"))
-    gram = pairs.groupBy("p.a", "p.b").agg(F.sum("p.v").alias("v"), F.count(F.lit(1)).alias("shared")).toPandas()  # at most most_tags squared
-    names = sorted(set(gram.a))
-    at = {t: i for i, t in enumerate(names)}
-    g, shared = np.zeros((len(names), len(names))), np.zeros((len(names), len(names)), dtype=np.int64)
-    i, j = gram.a.map(at).to_numpy(dtype=np.int64), gram.b.map(at).to_numpy(dtype=np.int64)
-    g[i, j], shared[i, j] = gram.v, gram["shared"]
-    schema = "tag string, neighbour string, similarity double, shared long, rank int"
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    spark, schema = item_tags.sparkSession, "tag string, neighbour string, similarity double, shared long, rank int"
+    df = item_tags.groupBy("tag").agg(F.countDistinct("item_id").alias("df")).filter(F.col("df") >= least_items)
+    names = [r.tag for r in df.select("tag").orderBy("tag").collect()]  # a row a tag, as the decomposition has
     if not names:
-        return item_tags.sparkSession.createDataFrame([], schema)
-    values, axes = np.linalg.eigh(g)
-    keep = np.argsort(values)[::-1][:dims]
-    keep = keep[values[keep] > 1e-8]
-    e = axes[:, keep] * np.sqrt(values[keep])
+        return spark.createDataFrame([], schema)
+    numbers = spark.createDataFrame(list(enumerate(names)), "k int, tag string")
+    total = item_tags.select("item_id").distinct().count()
+    known = item_tags.join(df.join(numbers, "tag"), "tag")
+    rows = known.select("item_id", "tag", "k", (F.log1p("weight") * (F.log((F.lit(total) + 1) / (F.col("df") + 1)) + 1)).alias("value"))
+    norms = rows.groupBy("k").agg(F.sqrt(F.sum(F.col("value") ** 2)).alias("norm"))
+    rows = rows.join(norms, "k").select("item_id", "tag", "k", (F.col("value") / F.col("norm")).alias("value")).groupBy("item_id", "tag", "k").agg(F.sum("value").alias("value")).persist()
+    per_item = rows.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("l"))  # an item's tags, a row of the matrix
+    width = len(names)
+    found = RowMatrix(per_item.select("l").rdd.map(lambda r: Vectors.sparse(width, [(x.k, x.value) for x in r.l])), 0, width).computeSVD(min(dims, width), False, 1e-8)
+    e = found.V.toArray() * found.s.toArray()
     e = e / np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-12)
-    cos = e @ e.T
-    np.fill_diagonal(cos, -1.0)
-    cos[shared < 1] = -1.0
-    out = []
-    for k, name in enumerate(names):
-        order = sorted(np.flatnonzero(cos[k] >= least_cosine), key=lambda m: (-round(float(cos[k, m]), 6), names[m]))[:n]
-        out += [(name, names[m], round(float(cos[k, m]), 4), int(shared[k, m]), r) for r, m in enumerate(order, 1)]
-    return item_tags.sparkSession.createDataFrame(out, schema)
+    places = spark.createDataFrame([(name, row.tolist()) for name, row in zip(names, e)], "tag string, e array<double>")
+    one, other = rows.select("item_id", F.col("tag").alias("tag")), rows.select("item_id", F.col("tag").alias("neighbour"))
+    shared = one.join(other, "item_id").filter("tag <> neighbour").groupBy("tag", "neighbour").agg(F.countDistinct("item_id").alias("shared"))
+    both = shared.join(places, "tag").join(places.select(F.col("tag").alias("neighbour"), F.col("e").alias("f")), "neighbour")
+    cosine = F.aggregate(F.zip_with("e", "f", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    near = both.select("tag", "neighbour", F.round(cosine, 6).alias("cosine"), "shared").filter(F.col("cosine") >= least_cosine)
+    near = top(near, "tag", [F.desc("cosine"), F.asc("neighbour")], n)
+    return near.select("tag", "neighbour", F.round("cosine", 4).alias("similarity"), "shared", "rank")
 
 
 def expand_tags(weights: DataFrame, neighbours: DataFrame, by: float = 0.3, most: int = 5) -> DataFrame:
@@ -111,3 +110,10 @@ def expand_tags(weights: DataFrame, neighbours: DataFrame, by: float = 0.3, most
     near = neighbours.filter(F.col("rank") <= most)
     more = weights.filter("weight > 0").join(near, "tag").select(F.col("neighbour").alias("tag"), (F.col("weight") * by * F.col("similarity")).alias("weight"))
     return weights.select("tag", "weight").unionByName(more).groupBy("tag").agg(F.sum("weight").alias("weight"))
+
+
+def explain_expansion(weights: DataFrame, neighbours: DataFrame, by: float = 0.3, most: int = 5, n: int = 10) -> DataFrame:
+    """The n greatest weights that expand_tags() adds: (source, tag, weight, similarity)."""
+    near = neighbours.filter(F.col("rank") <= most)
+    rows = weights.filter("weight > 0").join(near, "tag").select(F.col("tag").alias("source"), F.col("neighbour").alias("tag"), F.round(F.col("weight") * by * F.col("similarity"), 3).alias("weight"), "similarity")
+    return rows.filter("weight > 0").orderBy(F.desc("weight"), "source", "tag").limit(n)

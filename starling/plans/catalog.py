@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import rank_percentile, top, year_affinity
 from ..functions.text import bigrams, jaccard, normalise, series_key
-from ..operators import aliases, collaborative as cf, evaluation as ev, factors, recall, rerank, scoring, search, selection, sessions, vectors
+from ..operators import aliases, candidates, collaborative as cf, evaluation as ev, factors, recall, rerank, scoring, search, selection, sessions, vectors
 from ..sources import domain
 
 QUERIES: dict = {}
@@ -212,27 +212,38 @@ def content_vectors(spark, d):
     return vectors.content_vectors(_profiles(spark, d)).select("item_id", "feature", F.round("value", 6).alias("value"))
 
 
-@query()
+@query("""WITH t AS (SELECT c_custkey AS item_id, n_name AS tag FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT c_custkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT c_custkey, c_mktsegment FROM customer),
+  df AS (SELECT tag, count(DISTINCT item_id) AS n FROM t GROUP BY tag HAVING count(DISTINCT item_id) >= 3),
+  c AS (SELECT a.tag AS tag, b.tag AS neighbour, round(count(*) / sqrt(any_value(x.n) * any_value(y.n)), 6) AS cosine, count(*) AS shared FROM t a JOIN t b ON a.item_id = b.item_id AND a.tag <> b.tag JOIN df x ON x.tag = a.tag JOIN df y ON y.tag = b.tag GROUP BY ALL)
+  SELECT tag, neighbour, round(cosine, 4) AS similarity, shared, row_number() OVER (PARTITION BY tag ORDER BY cosine DESC, neighbour) AS rank FROM c WHERE cosine >= 0.24 QUALIFY rank <= 10""")
 def tag_semantics(spark, d):
-    details = scoring.tag_details(domain.tags(spark, d))
-    return vectors.tag_semantics(details.select("item_id", "tag", "weight"))
+    """Nations, regions and segments as tags of customers: fewer tags than dimensions, so that the space keeps their cosines."""
+    nations = domain.table(spark, d, "nation").join(domain.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = domain.table(spark, d, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    tagged = rows.select(F.col("c_custkey").alias("item_id"), F.explode(F.array("n_name", "r_name", "c_mktsegment")).alias("tag"), F.lit(1.0).alias("weight"))
+    return vectors.tag_semantics(tagged).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
 def alias_report(spark, d):
-    return aliases.alias_report(domain.tags(spark, d))
+    """Aliases among the names of parts, half of them written otherwise."""
+    items = domain.items(spark, d)
+    written = F.when(F.col("item_id") % 2 == 0, F.concat(F.regexp_replace("title", " ", "-"), F.lit("s"))).otherwise(F.col("title"))
+    return aliases.alias_report(items.select("item_id", written.alias("tag")))
 
 
 # Collaborative filtering.
 
 NEIGHBOURS = f"""{CENTRED}, dots AS (SELECT x.user_id, y.user_id AS neighbor_id, count(*) AS shared, round(sum(x.c * y.c) / (any_value(x.norm) * any_value(y.norm)) * count(*) / (count(*) + 5.0), 8) AS similarity
-    FROM centred x JOIN centred y ON x.item_id = y.item_id AND x.user_id <> y.user_id GROUP BY ALL),
+    FROM centred x JOIN centred y ON x.item_id = y.item_id AND x.user_id <> y.user_id WHERE x.user_id % 100 = 0 GROUP BY ALL),
   near AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY similarity DESC, neighbor_id) AS rank FROM dots WHERE shared >= 2 AND similarity > 0 QUALIFY rank <= 32)"""
 
 
 @query(f"WITH {RATINGS}, {NEIGHBOURS} SELECT user_id, neighbor_id, round(similarity, 4) AS similarity, shared, CAST(rank AS BIGINT) AS rank FROM near")
 def user_neighbors(spark, d):
-    found = cf.user_neighbors(domain.ratings(spark, d))
+    """Neighbours of the users whose id is divisible by 100, among all."""
+    ratings = domain.ratings(spark, d)
+    found = cf.user_neighbors(ratings, ratings.filter("user_id % 100 = 0"))
     return found.select("user_id", "neighbor_id", four(F.col("similarity"), "similarity"), "shared", F.col("rank").cast("long").alias("rank"))
 
 
@@ -286,9 +297,10 @@ def left_anti_unseen(spark, d):
 
 
 @query()
-def lsh_neighbors(spark, d):
+def near_vectors(spark, d):
+    """Ten neighbours of the embeddings whose id is divisible by 100, among all."""
     rows = domain.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return cf.lsh_neighbors(rows).select("a", "b", F.round("cosine", 4).alias("cosine"))
+    return cf.near_vectors(rows, rows.filter("id % 100 = 0")).select("id", "neighbour", F.round("cosine", 4).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
 # Splits, metrics and fusion.
@@ -498,38 +510,14 @@ def als_recs(spark, d):
     return found.select("user_id", "item_id", F.round("prediction", 4).alias("prediction"), "rank")
 
 
-def _recalled(train, items, users, quality, limit, k=10):
-    """What the routes bring for users: (model, cf and item_item scores of (user_id, item_id, value), routes(source, item_id, score))."""
-    model, own = factors.fit(train), train.join(users, "user_id", "left_semi")
-    history, session = own.select("user_id", "item_id"), own.select(F.col("user_id").alias("session_id"), "item_id", "rating")
-    each = recall.per_user_limit(limit, users.count(), k)
-    unseen = lambda df: df.withColumnRenamed("session_id", "user_id").select("user_id", "item_id", F.col("score").alias("value")).join(history, ["user_id", "item_id"], "left_anti")
-    item_item = unseen(cf.item_item_scores(session, cf.item_item_neighbors(train))).persist()  # features and routes read both
-    near = cf.user_neighbors(train, users).select(F.col("user_id").alias("session_id"), F.col("neighbor_id").alias("user_id"), "similarity")
-    shared = unseen(cf.score_candidates(near, train, session, cf.EVALUATOR)).persist()
-    top_mf = model.recommend(users, train, history, each).select("user_id", "item_id", F.col("prediction").alias("value"))
-    near_profile = model.near_centroids(factors.centroids(own, model.items), train, history, each).select("user_id", "item_id", ((F.col("cosine") + 1) / 2).alias("value"))
-    year = recall.year_values(own, items, quality).join(history, ["user_id", "item_id"], "left_anti")
-    parts = {"mf_user_top": top_mf, "profile_centroid": near_profile, "item_item_cf": recall.normalised(item_item), "user_user_cf": recall.normalised(shared), "year_affinity": year}
-    routes = recall.popular_route(quality, recall.popular_limit(limit, k))
-    for source, values in parts.items():
-        routes = routes.unionByName(recall.route(values, source, each))
-    return model, shared, item_item, routes
-
-
 def _ltr_matrix(spark, d):
     """Features of every later rating of all users with enough ratings, by models fitted on the earlier ones."""
     rows = ev.three_way_split(domain.ratings(spark, d), min_ratings=12)
     train, items = rows.filter("split = 'train'").persist(), domain.items(spark, d)  # each model reads it
     users, quality = ev.rated_users(train, ev.Config().min_ratings), ev.quality_scores(train)
     pairs = rows.filter("split <> 'train'").join(users, "user_id", "left_semi").select("user_id", "item_id", "split", (F.col("rating") >= 4).cast("int").alias("label"))
-    model, shared, item_item, routes = _recalled(train, items, users, quality, 600)
-    near = lambda positive: pairs.select("user_id", "item_id").join(factors.centroids(train, model.items, positive), "user_id").join(model.items.filter("q is not null"), "item_id").select("user_id", "item_id", factors.cosine("centroid", "q").alias("value"))
-    extras = {
-        "mf": model.predict(pairs.select("user_id", "item_id")).select("user_id", "item_id", F.col("prediction").alias("value")), "cf": shared, "item_item": item_item,
-        "positive": near(True), "negative": near(False), "routes": recall.route_features(routes, list(recall.PRIORS)),
-    }
-    return rerank.feature_matrix(pairs, train, items, quality, extras)
+    found = candidates.recalled(train, items, users, quality, 600)
+    return rerank.feature_matrix(pairs, train, items, quality, found.extras(pairs, train))
 
 
 @query()
@@ -546,7 +534,7 @@ def recall_pool(spark, d):
     rows = _split(spark, d).persist()  # the model and each route read it
     train, items = rows.filter("split = 'train'"), domain.items(spark, d)
     users, quality = ev.rated_users(train, ev.Config().min_ratings), ev.quality_scores(train)
-    routes = _recalled(train, items, users, quality, 600)[3]
+    routes = candidates.recalled(train, items, users, quality, 600).routes
     test = rows.filter("split = 'test' and rating >= 4").join(users, "user_id", "left_semi")
     pool, _ = recall.build_pool(routes, test, quality, 600, 20.29)
     return pool.select("item_id", F.round("score", 6).alias("score"), F.array_join("sources", "|").alias("sources"))

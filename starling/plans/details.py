@@ -46,12 +46,13 @@ def canonical_tags(spark, d):
     return named.select("tag", facet(F.col("tag")).alias("facet"), singular(F.col("tag")).alias("singular"))
 
 
-@query("""WITH t AS (SELECT DISTINCT p_name AS a, list_distinct(string_split(p_name, ' ')) AS x FROM part), p AS (SELECT l.a AS a, r.a AS b, len(list_intersect(l.x, r.x)) AS n, least(len(l.x), len(r.x)) AS m, len(list_distinct(list_concat(l.x, r.x))) AS u FROM t l JOIN t r ON l.a < r.a)
+@query("""WITH t AS (SELECT p_name AS a, list_distinct(string_split(p_name, ' ')) AS x, bool_or(p_partkey % 100 = 0) AS q FROM part GROUP BY p_name), p AS (SELECT l.a AS a, r.a AS b, len(list_intersect(l.x, r.x)) AS n, least(len(l.x), len(r.x)) AS m, len(list_distinct(list_concat(l.x, r.x))) AS u FROM t l JOIN t r ON l.q AND l.a <> r.a)
   SELECT a, b, round(greatest(n / u, 0.86 * CASE WHEN n >= 2 THEN n / m ELSE 0 END), 6) AS similarity FROM p WHERE n > 0""")
 def token_similarities(spark, d):
-    names = domain.items(spark, d).select("title").distinct().withColumn("x", F.array_distinct(F.split("title", " ")))
-    words = names.select("title", "x", F.explode("x").alias("w"))  # pairs share a word
-    both = words.alias("l").join(words.alias("r"), "w").filter("l.title < r.title").select(F.col("l.title").alias("a"), F.col("r.title").alias("b"), F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
+    """Titles of the items whose id is divisible by 100, against all."""
+    items = domain.items(spark, d)
+    words = lambda df: df.select("title").distinct().withColumn("x", F.array_distinct(F.split("title", " "))).select("title", "x", F.explode("x").alias("w"))  # noqa: E731  pairs share a word
+    both = words(items.filter("item_id % 100 = 0")).alias("l").join(words(items).alias("r"), "w").filter("l.title <> r.title").select(F.col("l.title").alias("a"), F.col("r.title").alias("b"), F.col("l.x").alias("x"), F.col("r.x").alias("y")).distinct()
     return both.select("a", "b", six(token_similarity(F.col("x"), F.col("y")), "similarity"))
 
 
@@ -73,9 +74,9 @@ def bigram_postings(spark, d):
 # Ratings.
 
 
-@query(f"WITH {RATINGS} SELECT user_id, item_id, rating, ts FROM ratings WHERE user_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) <= 120")
+@query(f"WITH {RATINGS} SELECT user_id, item_id, rating, ts FROM ratings QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item_id) <= 120")
 def user_histories(spark, d):
-    return top(domain.ratings(spark, d).filter("user_id % 100 = 0"), "user_id", [F.desc("ts"), F.asc("item_id")], 120).drop("rank")
+    return top(domain.ratings(spark, d), "user_id", [F.desc("ts"), F.asc("item_id")], 120).drop("rank")
 
 
 @query(f"WITH {RATINGS} SELECT user_id FROM ratings GROUP BY user_id HAVING count(*) >= 12 ORDER BY user_id LIMIT 160")
@@ -140,11 +141,13 @@ def popular_route(spark, d):
     return recall.popular_route(quality, 200).select("item_id", six(F.col("score"), "score"))
 
 
-@query(f"""WITH {RATINGS}, {SPLIT}, {QUALITY}, {ITEMS}, means AS (SELECT user_id, round(avg(release_year), 0) AS y FROM split JOIN items USING (item_id) WHERE split = 'train' AND rating >= 4 AND user_id % 100 = 0 GROUP BY user_id)
-  SELECT user_id, item_id, round(0.7 * exp(-abs(release_year - y) / 18) + 0.3 * quality, 6) AS value FROM means, items JOIN quality USING (item_id)""")
+@query(f"""WITH {RATINGS}, {SPLIT}, {QUALITY}, {ITEMS}, means AS (SELECT user_id, round(avg(release_year), 0) AS y FROM split JOIN items USING (item_id) WHERE split = 'train' AND rating >= 4 GROUP BY user_id),
+  v AS (SELECT y, item_id, round(0.7 * exp(-abs(release_year - y) / 18) + 0.3 * quality, 8) AS value FROM (SELECT DISTINCT y FROM means), items JOIN quality USING (item_id) QUALIFY row_number() OVER (PARTITION BY y ORDER BY value DESC, item_id) <= 50)
+  SELECT user_id, item_id, round(value, 6) AS value FROM means JOIN v USING (y)""")
 def year_route(spark, d):
     train = _split(spark, d).filter("split = 'train'")
-    return recall.year_values(train.filter("user_id % 100 = 0"), domain.items(spark, d), ev.quality_scores(train)).select("user_id", "item_id", six(F.col("value"), "value"))
+    found = recall.year_values(train, domain.items(spark, d), ev.quality_scores(train), 50)
+    return found.select("user_id", "item_id", six(F.round("value", 8), "value"))
 
 
 @query(f"""WITH {RATINGS}, {SPLIT}, {ROUTES}, n AS (SELECT source, item_id, CASE WHEN max(score) OVER w <= min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS v FROM routes WINDOW w AS (PARTITION BY source)),
@@ -275,7 +278,7 @@ def inline_values(spark, d):
     return files.inline_ratings(spark, [(5, 4.5), (9, 3.0)]).select(F.lit(1).alias("user_id"), "item_id", "rating")
 
 
-@query(f"""WITH {TAGS}, c AS (SELECT item_id, 'tag:' || tag AS feature, count(*) AS value FROM tags GROUP BY ALL), q AS (SELECT feature, sum(value) AS v FROM c WHERE item_id % 100 = 0 GROUP BY feature) SELECT feature, CAST(v * 2.5 AS DOUBLE) AS value FROM q""")
+@query(f"""WITH {TAGS}, c AS (SELECT item_id, 'tag:' || tag AS feature, count(*) AS value FROM tags GROUP BY ALL), q AS (SELECT feature, sum(value) AS v FROM c GROUP BY feature) SELECT feature, CAST(v * 2.5 AS DOUBLE) AS value FROM q""")
 def vector_sums(spark, d):
-    rows = domain.tags(spark, d).filter("item_id % 100 = 0").groupBy(F.concat(F.lit("tag:"), F.col("tag")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    rows = domain.tags(spark, d).groupBy(F.concat(F.lit("tag:"), F.col("tag")).alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     return vectors.add_vectors((rows, 0.5), (rows, 2.0)).select("feature", six(F.col("value"), "value"))

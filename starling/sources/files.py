@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
+import zlib
+from collections import OrderedDict
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -11,6 +15,14 @@ MOVIES = "movieId long, title string, genres string"
 RATINGS = "userId long, movieId long, rating double, timestamp long"
 TAGS = "userId long, movieId long, tag string, timestamp long"
 EVENTS = "session_id string, event_type string, timestamp double, kind string, query string, movie_id long, source string"
+DECISION = "source string, target string, decision string, ts double"
+DECISIONS = ["accept", "reject", "ignore"]
+#: The columns of the profiles' CSV, in order.
+PROFILE_COLUMNS = [
+    "movieId", "title", "genres", "avg_rating", "bayesian_rating", "preference_adjusted_rating", "preference_adjusted_bayesian_rating", "preference_adjustment", "rating_count", "recent_rating_count",
+    "tag_count", "tag_evidence", "rating_score", "preference_adjusted_rating_score", "popularity_score", "tag_score", "freshness_score", "comprehensive_score",
+    "preference_adjusted_comprehensive_score", "tags",
+]
 EVENT_TYPES = ["search", "similar", "view", "like", "dislike", "reset"]
 
 
@@ -65,9 +77,118 @@ def append_events(events: DataFrame, path: str) -> None:
     events.select(*[f.name for f in T.StructType.fromDDL(EVENTS)]).write.mode("append").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and a maker of its paths."""
+    jvm = spark.sparkContext._jvm
+    made = jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file on any file system; readers see it whole or not at all."""
+    files, made = _files(spark, path)
+    folder, _, name = path.rpartition("/")
+    draft = made(f"{folder}/.{name}.{uuid.uuid4().hex}")  # names with a dot are not read as data
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(made(path), False)
+    files.rename(draft, made(path))
+
+
+class EventLog:
+    """Session events as JSON lines in a folder, one file an event, dealt to parts by session.
+
+    A session's events since its last reset, the newest `most` of them, are kept in memory for the `sessions` asked for last; what is
+    not there is read from the session's part, so events outlive the process and no request scans them all.
+    """
+
+    PARTS = 64
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 1000, sessions: int = 10_000):
+        self.spark, self.folder, self.most, self.sessions = spark, folder, most, sessions
+        self.known: OrderedDict[str, list[dict]] = OrderedDict()
+
+    def _part(self, session_id: str) -> str:
+        return f"{self.folder}/part={zlib.crc32(session_id.encode()) % self.PARTS}"
+
+    def append(self, event: dict) -> list[dict]:
+        """Writes an event, its texts cut and a missing time filled in; returns its session's events since the last reset."""
+        row = {name: event.get(name) for name in T.StructType.fromDDL(EVENTS).names}
+        row |= {"session_id": row["session_id"][:120], "query": row["query"] and row["query"][:160], "timestamp": float(time.time() if row["timestamp"] is None else row["timestamp"])}
+        own = self.of(row["session_id"])
+        write_text(self.spark, f"{self._part(row['session_id'])}/{time.time_ns():020d}-{uuid.uuid4().hex}.json", json.dumps(row) + "\n")
+        own[:] = [] if row["event_type"] == "reset" else [*own, row][-self.most :]
+        return own
+
+    def of(self, session_id: str) -> list[dict]:
+        """A session's events since its last reset, in order of arrival."""
+        session_id = session_id[:120]
+        if session_id not in self.known:
+            self.known[session_id] = self._read(session_id)
+        self.known.move_to_end(session_id)
+        if len(self.known) > self.sessions:
+            self.known.popitem(last=False)
+        return self.known[session_id]
+
+    def _read(self, session_id: str) -> list[dict]:
+        path = self._part(session_id)
+        files, made = _files(self.spark, path)
+        if not files.exists(made(path)):
+            return []
+        rows = read_events(self.spark, path).filter(F.col("session_id") == session_id).withColumn("file", F.input_file_name())
+        last = rows.agg(F.max(F.when(F.col("event_type") == "reset", F.col("file"))).alias("last"))
+        rows = rows.crossJoin(F.broadcast(last)).filter(F.col("last").isNull() | (F.col("file") > F.col("last")))
+        found = rows.orderBy(F.desc("file")).limit(self.most).drop("last").collect()  # a session's newest events
+        return [{k: v for k, v in r.asDict().items() if k != "file"} for r in reversed(found)]
+
+
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """Alias decisions (source, target, decision, ts); see operators.aliases.latest_decisions."""
-    return spark.read.schema("source string, target string, decision string, ts double").json(path).filter(F.col("decision").isin("accept", "reject", "ignore"))
+    return spark.read.schema(DECISION).json(path).filter(F.col("decision").isin(DECISIONS))
+
+
+def write_decision(spark: SparkSession, path: str, source: str, target: str, decision: str) -> None:
+    """Appends a decision on an alias pair; of several the last counts."""
+    if decision not in DECISIONS:
+        raise ValueError(f"unknown decision: {decision}")
+    spark.createDataFrame([(source.strip().lower(), target.strip().lower(), decision, time.time())], DECISION).coalesce(1).write.mode("append").json(path)
+
+
+def table_columns(spark: SparkSession, path: str) -> list[str]:
+    """Columns of a Parquet table; none if there is no table."""
+    files, made = _files(spark, path)
+    return spark.read.parquet(path).columns if files.exists(made(f"{path}/_SUCCESS")) else []
+
+
+def stored(spark: SparkSession, path: str, columns: list[str], build) -> DataFrame:
+    """The stored table's columns; if it is missing, or lacks one of them, build() makes it first."""
+    if not set(columns) <= set(table_columns(spark, path)):
+        publish(build(), path)
+    return spark.read.parquet(path).select(*columns)
+
+
+def insert_rows(df: DataFrame, path: str, schema: str) -> DataFrame:
+    """Appends df, registered as a view, to a Parquet table under an explicit schema, column by column with casts."""
+    fields, view = T.StructType.fromDDL(schema).fields, f"rows_{uuid.uuid4().hex}"
+    df.createOrReplaceTempView(view)
+    try:
+        cast = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in fields)
+        df.sparkSession.sql(f"SELECT {cast} FROM {view}").write.mode("append").parquet(path)
+    finally:
+        df.sparkSession.catalog.dropTempView(view)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def write_statistics(ratings: DataFrame, scores: DataFrame, folder: str) -> None:
+    """Statistics of items and users, norms and scores as tables in a folder."""
+    from ..operators import scoring
+
+    users = scoring.user_stats(ratings)
+    publish(scoring.item_stats(ratings), f"{folder}/item_stats")
+    publish(users.drop("rating_norm"), f"{folder}/user_stats")
+    publish(users.select("user_id", "rating_norm"), f"{folder}/user_norms")
+    publish(scores, f"{folder}/scores")
 
 
 def signature(df: DataFrame, *more) -> str:
@@ -102,15 +223,35 @@ def read_artifact(spark: SparkSession, folder: str, features: list[str]) -> tupl
     return filled, json.loads(text)
 
 
+def write_artifact(weights: dict[str, tuple[float, float, float]], summary: dict, folder: str, spark: SparkSession) -> None:
+    """What read_artifact() reads: feature -> (weight, mean, std), and the summary."""
+    lines = ["feature,weight,mean,std"] + [f"{f},{w!r},{m!r},{s!r}" for f, (w, m, s) in weights.items()]
+    write_text(spark, f"{folder}/feature_weights.csv", "\n".join(lines) + "\n")
+    write_text(spark, f"{folder}/summary.json", json.dumps(summary, sort_keys=True, default=str))
+
+
 def publish(df: DataFrame, path: str) -> None:
-    """Replaces a Parquet table; Spark's commit protocol shows readers whole files only."""
-    df.write.mode("overwrite").parquet(path)
+    """Replaces a Parquet table: the new one is written beside it and takes its name when it is whole, so a failed write leaves the old one."""
+    draft, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("draft", "old"))
+    df.write.parquet(draft)
+    files, made = _files(df.sparkSession, path)
+    had = files.exists(made(path)) and files.rename(made(path), made(old))
+    if not files.rename(made(draft), made(path)):
+        raise OSError(f"{draft} could not take the name {path}")
+    if had:
+        files.delete(made(old), True)
 
 
 def write_profiles_csv(profiles: DataFrame, path: str) -> None:
-    """Profiles as CSV with arrays joined by | and nested tags as JSON."""
-    flat = [F.array_join(f.name, "|").alias(f.name) if f.dataType == T.ArrayType(T.StringType()) else F.to_json(f.name).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.StructType)) else F.col(f.name) for f in profiles.schema]
-    profiles.select(*flat).write.mode("overwrite").option("header", True).csv(path)
+    """Profiles as CSV: PROFILE_COLUMNS, arrays joined by |, with a byte-order mark; what profiles lack is 0, or empty for texts."""
+    def column(name: str):
+        own = "item_id" if name == "movieId" else name
+        if own not in profiles.columns:
+            return F.col("comprehensive_score") if name == "preference_adjusted_comprehensive_score" else F.lit("" if name in ("title", "genres", "tags") else 0.0)
+        return F.array_join(own, "|") if isinstance(profiles.schema[own].dataType, T.ArrayType) else F.col(own)
+
+    named = ["\ufeff" + PROFILE_COLUMNS[0], *PROFILE_COLUMNS[1:]]  # the mark is the header's first character
+    profiles.select(*[column(c).alias(n) for c, n in zip(PROFILE_COLUMNS, named)]).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_rows_csv(tables: list[DataFrame], path: str) -> None:

@@ -20,11 +20,11 @@ def test_names_match():
 def test_query_equals_its_oracle(spark, name):
     got = catalog.QUERIES[name](spark, DATA)
     if name not in catalog.ORACLES:
-        assert got.count() >= 0
+        assert got.limit(1).count() == 1
         return
     db = duckdb.connect()
     db.execute("SET TimeZone = 'UTC'")
-    for t in ("lineitem", "orders", "part", "events", "embeddings"):
+    for t in ("lineitem", "orders", "part", "events", "embeddings", "customer", "nation", "region"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     want = db.execute(catalog.ORACLES[name]).df()
     columns = sorted(want.columns)

@@ -141,3 +141,55 @@ def test_aliases(spark):
     decided = spark.createDataFrame([(got[0].source, got[0].target, "reject", 1.0), (got[0].source, got[0].target, "ignore", 2.0)], "source string, target string, decision string, ts double")
     assert aliases.latest_decisions(decided).first().decision == "ignore"
     assert aliases.alias_report(tags, decided).count() == len(got) - 1
+
+
+def test_a_pool_in_blocks_gives_the_same_items(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(25) for i in range(60) if rng.random() < 0.4]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, rating double")
+    model = factors.fit(ratings, factors.Config(factors=4, iterations=4))
+    whole = sorted(map(tuple, model.recommend(ratings, ratings, ratings, 7).collect()))
+    for name, size in (("MOST_CANDIDATES", 10), ("ITEMS_IN_BLOCK", 9), ("USERS_IN_BLOCK", 4), ("USERS_AT_ONCE", 3)):
+        monkeypatch.setattr(factors, name, size)
+    assert sorted(map(tuple, model.recommend(ratings, ratings, ratings, 7).collect())) == whole and len(whole) == 25 * 7
+    near = factors.centroids(ratings, model.items)
+    assert model.near_centroids(near, ratings, ratings, 5).count() == 5 * near.count()
+
+
+def test_history_falls(spark):
+    rng = random.Random(2)
+    rows = [(u, i, 5.0 if (u + i) % 2 == 0 else 1.0) for u in range(20) for i in range(15) if rng.random() < 0.6]
+    found = factors.training_history(spark.createDataFrame(rows, "user_id long, item_id long, rating double"), factors.Config(factors=4, iterations=3))
+    assert [r["iteration"] for r in found] == [1, 2, 3] and found[0]["rmse"] >= found[-1]["rmse"] - 1e-6
+
+
+def test_split_top_equals_top(spark):
+    from starling.functions.numeric import top, top_split
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), "id", F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"))
+    order = [F.desc("v"), F.asc("id")]
+    assert sorted(map(tuple, top(rows, "g", order, 40).collect())) == sorted(map(tuple, top_split(rows, "g", order, 40, "id").collect()))
+
+
+def test_tag_neighbours_have_no_cap_on_tags(spark):
+    """5,000 tags in pairs that always come together."""
+    rows = spark.range(15000).select(F.col("id").alias("item_id"), F.explode(F.array(*[F.concat(F.lit(side), (F.col("id") % 2500).cast("string")) for side in "ab"])).alias("tag"), F.lit(1.0).alias("weight"))
+    got = V.tag_semantics(rows, dims=8).filter("substring(tag, 2, 9) = substring(neighbour, 2, 9)").count()
+    assert got == 5000
+
+
+def test_year_values_keep_the_best_of_each_year(spark):
+    items = spark.createDataFrame([(i, 1950 + i % 40) for i in range(200)], "item_id long, release_year int")
+    quality = spark.createDataFrame([(i, (i * 37 % 100) / 100) for i in range(200)], "item_id long, quality double")
+    profile = spark.createDataFrame([(u, u * 7, 5.0) for u in range(20)], "user_id long, item_id long, rating double")
+    best = lambda df: {(r.user_id, r.item_id) for r in df.withColumn("n", F.row_number().over(R.Window.partitionBy("user_id").orderBy(F.desc(F.round("value", 8)), "item_id"))).filter("n <= 9").collect()}
+    assert best(R.year_values(profile, items, quality)) == best(R.year_values(profile, items, quality, 9))
+
+
+def test_neural_takes_factors(spark):
+    rows = matrix(spark)
+    ratings = spark.createDataFrame([(u, i, 5.0 if i < 4 else 1.0) for u in range(8) for i in range(16)], "user_id long, item_id long, rating double")
+    model = factors.fit(ratings, factors.Config(factors=3, iterations=3))
+    ranker = K.fit_neural(rows, hidden=6, iterations=20, model=model)
+    means = {r.label: r.m for r in ranker.score(rows).groupBy("label").agg(F.avg("ranker_score").alias("m")).collect()}
+    assert means[1] > means[0] and ranker.pipeline.stages[-1].getLayers()[0] == 25 + 9
