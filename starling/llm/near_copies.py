@@ -45,31 +45,32 @@ def fingerprint(words: list[bytes]) -> int:
 
 
 class _WordHashes(dict):
-    """64-bit hashes of the words met so far, forgotten when there are too many."""
+    """64-bit hashes of the words met so far, as bytes, forgotten when there are too many."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        self[word] = found = xxhash.xxh3_64_digest(word)
         return found
 
 
 _hashes = _WordHashes()
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of the shingles in order, repeats included; fewer words than a shingle are the one shingle, none have none."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    own = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    count = max(1, len(words) - shingle + 1)
-    h = np.full(count, min(shingle, len(words)), dtype=np.uint64)
-    for k in range(min(shingle, len(words))):
-        h = (h ^ own[k : k + count]) * np.uint64(MULTIPLIERS[0])
-        h ^= h >> np.uint64(29)
-    h *= np.uint64(MULTIPLIERS[1])
-    return h ^ (h >> np.uint64(32))
+    own, size = np.frombuffer(b"".join(map(_hashes.__getitem__, words)), dtype="<u8"), min(SHINGLE, len(words))
+    count = len(words) - size + 1
+    h = own[:count] * MULTIPLIERS[0]
+    for k in range(1, size):
+        h += own[k : k + count] * MULTIPLIERS[k]
+    h ^= h >> np.uint64(32)
+    h *= MULTIPLIERS[1]
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -77,9 +78,9 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(shingle_hashes(words))
 
 
-def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> frozenset:
+def shingle_set(words: list[bytes]) -> frozenset:
     """The distinct shingles themselves."""
-    return frozenset(zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else frozenset([tuple(words)] if words else [])
+    return frozenset(zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)] if words else [])
 
 
 def close_sets(p: frozenset, q: frozenset) -> bool:
