@@ -13,6 +13,7 @@ from .functions.numeric import min_max, top
 from .operators import candidates, collaborative as cf, evaluation as ev, factors, recall, rerank, selection, tuning
 from .pipelines import Dataset
 from .sources import files
+from .sources.steps import written
 
 # The grids, and how many users each stage of a search evaluates.
 MF_GRID = [{"factors": f, "iterations": n, "reg": 0.04 if n <= 20 else 0.05} for f in (32, 48, 64, 96) for n in (15, 20, 30)]
@@ -66,13 +67,13 @@ class Split:
 
     def __init__(self, data: Dataset, config: ev.Config):
         self.config, self.items = config, data.items
-        rows = ev.time_split(last_ratings(data), config.test_ratio, config.min_ratings).persist()
+        rows = written(ev.time_split(last_ratings(data), config.test_ratio, config.min_ratings), "split")
         self.train, self.test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
-        self.users = ev.eligible_users(self.train, config).persist()
+        self.users = written(ev.eligible_users(self.train, config), "users")
         self.history = self.train.join(F.broadcast(self.users), "user_id", "left_semi")  # at most max_users
-        self.relevant = self.test.filter(F.col("rating") >= config.relevant).join(F.broadcast(self.users), "user_id", "left_semi").persist()
-        self.quality = ev.quality_scores(self.train).persist()
-        self.pool = ev.candidate_pool(self.train, config.pool).persist()
+        self.relevant = self.test.filter(F.col("rating") >= config.relevant).join(F.broadcast(self.users), "user_id", "left_semi")
+        self.quality = written(ev.quality_scores(self.train), "quality")
+        self.pool = written(ev.candidate_pool(self.train, config.pool), "pool")
         self.catalogue = self.quality.count()
 
     def metrics(self, ranked: DataFrame, algorithm: str) -> dict:
@@ -84,7 +85,7 @@ class Split:
         near = cf.user_neighbors(self.train, self.users).select(F.col("user_id").alias("session_id"), F.col("neighbor_id").alias("user_id"), "similarity")
         session = self.history.select(F.col("user_id").alias("session_id"), "item_id", "rating")
         found = cf.score_candidates(near, self.train, session, cf.EVALUATOR).withColumnRenamed("session_id", "user_id")
-        return found.join(F.broadcast(self.pool), "item_id", "left_semi").persist()
+        return written(found.join(F.broadcast(self.pool), "item_id", "left_semi"), "shared")
 
     def by_model(self, model: factors.Model) -> dict:
         found = self.metrics(model.recommend(self.users, self.pool, self.history, self.config.k), "als_biased")
@@ -96,7 +97,8 @@ class Split:
         user = Window.partitionBy("user_id")
         rows = model.predict(pairs).join(self.shared.select("user_id", "item_id", "score"), ["user_id", "item_id"], "left").join(self.quality, "item_id", "left")
         scaled = F.when(F.col("score").isNull(), 0.0).otherwise(min_max(F.col("score"), user))
-        return rows.select("user_id", "item_id", ((F.col("prediction") - 1) / 4).alias("mf"), scaled.alias("cf"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+        rows = rows.select("user_id", "item_id", ((F.col("prediction") - 1) / 4).alias("mf"), scaled.alias("cf"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+        return written(rows, "hybrid-parts")
 
     def by_weights(self, parts: DataFrame, mf: float, cf_: float, quality: float) -> dict:
         found = tuning.evaluate_weights(parts, self.relevant, {"mf": mf, "cf": cf_, "quality": quality}, self.config.k, self.catalogue)
@@ -142,7 +144,7 @@ def large_search(data: Dataset, folder: str, plan: SearchPlan = SearchPlan(), mf
 
     def weighed(t: dict) -> dict:
         if not parts:
-            parts.append(on(plan.hybrid).hybrid_parts(factors.fit(on(plan.hybrid).train)).persist())
+            parts.append(on(plan.hybrid).hybrid_parts(factors.fit(on(plan.hybrid).train)))
         return on(plan.hybrid).by_weights(parts[0], *t["weights"])
 
     trials = [{"trial_id": f"hybrid_{w[0]}_{w[1]}_{w[2]}_{plan.hybrid}", **stage("hybrid_search", plan.hybrid), "weights": list(w)} for w in (hybrid_weights() if weights is None else weights)]
@@ -158,10 +160,10 @@ def large_search(data: Dataset, folder: str, plan: SearchPlan = SearchPlan(), mf
 def objective(data: Dataset, mode: str, config: ev.Config, least_recall: float = 0.55) -> Callable[[dict], dict]:
     """Evaluates a trial's settings for one of the search modes: metrics with `objective`, which is to be greatest."""
     if mode == "recall":
-        rows = ev.three_way_split(last_ratings(data), config.ranker_ratio, config.test_ratio, config.min_ratings).persist()
+        rows = written(ev.three_way_split(last_ratings(data), config.ranker_ratio, config.test_ratio, config.min_ratings), "split")
         train = rows.filter("split = 'train'")
-        users, quality = ev.eligible_users(train, config).persist(), ev.quality_scores(train).persist()
-        relevant = rows.filter(f"split = 'ranker' and rating >= {config.relevant}").join(F.broadcast(users), "user_id", "left_semi").select("item_id").distinct().persist()
+        users, quality = written(ev.eligible_users(train, config), "users"), written(ev.quality_scores(train), "quality")
+        relevant = written(rows.filter(f"split = 'ranker' and rating >= {config.relevant}").join(F.broadcast(users), "user_id", "left_semi").select("item_id").distinct(), "relevant")
         found, wanted = candidates.recalled(train, data.items, users, quality, config.pool, config.k), relevant.count()
 
         def recall_trial(t: dict) -> dict:
@@ -177,7 +179,7 @@ def objective(data: Dataset, mode: str, config: ev.Config, least_recall: float =
     scored = lambda m: m | {"objective": tuning.ranking_objective(m)}
     if mode == "mf":
         return lambda t: scored(split.by_model(factors.fit(split.train, factors.Config(t["factors"], t["iterations"], t["reg"]))))
-    parts = split.hybrid_parts(factors.fit(split.train)).persist()
+    parts = split.hybrid_parts(factors.fit(split.train))
 
     def hybrid_trial(t: dict) -> dict:
         if t["mf"] + t["cf"] >= 0.98:
@@ -229,23 +231,24 @@ def learn(data: Dataset, folder: str | None = None, config: ev.Config | None = N
     metrics, tables of the tuning, route diagnostics, factor model, linear weights and a summary are written there.
     """
     config = config or ev.Config()
-    rows = ev.three_way_split(last_ratings(data), config.ranker_ratio, config.test_ratio, config.min_ratings).persist()
+    rows = written(ev.three_way_split(last_ratings(data), config.ranker_ratio, config.test_ratio, config.min_ratings), "split")
     train = rows.filter("split = 'train'")
-    users, quality = ev.eligible_users(train, config).persist(), ev.quality_scores(train).persist()
+    users, quality = written(ev.eligible_users(train, config), "users"), written(ev.quality_scores(train), "quality")
     own = lambda part: rows.filter(f"split = '{part}'").join(F.broadcast(users), "user_id", "left_semi")  # noqa: E731  at most max_users
-    liked = lambda part: own(part).filter(F.col("rating") >= config.relevant).select("user_id", "item_id").persist()
+    liked = lambda part: own(part).filter(F.col("rating") >= config.relevant).select("user_id", "item_id")
     middle, relevant, catalogue = liked("ranker"), liked("test"), quality.count()
     found = candidates.recalled(train, data.items, users, quality, config.pool, config.k, learning.factors)
     pool, diagnostics = recall.build_pool(found.routes, middle.select("item_id").distinct(), quality, config.pool, learning.rrf_k, priors=learning.own_priors())
-    pool = pool.select("item_id").union(middle.select("item_id")).distinct()  # what is trained on may be asked of the routes' pool
+    pool = written(pool.select("item_id").union(middle.select("item_id")).distinct(), "pool")  # what is trained on may be asked of the routes' pool
     history = train.select("user_id", "item_id")
     pairs = users.crossJoin(F.broadcast(pool)).join(history, ["user_id", "item_id"], "left_anti")  # both bounded by the settings
     pairs = pairs.join(rows.filter("split <> 'train'").select("user_id", "item_id", "split", "rating"), ["user_id", "item_id"], "left")
-    pairs = pairs.withColumn("label", F.when((F.col("split") == "ranker") & (F.col("rating") >= config.relevant), 1).otherwise(0)).persist()
+    pairs = written(pairs.withColumn("label", F.when((F.col("split") == "ranker") & (F.col("rating") >= config.relevant), 1).otherwise(0)), "pairs")
     matrix = rerank.feature_matrix(pairs, train, data.items, quality, found.extras(pairs, train))
-    matrix = matrix.withColumn("hybrid", rerank.weighted(rerank.HYBRID)).persist()
+    matrix = written(matrix.withColumn("hybrid", rerank.weighted(rerank.HYBRID)), "features")
     fitting = matrix.filter("split is null or split = 'ranker'")  # test rows are never trained on
-    sampled = rerank.sample_negatives(fitting, learning.per_positive, learning.negatives).persist()
+    sampled = rerank.sample_negatives(fitting, learning.per_positive, learning.negatives)
+    sampled = written(sampled, "sampled")
     later = matrix.filter("split is null or split = 'test'")
     user = Window.partitionBy("user_id")
     scaled = lambda name: min_max(F.col(name), user)
@@ -268,8 +271,8 @@ def learn(data: Dataset, folder: str | None = None, config: ev.Config | None = N
     else:
         place = lambda c: rerank.blend(F.col(c), F.col(c), 1.0, mode="rank")
         tuned = own_order.select("user_id", "item_id", place("ranker_score").alias("learned"), place("hybrid").alias("base"))
-    weight, blends = tuning.tune_blend(tuned.persist(), middle, config.k, gain=learning.least_gain)
-    stacked = linear.score(later).withColumn("stacked", rerank.blend(F.col("ranker_score"), F.col("hybrid"), weight, mode=learning.blend)).persist()
+    weight, blends = tuning.tune_blend(written(tuned, "blends"), middle, config.k, gain=learning.least_gain)
+    stacked = written(linear.score(later).withColumn("stacked", rerank.blend(F.col("ranker_score"), F.col("hybrid"), weight, mode=learning.blend)), "stacked")
     measured(stacked, F.col("stacked"), "stacked_linear")
     alpha, residuals = 0.0, None
     if learning.pairwise:
@@ -277,8 +280,8 @@ def learn(data: Dataset, folder: str | None = None, config: ev.Config | None = N
     if learning.residual:
         base = lambda df: linear.score(df).withColumnRenamed("ranker_score", "base")
         corrector = rerank.fit_residual(base(sampled), F.col("base"))
-        gaps = corrector.score(base(fitting)).select("user_id", "item_id", "base", F.col("ranker_score").alias("residual")).persist()
-        alpha, residuals = tuning.tune_residual(gaps, middle, config.k)
+        gaps = corrector.score(base(fitting)).select("user_id", "item_id", "base", F.col("ranker_score").alias("residual"))
+        alpha, residuals = tuning.tune_residual(written(gaps, "gaps"), middle, config.k)
         measured(corrector.score(base(later)), rerank.add_residual(F.col("base"), F.col("ranker_score"), alpha), "residual_linear")
     if learning.mmr:
         near = stacked.select("user_id", "item_id", F.col("stacked").alias("relevance")).join(found.model.items.select("item_id", F.col("q").alias("vector")), "item_id")

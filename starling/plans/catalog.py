@@ -226,10 +226,9 @@ def tag_semantics(spark, d):
 
 @query()
 def alias_report(spark, d):
-    """Aliases among the names of parts, half of them written otherwise."""
-    items = domain.items(spark, d)
-    written = F.when(F.col("item_id") % 2 == 0, F.concat(F.regexp_replace("title", " ", "-"), F.lit("s"))).otherwise(F.col("title"))
-    return aliases.alias_report(items.select("item_id", written.alias("tag")))
+    """Aliases among the names of parts, each item tagged with its name written in two ways."""
+    otherwise = F.concat(F.regexp_replace("title", " ", "-"), F.lit("s"))
+    return aliases.alias_report(domain.items(spark, d).select("item_id", F.explode(F.array("title", otherwise)).alias("tag")))
 
 
 # Collaborative filtering.
