@@ -29,8 +29,8 @@ MOST_COMMON = 200_000
 COMMON = 8
 #: Texts to verify up to which their hashes, 8 bytes each, are broadcast, so that other texts are not shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Texts that a task remembers to have seen.
-REMEMBERED = 1_000_000
+#: Texts that a task remembers to have seen, words whose hashes it remembers, and texts whose shingles it holds.
+REMEMBERED, KNOWN_WORDS, HELD = 200_000, 50_000, 4
 
 
 def node_of(words: list[bytes]) -> int:
@@ -48,7 +48,7 @@ class _WordHashes(dict):
     """64-bit hashes of the words met so far, as bytes, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = found = xxhash.xxh3_64_digest(word)
         return found
@@ -169,7 +169,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = lru_cache(16)(lambda t: shingle_set(words_of(t)))
+        sets = lru_cache(HELD)(lambda t: shingle_set(words_of(t)))
         for batch in batches:
             close = [close_sets(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
