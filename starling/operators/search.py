@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import bigrams, canonical_tag, gestalt, jaccard, normalise, same_series, tokens, canonical_title
@@ -55,8 +57,12 @@ def fuzzy_keys(keys: DataFrame, query: str, least: float = FUZZY_KEY, best_only:
     if len(q) >= 3:
         grams = [F.lit(q[i : i + 2]) for i in range(len(q) - 1)]
         keys = keys.filter(F.arrays_overlap(bigrams(F.col("key")), F.array(*grams)))
-    ratio = gestalt(F.lit(q), F.col("key"))
-    scored = keys.withColumn("ratio", ratio).withColumn("similarity", (jaccard(bigrams(F.lit(q)), bigrams(F.col("key"))) + F.col("ratio")) / 2)
+    # The ratio matches no character twice, so the characters in common bound it; only keys that may reach `least` are walked.
+    counts = [F.least(F.lit(n), F.length("key") - F.length(F.replace("key", F.lit(c)))) for c, n in Counter(q).items()]
+    most = 2 * sum(counts, F.lit(0)) / (F.length("key") + len(q))
+    shared = jaccard(bigrams(F.lit(q)), bigrams(F.col("key")))
+    keys = keys.withColumns({"shared": shared, "most": most}).filter((F.col("most") >= least - 1e-9) | ((F.col("shared") + F.col("most")) / 2 >= least - 1e-9))
+    scored = keys.withColumn("ratio", gestalt(F.lit(q), F.col("key"))).withColumn("similarity", (F.col("shared") + F.col("ratio")) / 2)
     kept = scored.filter((F.col("similarity") >= least) | (F.col("ratio") >= least)).select("field", "key", F.round("similarity", 6).alias("similarity"))
     if not best_only:
         return kept

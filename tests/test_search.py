@@ -39,3 +39,31 @@ def test_genres_and_tags(items):
 def test_similar(items):
     got = S.similar_items(items, 3, 5).collect()
     assert [r.item_id for r in got] == [4, 2] and got[0].is_series and not got[1].is_series
+
+
+def slow_fuzzy(keys, q, least):
+    """Every key's mean of bigram Jaccard and ratio, by the standard library."""
+    from difflib import SequenceMatcher
+
+    grams = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    out = {}
+    for k in keys:
+        ratio = SequenceMatcher(None, q, k).ratio()
+        a, b = grams(q), grams(k)
+        mean = ((len(a & b) / len(a | b) if a | b else 0.0) + ratio) / 2
+        if (len(q) < 3 or a & b) and (mean >= least or ratio >= least):
+            out[k] = round(mean, 6)
+    return out
+
+
+def test_fuzzy_keys_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcde ", k=rng.randint(3, 14))).strip() or "ab"
+    keys = sorted({word() for _ in range(250)})
+    frame = spark.createDataFrame([("title", k) for k in keys], "field string, key string").persist()
+    for q in [word() for _ in range(6)] + keys[:3]:
+        got = {r.key: r.similarity for r in S.fuzzy_keys(frame, q, 0.6).collect()}
+        want = slow_fuzzy(keys, q, 0.6)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got), q
