@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -31,12 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is there is deleted when the enclosing steps() ends, else with the application."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _scopes[-1].append(path)
+    _scopes()[-1].append(path)
     return path
 
 
-#: Paths to delete: those of the application, then those of each open steps().
-_scopes: list[list[str]] = [[]]
+#: Paths to delete with the application, and each thread's open steps().
+_whole: list[str] = []
+_own = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_own, "scopes"):
+        _own.scopes = [_whole]
+    return _own.scopes
 
 
 def _delete(paths: list[str]) -> None:
@@ -50,7 +58,7 @@ def _delete(paths: list[str]) -> None:
 @atexit.register
 def _at_end() -> None:
     try:
-        _delete(_scopes[0])
+        _delete(_whole)
     except Exception:  # the JVM has gone, and its folder is the cluster's to clean
         pass
 
@@ -58,18 +66,18 @@ def _at_end() -> None:
 @contextmanager
 def steps() -> Iterator[None]:
     """What materialise() writes inside is deleted at the end, but for what outlive() names: that is left to the scope around."""
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        _delete(_scopes.pop())
+        _delete(_scopes().pop())
 
 
 def outlive(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """materialise(), for a table that is read after the steps() around."""
-    found = materialise(df, name, rows)
-    if len(_scopes) > 1:
-        _scopes[-2].append(_scopes[-1].pop())
+    found, scopes = materialise(df, name, rows), _scopes()
+    if len(scopes) > 1:
+        scopes[-2].append(scopes[-1].pop())
     return found
 
 
