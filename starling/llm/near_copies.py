@@ -193,12 +193,14 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("joined", F.coalesce(F.col("root_u") == F.col("root_v"), F.lit(False))).drop("root_u", "root_v")
 
 
-def by_prefix(docs: DataFrame, classes: DataFrame, n: int, known: DataFrame) -> DataFrame:
-    """links(u, v) of nodes which, with those that made known(node, root), have the components of all near copies.
+def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) -> DataFrame:
+    """links(u, v) of nodes which, with found(u, v), have the components of all near copies.
 
-    The members of a shingle are held against its least one; then those that are not joined to that, and only they, against
-    all others. A group of near copies so costs its size; no pair is left out but those whose ends are joined already.
+    The members of a shingle are held against its least one; then those that no chain of links joins to that, and only they,
+    against the members of other components. A group of near copies so costs its size; no pair is left out but those whose ends
+    are joined already.
     """
+    known = connected_components(found)
     own = Window.partitionBy("s")
     rows = _prefixes(docs, n).repartition("s").dropDuplicates(["s", "node"])
     rows = rows.withColumns({"members": F.count(F.lit(1)).over(own), "least": F.min(F.struct("node", "n", "pos")).over(own)})
@@ -207,12 +209,15 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, known: DataFrame) ->
     star = others.select(F.col("least.node").alias("u"), F.col("node").alias("v"), _may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")).alias("may"))
     star = materialise(_apart(star.groupBy("u", "v").agg(F.max("may").alias("may")), known), "stars")
     first = _verified(star.filter("may and not joined").select("u", "v"), docs, classes)
-    done = first.union(star.filter("joined").select("u", "v"))
-    rest = others.join(done, (F.col("least.node") == F.col("u")) & (F.col("node") == F.col("v")), "left_anti")
-    mates = others.select("s", F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"))
-    pairs = rest.join(mates, "s").filter((F.col("node") != F.col("mate")) & _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos")))
-    pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    pairs = _apart(pairs, known).filter("not joined").select("u", "v")
+    roots = connected_components(found.union(first))
+    root_of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
+    others = others.withColumn("first", F.col("least.node")).join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
+    others = others.select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root"))
+    rest = others.filter("root <> first_root")
+    mates = others.select(F.col("s").alias("mate_s"), F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"), F.col("root").alias("mate_root"))
+    close = _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos"))
+    pairs = rest.join(mates, (F.col("s") == F.col("mate_s")) & (F.col("root") != F.col("mate_root")) & close)
+    pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v"))
     return first.union(_verified(pairs, docs, classes))
 
 
@@ -229,8 +234,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp")), "classes")
         n = classes.count()
         first = by_simhash(docs, classes)
-        known = connected_components(first)
-        roots = connected_components(first.union(by_prefix(docs, classes, n, known)))
+        roots = connected_components(first.union(by_prefix(docs, classes, n, first)))
         linked = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
         chosen = outlive(linked.select("best.doc_id", "best.h"), "chosen")
     return one_row_each(docs, chosen)
