@@ -1,7 +1,8 @@
 """Near copies by Jaccard similarity of word shingles.
 
-SimHash blocks find the close ones first; a prefix filter finds the rest, as 64 bits tell a similarity of 0.8 only roughly. Every
-link is verified on the shingles themselves, and components are those of all such links."""
+SimHash blocks find the close ones first; a prefix filter finds the rest, as 64 bits tell a similarity of 0.8 only roughly. Pairs
+whose parities of shingles differ too much are left out, which no near copies' do. Every link is verified on the shingles themselves,
+and components are those of all such links."""
 
 from __future__ import annotations
 
@@ -27,6 +28,11 @@ LEAST = (4, 5)
 ORDER_ROWS = 20_000
 MOST_COMMON = 200_000
 COMMON = 8
+#: Longs of the parities of a text's shingles, which bound how many of them two texts do not share.
+PARITIES = 8
+#: Rounds at most in which texts that no link joins yet meet one text each, while half of them are joined by it; more rounds only
+#: leave fewer pairs to the exact join.
+ROUNDS = 4
 #: Texts to verify up to which their hashes, 8 bytes each, are broadcast, so that other texts are not shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Texts that a task remembers to have seen, words whose hashes it remembers, and texts whose shingles it holds.
@@ -78,6 +84,15 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(shingle_hashes(words))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITIES places, whether an odd number of the distinct hashes falls on it, as bits of longs.
+
+    Two sets differ in as many elements as their parities differ in bits, or more.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def shingle_set(words: list[bytes]) -> frozenset:
     """The distinct shingles themselves."""
     return frozenset(zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)] if words else [])
@@ -157,6 +172,17 @@ def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return (b * F.least(n, m) >= a * F.greatest(n, m)) & ((a + b) * shared >= a * (n + m))
 
 
+def _apart_bits(one: str, other: str) -> Column:
+    """Bits in which two parities differ."""
+    return sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(PARITIES)), F.lit(0))
+
+
+def _may_share(n: Column, m: Column, apart: Column) -> Column:
+    """What the differing bits of the parities allow: near copies of n and m shingles differ in (n + m) * (b - a) / (a + b) at most."""
+    a, b = LEAST
+    return (a + b) * apart <= (b - a) * (n + m)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of pairs(u, v) whose shingles are similar enough; classes(node, h) has the hash of a text of each node."""
     pairs = materialise(pairs.distinct(), "pairs")
@@ -186,6 +212,13 @@ def by_simhash(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return _verified(equal.union(close), docs, classes)
 
 
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) that the parities of classes(node, n, odd) allow: (u, v, n_u, n_v, apart)."""
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("apart", _apart_bits("odd_u", "odd_v"))
+    return both.filter(_may_share(F.col("n_u"), F.col("n_v"), F.col("apart"))).select("u", "v", "n_u", "n_v", "apart")
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """pairs with whether known(node, root) has both ends in one component."""
     side = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -193,12 +226,21 @@ def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("joined", F.coalesce(F.col("root_u") == F.col("root_v"), F.lit(False))).drop("root_u", "root_v")
 
 
+def _leaders(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """One pair(u, v) for each node that shares a shingle with the shingle's leader of this turn, of another component: the likeliest."""
+    first = F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "s", F.lit(turn)))
+    led = rows.join(rows.groupBy("s").agg(first.alias("lead")), "s").filter("root <> lead.root")
+    led = led.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))).select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
+    best = F.min_by("v", F.struct(F.col("apart") / (F.col("n_u") + F.col("n_v")), "v"))
+    return _alike(led, classes).groupBy("u").agg(best.alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) -> DataFrame:
     """links(u, v) of nodes which, with found(u, v), have the components of all near copies.
 
-    The members of a shingle are held against its least one; then those that no chain of links joins to that, and only they,
-    against the members of other components. A group of near copies so costs its size; no pair is left out but those whose ends
-    are joined already.
+    The members of a shingle are held against its least one, then those of shingles that still have several components against
+    other members, one each in a round. Only what is left is held against all members of other components. A group of near copies
+    so costs its size; no pair is left out but those whose ends are joined already or whose sizes, places or parities rule it out.
     """
     known = connected_components(found)
     own = Window.partitionBy("s")
@@ -208,17 +250,30 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
     others = rows.filter(F.col("node") != F.col("least.node"))
     star = others.select(F.col("least.node").alias("u"), F.col("node").alias("v"), _may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")).alias("may"))
     star = materialise(_apart(star.groupBy("u", "v").agg(F.max("may").alias("may")), known), "stars")
-    first = _verified(star.filter("may and not joined").select("u", "v"), docs, classes)
-    roots = connected_components(found.union(first))
+    links = _verified(_alike(star.filter("may and not joined").select("u", "v"), classes).select("u", "v"), docs, classes)
+    roots = connected_components(found.union(links))
     root_of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
     others = others.withColumn("first", F.col("least.node")).join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
-    others = others.select("s", "node", "n", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root"))
-    rest = others.filter("root <> first_root")
-    mates = others.select(F.col("s").alias("mate_s"), F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"), F.col("root").alias("mate_root"))
-    close = _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos"))
+    others = materialise(others.select("s", "node", "n", "pos", "first", F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root")), "other-members")
+    open_ = others.filter("root <> first_root").select("s").distinct()
+    others = materialise(others.join(open_, "s", "left_semi").drop("root", "first_root"), "open-members")
+    for turn in range(ROUNDS):
+        rows = others.join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        tried = materialise(_leaders(rows, classes, turn), "leaders")
+        more = _verified(tried, docs, classes)
+        links = links.union(more)
+        roots = connected_components(found.union(links))
+        if 2 * more.count() <= tried.count():
+            break
+    members = others.join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
+    members = members.withColumns({"root": F.coalesce("root", "node"), "first_root": F.coalesce("first_root", "first")})
+    members = members.join(members.filter("root <> first_root").select("s").distinct(), "s", "left_semi").join(classes.select("node", "odd"), "node")
+    rest = members.filter("root <> first_root").drop("first", "first_root")
+    mates = members.select(F.col("s").alias("mate_s"), F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"), F.col("root").alias("mate_root"), F.col("odd").alias("mate_odd"))
+    close = _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos")) & _may_share(F.col("n"), F.col("mate_n"), _apart_bits("odd", "mate_odd"))
     pairs = rest.join(mates, (F.col("s") == F.col("mate_s")) & (F.col("root") != F.col("mate_root")) & close)
     pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v"))
-    return first.union(_verified(pairs, docs, classes))
+    return links.union(_verified(pairs, docs, classes))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -229,9 +284,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     with steps():
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        own = _rows(rows, ["doc_id", "h"], "node long, fp long", lambda: lambda w: (node_of(w), fingerprint(w)))
+        own = _rows(rows, ["doc_id", "h"], "node long, fp long, n long, odd array<long>", lambda: lambda w: (node_of(w), fingerprint(w), len(s := shingles(w)), parities(s)))
         best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")
-        classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp")), "classes")
+        classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
         n = classes.count()
         first = by_simhash(docs, classes)
         roots = connected_components(first.union(by_prefix(docs, classes, n, first)))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from starling.llm import near_copies as N
 
 
@@ -44,3 +46,27 @@ def test_keeps_one_of_each_component_of_five_word_jaccard(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(root)) and 3 < len(set(root)) < len(rows)
     assert [r.text.lower() for r in kept if r.doc_id is None] == ["quite alone"]
     assert N.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_parities_bound_what_two_sets_do_not_share():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 5, 400, 5000):
+        x = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: size // 2], rng.integers(0, 2**64, size // 3, dtype=np.uint64)]))
+        differ = int(np.bitwise_count((N.parities(x) ^ N.parities(y)).view(np.uint64)).sum())
+        assert N.parities(x).shape == (N.PARITIES,) and differ <= len(np.setxor1d(x, y))
+
+
+def test_a_group_of_near_copies_costs_its_size(spark, monkeypatch):
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for k in range(200):  # two of them differ in 0.7 to 0.9 of their shingles
+        t = list(base)
+        for _ in range(2):
+            t[rng.randrange(100)] = f"x{k}"
+        rows.append(" ".join(t))
+    compared, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a: (compared.append(pairs.distinct().count()), verified(pairs, *a))[1])
+    kept = N.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(slow(rows)))
+    assert sum(compared) <= 8 * len(rows), compared
