@@ -193,3 +193,10 @@ def test_neural_takes_factors(spark):
     ranker = K.fit_neural(rows, hidden=6, iterations=20, model=model)
     means = {r.label: r.m for r in ranker.score(rows).groupBy("label").agg(F.avg("ranker_score").alias("m")).collect()}
     assert means[1] > means[0] and ranker.pipeline.stages[-1].getLayers()[0] == 25 + 9
+
+
+def test_als_lets_go_of_each_iterations_shuffles(spark, monkeypatch):
+    made, als = [], factors.ALS
+    monkeypatch.setattr(factors, "ALS", lambda **kw: made.append(als(**kw)) or made[-1])
+    factors.fit(spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(6) for i in range(5)], "user_id long, item_id long, rating double"), factors.Config(factors=2, iterations=3))
+    assert made[0].getCheckpointInterval() == 1 and spark.sparkContext.getCheckpointDir()
