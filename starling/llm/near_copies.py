@@ -1,7 +1,8 @@
 """Near copies by Jaccard similarity of word shingles.
 
-SimHash blocks find the close ones first; a prefix filter finds the rest, as 64 bits tell a similarity of 0.8 only roughly. Pairs
-whose parities of shingles differ too much are left out, which no near copies' do. Every link is verified on the shingles themselves,
+SimHash blocks find the close ones first; a prefix filter finds the rest, as 64 bits tell a similarity of 0.8 only roughly. Long
+texts are dealt into parts, one of which near copies share as near copies; pairs whose parities of shingles differ too much there are left
+out, which no near copies' do. Every link is verified on the shingles themselves,
 and components are those of all such links."""
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ LEAST = (4, 5)
 ORDER_ROWS = 20_000
 MOST_COMMON = 200_000
 COMMON = 8
-#: Longs of the parities of a text's shingles, which bound how many of them two texts do not share.
-PARITIES = 8
+#: A text of 2 * PART shingles or more is dealt into a power of two of parts by its shingles' hashes, of PART to 2 * PART each on average.
+PART = 256
+#: Longs of the parities of a part's shingles, which bound how many of them two texts do not share.
+PARITIES = 16
 #: Rounds at most in which texts that no link joins yet meet one text each, while half of them are joined by it; more rounds only
 #: leave fewer pairs to the exact join.
 ROUNDS = 4
@@ -84,15 +87,48 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(shingle_hashes(words))
 
 
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITIES places, whether an odd number of the distinct hashes falls on it, as bits of longs.
+def parts_of(n: int) -> int:
+    """The parts of a text of n shingles."""
+    return 1 << max(0, (n // PART).bit_length() - 1)
 
-    Two sets differ in as many elements as their parities differ in bits, or more.
+
+def levels(n: int) -> list[int]:
+    """The numbers of parts in which a text of n shingles may meet its near copies: its own, and its half where shorter ones have that."""
+    (a, b), own = LEAST, parts_of(n)
+    return [own, own // 2] if own > 1 and a * n < b * PART * own else [own]
+
+
+def parities(hashes: np.ndarray, parts: int = 1) -> np.ndarray:
+    """For each of 64 * PARITIES places of each part, whether an odd number of the distinct hashes falls on it, as bits of longs.
+
+    Two sets differ in as many elements as their parities differ in bits, or more. Those of half as many parts are the first half
+    of the longs XOR the second.
     """
-    odd = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    places = 64 * PARITIES * parts
+    odd = np.bincount((hashes & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def prefixes(own: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, n, pos, level, part) of the first shingles of each part of a text, by weight, for each of its levels.
+
+    Near copies x and y have a part in which they are near copies too, as what they do not share is the sum of what their parts do
+    not share. There they share LEAST of x's n shingles or more, so some shingle among the first n - ceil(LEAST * n) + 1 of both.
+    """
+    a, b = LEAST
+    found = []
+    for level in levels(len(own)):
+        part = (own // np.uint64(64 * PARITIES) & np.uint64(level - 1)).astype(np.int32)
+        order = np.argsort(part.astype(np.int64) << 40 | weight, kind="stable")  # own is sorted
+        part, n = part[order], np.bincount(part, minlength=level).astype(np.int32)
+        pos = np.arange(len(own), dtype=np.int32) - (np.cumsum(n, dtype=np.int32) - n)[part]
+        n = n[part]
+        first = pos <= n + -a * n // b  # n - ceil(LEAST * n)
+        key = own[order][first] + np.uint64((level - 1) * int(MULTIPLIERS[2]) % 2**64)  # each level has its own keys
+        found.append((key.view(np.int64), n[first], pos[first], np.full(len(key), level, dtype=np.int32), part[first]))
+    return found[0] if len(found) == 1 else tuple(map(np.concatenate, zip(*found)))
+
+
 def shingle_set(words: list[bytes]) -> frozenset:
     """The distinct shingles themselves."""
     return frozenset(zip(*(words[k:] for k in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)] if words else [])
@@ -134,21 +170,23 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return s[order], c[order]
 
 
-def _prefixes(docs: DataFrame, n: int) -> DataFrame:
-    """(s, node, n, pos): each node's first shingles in an order that all share, the rare ones first.
+def packed(n: np.ndarray, pos: np.ndarray, level: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The places of prefixes() as a long each, as they are shuffled; a part has some 2 * PART shingles, far fewer than 2**16."""
+    n, pos, level, part = (x.astype(np.int64) for x in (n, pos, level, part))
+    return n | pos << 16 | np.log2(level).astype(np.int64) << 32 | part << 37
 
-    Near copies x and y share LEAST of x's shingles or more, so some shingle among the first n - ceil(LEAST * n) + 1 of both.
-    """
+
+def _prefixes(docs: DataFrame, n: int) -> DataFrame:
+    """(s, node, at): prefixes() of each node in an order that all share, the rare shingles first, and their packed() places."""
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
-    a, b = LEAST
 
     def maker():
         seen: set[int] = set()  # so that a text that repeats is no hot key
 
         def make(words: list[bytes]):
             node = node_of(words)
-            if node in seen:
-                return node, 0, []
+            if node in seen or not words:
+                return node, [], []
             if len(seen) >= REMEMBERED:
                 seen.clear()
             seen.add(node)
@@ -156,13 +194,19 @@ def _prefixes(docs: DataFrame, n: int) -> DataFrame:
             at = np.searchsorted(known, own)
             at[at == len(known)] = 0
             weight = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
-            first = own[np.lexsort((own, weight))][: len(own) - -(-a * len(own) // b) + 1]
-            return node, len(own), first.view(np.int64)
+            key, *places = prefixes(own, weight)
+            return node, key, packed(*places)
 
         return make
 
-    rows = _rows(docs, [], "node long, n long, s array<long>", maker)
-    return rows.select("node", "n", F.posexplode("s").alias("pos", "s")).select("s", "node", "n", "pos")
+    rows = _rows(docs, [], "node long, s array<long>, at array<long>", maker)
+    return rows.select("node", F.inline(F.arrays_zip("s", "at"))).select("s", "node", "at")
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """rows with the (n, pos, level, part) that packed() made `at` of."""
+    bits = lambda low, n: F.shiftright("at", low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    return rows.withColumns({"n": bits(0, 16), "pos": bits(16, 16), "level": F.pow(F.lit(2), bits(32, 5)).cast("int"), "part": bits(37, 26)}).drop("at")
 
 
 def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -173,10 +217,28 @@ def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
 
 
 def _apart_bits(one: str, other: str) -> Column:
-    """Bits in which two parities differ."""
+    """Bits in which the parities of two parts differ."""
     return sum((F.bit_count(F.col(one)[k].bitwiseXOR(F.col(other)[k])) for k in range(PARITIES)), F.lit(0))
 
 
+def _xor(one: Column, other: Column) -> Column:
+    return F.zip_with(one, other, lambda x, y: x.bitwiseXOR(y))
+
+
+def _all_apart_bits(one: str, other: str) -> Column:
+    """Bits in which the parities of two texts differ, all parts together; null where one has over twice the other's parts, and so over twice its shingles."""
+    x, y = F.col(one), F.col(other)
+    half = lambda c: _xor(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, ((F.size(c) / 2).cast("int")).cast("int") + 1, (F.size(c) / 2).cast("int")))
+    bits = lambda c, d: F.aggregate(_xor(c, d), F.lit(0), lambda s, z: s + F.bit_count(z))
+    return F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) == 2 * F.size(y), bits(half(x), y)).when(2 * F.size(x) == F.size(y), bits(x, half(y)))
+
+
+def _part_parities(odd: Column, level: Column, part: Column) -> Column:
+    """The parities of a part, of those of a text's own parts or of half as many."""
+    of = lambda k: F.slice(odd, PARITIES * k + 1, F.lit(PARITIES))
+    return F.when(F.size(odd) == PARITIES * level, of(part)).otherwise(_xor(of(part), of(part + level)))
+
+
 def _may_share(n: Column, m: Column, apart: Column) -> Column:
     """What the differing bits of the parities allow: near copies of n and m shingles differ in (n + m) * (b - a) / (a + b) at most."""
     a, b = LEAST
@@ -213,12 +275,21 @@ def by_simhash(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) that the parities of classes(node, n, odd) allow: (u, v, n_u, n_v, apart)."""
+    """Those of pairs(u, v) that the parities of classes(node, n, odd) allow, those of all parts: (u, v, n_u, n_v, apart)."""
     side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
-    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("apart", _apart_bits("odd_u", "odd_v"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").withColumn("apart", _all_apart_bits("odd_u", "odd_v"))
     return both.filter(_may_share(F.col("n_u"), F.col("n_v"), F.col("apart"))).select("u", "v", "n_u", "n_v", "apart")
 
 
+def _parts_alike(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of rows(u, v, level, part, n_u, n_v), parts of two texts, that the parts' parities allow: (u, v, apart), bits a shingle."""
+    for x in ("u", "v"):
+        side = classes.select(F.col("node").alias(x), F.col("odd").alias("odd"))
+        rows = rows.join(side, x).withColumn(f"odd_{x}", _part_parities(F.col("odd"), F.col("level"), F.col("part"))).drop("odd")
+    rows = rows.withColumn("apart", _apart_bits("odd_u", "odd_v")).filter(_may_share(F.col("n_u"), F.col("n_v"), F.col("apart")))
+    return rows.select("u", "v", (F.col("apart") / (F.col("n_u") + F.col("n_v"))).alias("apart"))
+
+
 def _apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """pairs with whether known(node, root) has both ends in one component."""
     side = lambda x: known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
@@ -230,9 +301,15 @@ def _leaders(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     """One pair(u, v) for each node that shares a shingle with the shingle's leader of this turn, of another component: the likeliest."""
     first = F.min_by(F.struct("node", "n", "pos", "root"), F.xxhash64("node", "s", F.lit(turn)))
     led = rows.join(rows.groupBy("s").agg(first.alias("lead")), "s").filter("root <> lead.root")
-    led = led.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"))).select(F.col("node").alias("u"), F.col("lead.node").alias("v")).distinct()
-    best = F.min_by("v", F.struct(F.col("apart") / (F.col("n_u") + F.col("n_v")), "v"))
-    return _alike(led, classes).groupBy("u").agg(best.alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    led = led.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    led = led.select(F.col("node").alias("u"), F.col("lead.node").alias("v"), "level", "part", F.col("n").alias("n_u"), F.col("lead.n").alias("n_v")).distinct()
+    best = _parts_alike(led, classes).groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
+    return _alike(best, classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The s of members(s, root) that have several roots."""
+    return members.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("s")
 
 
 def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) -> DataFrame:
@@ -244,19 +321,20 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
     """
     known = connected_components(found)
     own = Window.partitionBy("s")
-    rows = _prefixes(docs, n).repartition("s").dropDuplicates(["s", "node"])
+    rows = _places(_prefixes(docs, n).repartition("s").dropDuplicates(["s", "node"]))
     rows = rows.withColumns({"members": F.count(F.lit(1)).over(own), "least": F.min(F.struct("node", "n", "pos")).over(own)})
     rows = materialise(rows.filter("members > 1").drop("members"), "shared-shingles")
     others = rows.filter(F.col("node") != F.col("least.node"))
-    star = others.select(F.col("least.node").alias("u"), F.col("node").alias("v"), _may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")).alias("may"))
-    star = materialise(_apart(star.groupBy("u", "v").agg(F.max("may").alias("may")), known), "stars")
-    links = _verified(_alike(star.filter("may and not joined").select("u", "v"), classes).select("u", "v"), docs, classes)
+    star = others.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")))
+    star = star.select(F.col("least.node").alias("u"), F.col("node").alias("v"), "level", "part", F.col("least.n").alias("n_u"), F.col("n").alias("n_v")).distinct()
+    star = materialise(_apart(star, known).filter("not joined").drop("joined"), "stars")
+    star = materialise(_parts_alike(star, classes).select("u", "v").distinct(), "alike-stars")
+    links = _verified(_alike(star, classes).select("u", "v"), docs, classes)
     roots = connected_components(found.union(links))
     root_of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
     others = others.withColumn("first", F.col("least.node")).join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
-    others = materialise(others.select("s", "node", "n", "pos", "first", F.coalesce("root", "node").alias("root"), F.coalesce("first_root", "first").alias("first_root")), "other-members")
-    open_ = others.filter("root <> first_root").select("s").distinct()
-    others = materialise(others.join(open_, "s", "left_semi").drop("root", "first_root"), "open-members")
+    others = materialise(others.select("s", "node", "n", "pos", "level", "part", "first", F.coalesce("root", "node").alias("root")), "other-members")
+    others = materialise(others.join(_open(others), "s", "left_semi").drop("root"), "open-members")
     for turn in range(ROUNDS):
         rows = others.join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
         tried = materialise(_leaders(rows, classes, turn), "leaders")
@@ -266,14 +344,17 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
         if 2 * more.count() <= tried.count():
             break
     members = others.join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
-    members = members.withColumns({"root": F.coalesce("root", "node"), "first_root": F.coalesce("first_root", "first")})
-    members = members.join(members.filter("root <> first_root").select("s").distinct(), "s", "left_semi").join(classes.select("node", "odd"), "node")
-    rest = members.filter("root <> first_root").drop("first", "first_root")
+    members = members.withColumns({"root": F.coalesce("root", "node"), "first_root": F.coalesce("first_root", "first")}).drop("first")
+    members = materialise(members.join(_open(members), "s", "left_semi"), "last-members")
+    odds = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "odd")
+    members = members.join(odds, "node").withColumn("odd", _part_parities(F.col("odd"), F.col("level"), F.col("part"))).drop("level", "part")
+    rest = members.filter("root <> first_root")
     mates = members.select(F.col("s").alias("mate_s"), F.col("node").alias("mate"), F.col("n").alias("mate_n"), F.col("pos").alias("mate_pos"), F.col("root").alias("mate_root"), F.col("odd").alias("mate_odd"))
+    once = (F.col("root") < F.col("mate_root")) | (F.col("mate_root") == F.col("first_root")) & (F.col("root") != F.col("mate_root"))
     close = _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos")) & _may_share(F.col("n"), F.col("mate_n"), _apart_bits("odd", "mate_odd"))
-    pairs = rest.join(mates, (F.col("s") == F.col("mate_s")) & (F.col("root") != F.col("mate_root")) & close)
-    pairs = pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v"))
-    return links.union(_verified(pairs, docs, classes))
+    pairs = rest.join(mates, (F.col("s") == F.col("mate_s")) & once & close)
+    pairs = materialise(pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v")).distinct(), "last-pairs")
+    return links.union(_verified(_alike(pairs, classes).select("u", "v"), docs, classes))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -284,7 +365,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     with steps():
         rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-        own = _rows(rows, ["doc_id", "h"], "node long, fp long, n long, odd array<long>", lambda: lambda w: (node_of(w), fingerprint(w), len(s := shingles(w)), parities(s)))
+        own = _rows(rows, ["doc_id", "h"], "node long, fp long, n long, odd array<long>", lambda: lambda w: (node_of(w), fingerprint(w), len(s := shingles(w)), parities(s, parts_of(len(s)))))
         best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")
         classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
         n = classes.count()

@@ -70,3 +70,42 @@ def test_a_group_of_near_copies_costs_its_size(spark, monkeypatch):
     kept = N.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(slow(rows)))
     assert sum(compared) <= 8 * len(rows), compared
+
+
+def test_near_copies_share_a_key_of_a_part_that_its_parities_allow():
+    rng = np.random.default_rng(7)
+    for n, m in [(300, 260), (511, 513), (520, 500), (639, 512), (640, 800), (1024, 1000), (1100, 1020), (1300, 1040), (5000, 4300), (4, 5)]:
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        shared = -(-4 * (n + m) // 9)  # just 0.8 of the union
+        y = np.unique(np.concatenate([rng.permutation(x)[:shared], rng.integers(0, 2**64, m - shared, dtype=np.uint64)]))
+        rows = []
+        for own in (x, y):
+            key, size, _, level, part = N.prefixes(own, (own % np.uint64(3)).astype(np.int64))
+            rows.append({int(k): (int(s), int(l), int(p)) for k, s, l, p in zip(key, size, level, part)})
+
+        def odd(own, level, part):
+            return N.parities(own, level).reshape(level, -1)[part].view(np.uint64)
+
+        def allowed(key):
+            (s, level, part), (t, *other) = rows[0][key], rows[1][key]
+            assert [level, part] == other
+            return 9 * int(np.bitwise_count(odd(x, level, part) ^ odd(y, level, part)).sum()) <= s + t
+
+        assert any(allowed(k) for k in rows[0].keys() & rows[1].keys()), (n, m)
+
+
+def test_long_texts_that_share_less_are_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(N, "COMMON", 10**9)  # as for shingles that the counted texts lack
+    rng = random.Random(11)
+    base, rows = [f"w{i}" for i in range(2000)], []
+    for k in range(60):
+        t = list(base)
+        for i in rng.sample(range(2000), 120):
+            t[i] = f"x{k}"
+        rows.append(" ".join(t))
+    rows += [t.replace("w7 ", "z ", 1) for t in rows[:5]]
+    compared, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a: (compared.append(pairs.distinct().count()), verified(pairs, *a))[1])
+    kept = N.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(slow(rows))) and len(kept) == 60
+    assert sum(compared) <= 2 * len(rows), compared
