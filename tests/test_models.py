@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,18 @@ def test_als_lets_go_of_each_iterations_shuffles(spark, monkeypatch):
     monkeypatch.setattr(factors, "ALS", lambda **kw: made.append(als(**kw)) or made[-1])
     factors.fit(spark.createDataFrame([(u, i, float(1 + (u * i) % 5)) for u in range(6) for i in range(5)], "user_id long, item_id long, rating double"), factors.Config(factors=2, iterations=3))
     assert made[0].getCheckpointInterval() == 1 and spark.sparkContext.getCheckpointDir()
+
+
+def test_ranked_leaves_out_history_inside_and_beyond_the_pool():
+    rng = np.random.default_rng(4)
+    ids, q = np.arange(10, 510, 5), rng.normal(size=(100, 3))
+    history = [None, [], [10, 505], [0, 7, 12, 505, 506, 10**12], ids.tolist(), ids[3:].tolist()]
+    users = [(u, [0.5, -1.0, float(u)], 0.0, own) for u, own in enumerate(history)]
+    score = lambda v, b, q, c: v @ q.T
+    found = factors._ranked(users, (ids, q, np.zeros(100)), 7, score)
+    wanted = []
+    for u, v, _, own in users:
+        left = sorted((-round(float(s), 6), int(i)) for i, s in zip(ids, q @ np.array(v)) if int(i) not in set(own or []))[:7]
+        wanted += [(u, i, -s, rank) for rank, (s, i) in enumerate(left, 1)]
+    assert [(u, i, r) for u, i, _, r in found] == [(u, i, r) for u, i, _, r in wanted]
+    assert np.allclose([x[2] for x in found], [x[2] for x in wanted])
