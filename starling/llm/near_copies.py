@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -29,6 +29,10 @@ LEAST = (4, 5)
 ORDER_ROWS = 20_000
 MOST_COMMON = 200_000
 COMMON = 8
+#: Buckets at least that keys are dealt into, and texts whose prefixes a bucket holds; a task sorts one bucket at a time.
+BUCKETS, TEXTS_IN_BUCKET = 256, 1_000
+#: Rows of a bucket that leave Python together.
+ROWS_OUT = 1 << 15
 #: A text of 2 * PART shingles or more is dealt into a power of two of parts by its shingles' hashes, of PART to 2 * PART each on average.
 PART = 256
 #: Longs of the parities of a part's shingles, which bound how many of them two texts do not share.
@@ -159,12 +163,63 @@ def _rows(docs: DataFrame, keep: list[str], schema: str, maker) -> DataFrame:
     return map_batches(rows, run, full)
 
 
+def _dealt(docs: DataFrame, buckets: int, maker) -> DataFrame:
+    """(bucket, rows): what a task's make = maker() gives for the words of each text, an array of longs whose rows begin with a key.
+
+    Rows are dealt by their keys and leave as bytes, a batch's of a bucket together: as rows of Spark's, a text's hundreds of
+    shingles take several times the memory and the disk of the text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
+        for batch in batches:
+            found = [x for t in batch.column(0) if len(x := make(words_of(t.as_py())))]
+            if found:
+                rows = np.concatenate(found)
+                bucket = (rows[:, 0].astype(np.uint64) >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                own, starts = np.unique(bucket[order], return_index=True)
+                blobs = [x.tobytes() for x in np.split(rows[order], starts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(blobs, pa.binary())], names=["bucket", "rows"])
+
+    return map_batches(docs.select("text"), run, "bucket long, rows binary")
+
+
+def _by_bucket(dealt: DataFrame, width: int, schema: str, work) -> DataFrame:
+    """The columns that work(rows) makes of all rows of each bucket of _dealt(), rows of so many longs."""
+    full = to_arrow_schema(StructType.fromDDL(schema))
+
+    def whole(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        columns = work(np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, width))
+        made = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=full.names)
+        yield from (made.slice(k, ROWS_OUT) for k in range(0, len(made), ROWS_OUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for bucket, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if held and bucket != at:
+                    yield from whole(held)
+                    held = []
+                at = bucket
+                held.append(rows.as_py())
+        if held:
+            yield from whole(held)
+
+    return map_batches(dealt.repartition("bucket").sortWithinPartitions("bucket"), run, schema)
+
+
 def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that are common among some ORDER_ROWS rows of docs, sorted, and their counts."""
-    every = max(1, n // ORDER_ROWS)
+    every, least = max(1, n // ORDER_ROWS), COMMON
     some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counted = _rows(some, [], "s array<long>", lambda: lambda w: (shingles(w).view(np.int64),)).select(F.explode("s").alias("s")).groupBy("s").count()
-    found = counted.filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()  # at most MOST_COMMON
+
+    def often(rows: np.ndarray):
+        s, count = np.unique(rows, return_counts=True)
+        return s[count >= least], count[count >= least]
+
+    counted = _by_bucket(_dealt(some, BUCKETS, lambda: lambda w: shingles(w).view(np.int64)[:, None]), 1, "s long, count long", often)
+    found = counted.orderBy(F.desc("count"), "s").limit(MOST_COMMON).toArrow()  # at most MOST_COMMON
     s, c = found.column("s").to_numpy().view(np.uint64), found.column("count").to_numpy()
     order = np.argsort(s)
     return s[order], c[order]
@@ -176,8 +231,29 @@ def packed(n: np.ndarray, pos: np.ndarray, level: np.ndarray, part: np.ndarray)
     return n | pos << 16 | np.log2(level).astype(np.int64) << 32 | part << 37
 
 
-def _prefixes(docs: DataFrame, n: int) -> DataFrame:
-    """(s, node, at): prefixes() of each node in an order that all share, the rare shingles first, and their packed() places."""
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The (n, pos, level, part) that packed() made `at` of."""
+    return tuple(x.astype(np.int32) for x in (at & 0xFFFF, at >> 16 & 0xFFFF, 1 << (at >> 32 & 0x1F), at >> 37))
+
+
+def shared_members(rows: np.ndarray) -> tuple:
+    """Of rows (s, node, packed place), the columns of _shared(): each s that several nodes have, with each of its nodes once."""
+    s, node, at = rows[np.lexsort((rows[:, 1], rows[:, 0]))].T
+    other = np.append(True, s[1:] != s[:-1])
+    once = other | np.append(True, node[1:] != node[:-1])
+    s, node, at, starts = s[once], node[once], at[once], np.flatnonzero(other[once])
+    count = np.diff(np.append(starts, len(s)))
+    first, several = np.repeat(starts, count), np.repeat(count > 1, count)
+    first, (n, pos, level, part) = first[several], unpacked(at)
+    least = pa.StructArray.from_arrays([pa.array(x[first]) for x in (node, n, pos)], ["node", "n", "pos"])
+    return *(x[several] for x in (s, node, n, pos, level, part)), least
+
+
+def _shared(docs: DataFrame, n: int) -> DataFrame:
+    """(s, node, n, pos, level, part, least): prefixes() of each node, in an order that all share, the rare shingles first.
+
+    Only shingles s of several nodes are left; `least` has the node, n and pos of the smallest of these.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(_common(docs, n))
 
     def maker():
@@ -186,7 +262,7 @@ def _prefixes(docs: DataFrame, n: int) -> DataFrame:
         def make(words: list[bytes]):
             node = node_of(words)
             if node in seen or not words:
-                return node, [], []
+                return ()
             if len(seen) >= REMEMBERED:
                 seen.clear()
             seen.add(node)
@@ -195,18 +271,12 @@ def _prefixes(docs: DataFrame, n: int) -> DataFrame:
             at[at == len(known)] = 0
             weight = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(len(own), dtype=np.int64)
             key, *places = prefixes(own, weight)
-            return node, key, packed(*places)
+            return np.stack([key, np.full(len(key), node), packed(*places)], axis=1)
 
         return make
 
-    rows = _rows(docs, [], "node long, s array<long>, at array<long>", maker)
-    return rows.select("node", F.inline(F.arrays_zip("s", "at"))).select("s", "node", "at")
-
-
-def _places(rows: DataFrame) -> DataFrame:
-    """rows with the (n, pos, level, part) that packed() made `at` of."""
-    bits = lambda low, n: F.shiftright("at", low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    return rows.withColumns({"n": bits(0, 16), "pos": bits(16, 16), "level": F.pow(F.lit(2), bits(32, 5)).cast("int"), "part": bits(37, 26)}).drop("at")
+    dealt = _dealt(docs, max(BUCKETS, n // TEXTS_IN_BUCKET), maker)
+    return _by_bucket(dealt, 3, "s long, node long, n int, pos int, level int, part int, least struct<node: long, n: int, pos: int>", shared_members)
 
 
 def _may_be_close(n: Column, pos: Column, m: Column, at: Column) -> Column:
@@ -320,10 +390,7 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
     so costs its size; no pair is left out but those whose ends are joined already or whose sizes, places or parities rule it out.
     """
     known = connected_components(found)
-    own = Window.partitionBy("s")
-    rows = _places(_prefixes(docs, n).repartition("s").dropDuplicates(["s", "node"]))
-    rows = rows.withColumns({"members": F.count(F.lit(1)).over(own), "least": F.min(F.struct("node", "n", "pos")).over(own)})
-    rows = materialise(rows.filter("members > 1").drop("members"), "shared-shingles")
+    rows = materialise(_shared(docs, n), "shared-shingles")
     others = rows.filter(F.col("node") != F.col("least.node"))
     star = others.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")))
     star = star.select(F.col("least.node").alias("u"), F.col("node").alias("v"), "level", "part", F.col("least.n").alias("n_u"), F.col("n").alias("n_v")).distinct()

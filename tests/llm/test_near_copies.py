@@ -109,3 +109,21 @@ def test_long_texts_that_share_less_are_not_compared(spark, monkeypatch):
     kept = N.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(slow(rows))) and len(kept) == 60
     assert sum(compared) <= 2 * len(rows), compared
+
+
+def test_shingles_are_shuffled_in_bulk(spark):
+    rng = random.Random(13)
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(300)]
+    rows += [t.replace(" ", " z ", 1) for t in rows[:50]]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    sc = spark.sparkContext
+    sc.setJobGroup("bulk", "near copies")
+    kept = N.one_of_each(docs).count()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, tracker, written = sc._jsc.sc().statusStore(), sc.statusTracker(), 0
+    for job in tracker.getJobIdsForGroup("bulk"):
+        for stage in tracker.getJobInfo(job).stageIds:
+            written += store.lastStageAttempt(stage).shuffleWriteRecords()
+    assert kept == 300
+    assert 0 < written < 30_000, written  # the texts have 138,650 shingles
