@@ -7,17 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import materialise, outlive, steps
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """links(u, v) -> (node, root): root is the smallest node of node's component.
 
     Each round takes the least root among a node's neighbours, then the root's own root, so the
     rounds grow with the logarithm of the longest path. All sums are partial minima; each round
     is written to the shared folder, which cuts the lineage and lets skewed joins be split, and the
-    round before it is deleted. Null ends and loops are left out; an empty table gives an empty table.
+    round before it is deleted. `rows` is a bound on the links, where one is known. Null ends and loops are left out; an empty table gives an empty table.
     """
     both = links.filter("u is not null and v is not null and u <> v").select("u", "v")
     with steps():
-        edges = materialise(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+        edges = materialise(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges", None if rows is None else 2 * rows)
         n = edges.count()
         labels = materialise(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")), "labels", n)
         while True:

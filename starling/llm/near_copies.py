@@ -42,6 +42,8 @@ PARITIES = 16
 ROUNDS = 4
 #: Texts to verify up to which their hashes, 8 bytes each, are broadcast, so that other texts are not shuffled; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: A text that is looked at counts as so many rows where rows are dealt into files.
+TEXTS = 8
 #: Texts that a task remembers to have seen, words whose hashes it remembers, and texts whose shingles it holds.
 REMEMBERED, KNOWN_WORDS, HELD = 200_000, 50_000, 4
 
@@ -315,14 +317,15 @@ def _may_share(n: Column, m: Column, apart: Column) -> Column:
     return (a + b) * apart <= (b - a) * (n + m)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose shingles are similar enough; classes(node, h) has the hash of a text of each node."""
-    pairs = materialise(pairs.distinct(), "pairs")
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, rows: int | None = None) -> DataFrame:
+    """Those of pairs(u, v), at most so many rows, whose shingles are similar enough; classes(node, h) has the hash of a text of each node."""
+    pairs = materialise(pairs.distinct(), "pairs", rows)
+    n = pairs.count()
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = materialise(classes.select("node", "h").join(wanted, "node", "left_semi"), "wanted")
     texts, keys = docs.select(F.xxhash64("text").alias("h"), F.col("text").alias("t")), wanted.select("h")
     texts = texts.join(F.broadcast(keys) if wanted.count() <= BROADCAST_ROWS else keys, "h", "left_semi")
-    texts = materialise(texts.dropDuplicates(["h"]).join(wanted, "h").select("node", "t"), "pair-texts")
+    texts = materialise(texts.dropDuplicates(["h"]).join(wanted, "h").select("node", "t"), "pair-texts", 2 * n * TEXTS)
     side = lambda x: texts.select(F.col("node").alias(x), F.col("t").alias(f"text_{x}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
 
@@ -332,12 +335,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
             close = [close_sets(sets(x), sets(y)) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["u", "v"]).filter(pa.array(close, pa.bool_()))
 
-    return materialise(map_batches(both, run, "u long, v long"), "close-pairs")
+    return materialise(map_batches(both, run, "u long, v long"), "close-pairs", n * TEXTS)
 
 
-def by_simhash(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def by_simhash(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
     """links(u, v) of nodes that are near copies and whose fingerprints differ in a few bits: enough to join most copies, not all."""
-    firsts = materialise(classes.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    firsts = materialise(classes.groupBy("fp").agg(F.min("node").alias("first")), "firsts", n)
     equal = classes.join(firsts, "fp").filter("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     one = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"n{x}"))
     close = close_pairs(firsts.select("fp")).join(one("u"), "u").join(one("v"), "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
@@ -377,6 +380,11 @@ def _leaders(rows: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
     return _alike(best, classes).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """connected_components() of links that are written and so are quickly counted."""
+    return connected_components(links, links.count())
+
+
 def _open(members: DataFrame) -> DataFrame:
     """The s of members(s, root) that have several roots."""
     return members.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most").select("s")
@@ -389,30 +397,33 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
     other members, one each in a round. Only what is left is held against all members of other components. A group of near copies
     so costs its size; no pair is left out but those whose ends are joined already or whose sizes, places or parities rule it out.
     """
-    known = connected_components(found)
+    known = _components(found)
     rows = materialise(_shared(docs, n), "shared-shingles")
+    count = rows.count()
     others = rows.filter(F.col("node") != F.col("least.node"))
     star = others.filter(_may_be_close(F.col("n"), F.col("pos"), F.col("least.n"), F.col("least.pos")))
     star = star.select(F.col("least.node").alias("u"), F.col("node").alias("v"), "level", "part", F.col("least.n").alias("n_u"), F.col("n").alias("n_v")).distinct()
-    star = materialise(_apart(star, known).filter("not joined").drop("joined"), "stars")
-    star = materialise(_parts_alike(star, classes).select("u", "v").distinct(), "alike-stars")
-    links = _verified(_alike(star, classes).select("u", "v"), docs, classes)
-    roots = connected_components(found.union(links))
+    star = materialise(_apart(star, known).filter("not joined").drop("joined"), "stars", count)
+    star = materialise(_parts_alike(star, classes).select("u", "v").distinct(), "alike-stars", star.count())
+    links = _verified(_alike(star, classes).select("u", "v"), docs, classes, star.count())
+    roots = _components(found.union(links))
     root_of = lambda node, name: roots.select(F.col("node").alias(node), F.col("root").alias(name))
     others = others.withColumn("first", F.col("least.node")).join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
     others = materialise(others.select("s", "node", "n", "pos", "level", "part", "first", F.coalesce("root", "node").alias("root")), "other-members")
-    others = materialise(others.join(_open(others), "s", "left_semi").drop("root"), "open-members")
+    others = materialise(others.join(_open(others), "s", "left_semi").drop("root"), "open-members", count)
+    count = others.count()
     for turn in range(ROUNDS):
         rows = others.join(root_of("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        tried = materialise(_leaders(rows, classes, turn), "leaders")
-        more = _verified(tried, docs, classes)
+        tried = materialise(_leaders(rows, classes, turn), "leaders", n)
+        most = tried.count()
+        more = _verified(tried, docs, classes, most)
         links = links.union(more)
-        roots = connected_components(found.union(links))
-        if 2 * more.count() <= tried.count():
+        roots = _components(found.union(links))
+        if 2 * more.count() <= most:
             break
     members = others.join(root_of("node", "root"), "node", "left").join(root_of("first", "first_root"), "first", "left")
     members = members.withColumns({"root": F.coalesce("root", "node"), "first_root": F.coalesce("first_root", "first")}).drop("first")
-    members = materialise(members.join(_open(members), "s", "left_semi"), "last-members")
+    members = materialise(members.join(_open(members), "s", "left_semi"), "last-members", count)
     odds = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "odd")
     members = members.join(odds, "node").withColumn("odd", _part_parities(F.col("odd"), F.col("level"), F.col("part"))).drop("level", "part")
     rest = members.filter("root <> first_root")
@@ -421,7 +432,7 @@ def by_prefix(docs: DataFrame, classes: DataFrame, n: int, found: DataFrame) ->
     close = _may_be_close(F.col("n"), F.col("pos"), F.col("mate_n"), F.col("mate_pos")) & _may_share(F.col("n"), F.col("mate_n"), _apart_bits("odd", "mate_odd"))
     pairs = rest.join(mates, (F.col("s") == F.col("mate_s")) & once & close)
     pairs = materialise(pairs.select(F.least("node", "mate").alias("u"), F.greatest("node", "mate").alias("v")).distinct(), "last-pairs")
-    return links.union(_verified(_alike(pairs, classes).select("u", "v"), docs, classes))
+    return links.union(_verified(_alike(pairs, classes).select("u", "v"), docs, classes, pairs.count()))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -436,8 +447,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("best")
         classes = materialise(own.groupBy("node").agg(best, F.min("h").alias("h"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("odd").alias("odd")), "classes")
         n = classes.count()
-        first = by_simhash(docs, classes)
-        roots = connected_components(first.union(by_prefix(docs, classes, n, first)))
+        first = by_simhash(docs, classes, n)
+        roots = _components(first.union(by_prefix(docs, classes, n, first)))
         linked = classes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best"))
-        chosen = outlive(linked.select("best.doc_id", "best.h"), "chosen")
+        chosen = outlive(linked.select("best.doc_id", "best.h"), "chosen", n)
     return one_row_each(docs, chosen)

@@ -127,3 +127,25 @@ def test_shingles_are_shuffled_in_bulk(spark):
             written += store.lastStageAttempt(stage).shuffleWriteRecords()
     assert kept == 300
     assert 0 < written < 30_000, written  # the texts have 138,650 shingles
+
+
+def test_steps_of_few_rows_are_few_files(spark, monkeypatch, tmp_path):
+    from starling.llm import _common
+
+    monkeypatch.setattr(_common, "shared_dir", lambda spark: str(tmp_path))
+    monkeypatch.setattr(_common, "_delete", lambda paths: None)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "31"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        assert N.one_of_each(spark.createDataFrame(list(enumerate(texts())), "doc_id long, text string")).count() > 3
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files = {}
+    for part in tmp_path.glob("*/part-*"):
+        name = part.parent.name.rsplit("-", 1)[0]
+        files[name] = files.get(name, 0) + 1
+    steps = len(list(tmp_path.iterdir()))
+    assert sum(files.values()) <= 4 * steps, (steps, sum(files.values()), files)
