@@ -216,3 +216,31 @@ def test_ranked_leaves_out_history_inside_and_beyond_the_pool():
         wanted += [(u, i, -s, rank) for rank, (s, i) in enumerate(left, 1)]
     assert [(u, i, r) for u, i, _, r in found] == [(u, i, r) for u, i, _, r in wanted]
     assert np.allclose([x[2] for x in found], [x[2] for x in wanted])
+
+
+def test_ranked_in_blocks_keeps_ties_by_id(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, q, c = np.arange(3, 903, 3), np.round(rng.normal(size=(300, 4)), 1), np.round(rng.normal(size=300), 1)
+    users = [(f"u{u}", None if u == 3 else np.round(rng.normal(size=4), 1).tolist(), None if u % 2 else 1.0, rng.choice(ids, 40).tolist() if u % 3 else None) for u in range(20)]
+    score = lambda v, b, q, c: np.where((s := np.clip(b[:, None] + c + v @ q.T, 0.0, 1.0)) == 0.5, -np.inf, s)
+    whole = score(np.array([x[1] or [0.0] * 4 for x in users]), np.array([x[2] or 0.0 for x in users]), q, c)
+    for n in (1, 9, 290, 400):
+        wanted = []
+        for (user, *_, own), row in zip(users, whole):
+            left = sorted((-round(float(s), 6), int(i)) for i, s in zip(ids, row) if int(i) not in set(own or []) and s > -np.inf)[:n]
+            wanted += [(user, i, -s, rank) for rank, (s, i) in enumerate(left, 1)]
+        for size in (7, 64, 2048):
+            monkeypatch.setattr(factors, "ITEMS_IN_BLOCK", size)
+            assert factors._ranked(users, (ids, q, c), n, score) == wanted
+
+
+def test_only_bests_of_large_parts_are_merged(spark, monkeypatch):
+    """A pool of three parts gives each user at most three times n rows to merge, however many blocks the items have."""
+    merged = []
+    monkeypatch.setattr(factors, "top", lambda df, *a: merged.append(df.count()) or df)
+    for name, size in (("MOST_CANDIDATES", 100), ("ITEMS_IN_BLOCK", 8), ("USERS_IN_BLOCK", 4)):
+        monkeypatch.setattr(factors, name, size)
+    rows = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.col("id") / 300).alias("q"), F.lit(None).cast("double").alias("bias"))
+    users = spark.range(20).select(F.col("id").alias("user_id"), F.array(F.lit(1.0)).alias("v"), F.lit(0.0).alias("bias"))
+    factors.best_items(users, rows, spark.createDataFrame([(1, 299)], "user_id long, item_id long"), 5, lambda v, b, q, c: v @ q.T, "value")
+    assert merged == [20 * 3 * 5]
