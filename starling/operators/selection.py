@@ -5,11 +5,14 @@ They are sequential, so each session's few hundred candidates go through one Arr
 
 from __future__ import annotations
 
+import json
 from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.numeric import top
 
@@ -94,41 +97,58 @@ def blend(candidates: DataFrame, profile_genres: DataFrame, n: int) -> DataFrame
     liked = profile_genres.filter("rank <= 5").groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("genre", "rank"))).alias("liked"))
     rows = ranked.join(liked, "session_id", "left").select("session_id", "item_id", "bucket", F.col("value").cast("double").alias("value"), _list("genres"), _list("tags"), "n", F.to_json("liked").alias("liked"))
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        import json
-
-        liked = json.loads(group["liked"].iloc[0]) if isinstance(group["liked"].iloc[0], str) else {}
-        rows = group.sort_values(["bucket", "n"]).to_dict("records")
-        target = targets(n, any(r["bucket"] == "collaborative" for r in rows))
-        cap, genres, tags, counts, out = max(2, ceil(0.5 * n)), {}, {}, dict.fromkeys(target, 0), []
-
-        def gain(r):
-            own, (under, over) = list(r["genres"])[:3], BUCKET_POINTS[r["bucket"]]
-            score = r["value"] + (under if counts[r["bucket"]] < target[r["bucket"]] else over) + (8 if any(g not in genres for g in own) else 0)
-            score += max([10 - liked[g] for g in r["genres"] if g in liked and g not in genres], default=0)
-            return score - 8 * sum(genres.get(g, 0) for g in own) - 42 * sum(genres.get(g, 0) >= cap for g in own) - 1.4 * sum(tags.get(t, 0) for t in list(r["tags"])[:10])
-
-        def take(pool):
-            chosen = max(pool[:BLEND_WINDOW], key=lambda r: (gain(r), -r["n"]))
-            rows.remove(chosen)
-            counts[chosen["bucket"]] += 1
-            for g in chosen["genres"]:
-                genres[g] = genres.get(g, 0) + 1
-            for t in list(chosen["tags"])[:12]:
-                tags[t] = tags.get(t, 0) + 1
-            out.append((chosen["session_id"], chosen["item_id"], chosen["bucket"], chosen["value"], len(out) + 1))
-            for r in [r for r in rows if r["item_id"] == chosen["item_id"]]:
-                rows.remove(r)
-
-        for bucket in ("collaborative", "interest", "explore"):
-            while counts[bucket] < target[bucket] and len(out) < n and (pool := [r for r in rows if r["bucket"] == bucket]):
-                take(pool)
-        while rows and len(out) < n:
-            take(rows)
-        return pd.DataFrame(out, columns=["session_id", "item_id", "bucket", "value", "position"])
+    kind = candidates.schema["session_id"].dataType
 
-    kind = candidates.schema["session_id"].dataType.simpleString()
-    return rows.groupBy("session_id").applyInPandas(choose, f"session_id {kind}, item_id long, bucket string, value double, position int")
+    def choose(group: pa.Table) -> pa.Table:
+        liked = group.column("liked")[0].as_py()
+        columns = (group.column(c).to_pylist() for c in ("bucket", "n", "item_id", "value", "genres", "tags"))
+        found = _by_quota(sorted(zip(*columns), key=lambda r: r[:2]), json.loads(liked) if liked else {}, n)
+        types = {"session_id": to_arrow_type(kind), "item_id": pa.int64(), "bucket": pa.string(), "value": pa.float64(), "position": pa.int32()}
+        first = group.column("session_id")[0].as_py()
+        values = [[first] * len(found), [r[2] for r in found], [r[0] for r in found], [r[3] for r in found], range(1, len(found) + 1)]
+        return pa.table({c: pa.array(list(x), t) for (c, t), x in zip(types.items(), values)})
+
+    return rows.groupBy("session_id").applyInArrow(choose, f"session_id {kind.simpleString()}, item_id long, bucket string, value double, position int")
+
+
+def _by_quota(rows: list[tuple], liked: dict[str, int], n: int) -> list[tuple]:
+    """The chosen of rows(bucket, n, item_id, value, genres, tags), which are in the order of bucket and n.
+
+    Rows of one bucket, genres and tags have the same points besides their value, so only the first that is left of each is looked at.
+    """
+    rows = [(*r, (r[0], tuple(r[4]), tuple(r[5]))) for r in rows]
+    own = {bucket: [r for r in rows if r[0] == bucket] for bucket in BUCKET_POINTS}
+    target = targets(n, bool(own["collaborative"]))
+    cap, genres, tags, counts, gone, out = max(2, ceil(0.5 * n)), {}, {}, dict.fromkeys(target, 0), set(), []
+
+    def gain(r):
+        first, (under, over) = r[4][:3], BUCKET_POINTS[r[0]]
+        score = r[3] + (under if counts[r[0]] < target[r[0]] else over) + (8 if any(g not in genres for g in first) else 0)
+        score += max([10 - liked[g] for g in r[4] if g in liked and g not in genres], default=0)
+        return score - 8 * sum(genres.get(g, 0) for g in first) - 42 * sum(genres.get(g, 0) >= cap for g in first) - 1.4 * sum(tags.get(t, 0) for t in r[5][:10])
+
+    def take(pool) -> bool:
+        heads = {}
+        for r in [r for r in pool if r[2] not in gone][:BLEND_WINDOW]:
+            heads.setdefault(r[6], r)
+        if not heads:
+            return False
+        chosen = max(heads.values(), key=lambda r: (gain(r), -r[1]))
+        counts[chosen[0]] += 1
+        for g in chosen[4]:
+            genres[g] = genres.get(g, 0) + 1
+        for t in chosen[5][:12]:
+            tags[t] = tags.get(t, 0) + 1
+        gone.add(chosen[2])
+        out.append(chosen)
+        return True
+
+    for bucket in ("collaborative", "interest", "explore"):
+        while counts[bucket] < target[bucket] and len(out) < n and take(own[bucket]):
+            pass
+    while len(out) < n and take(rows):
+        pass
+    return out
 
 
 def interleave(chosen: DataFrame) -> DataFrame:

@@ -154,3 +154,15 @@ def test_bests_in_blocks_are_those_of_all_pairs(monkeypatch):
             for r in out.to_pylist():
                 found[r["session_id"], r["bucket"]].append((-round(r["value"], 8), r["item_id"]))
         assert {k: sorted(l) for k, l in found.items()} == wanted
+
+
+def test_only_the_first_of_equal_candidates_is_looked_at():
+    looked = []
+
+    class Value(float):
+        def __add__(self, other):
+            looked.append(self)
+            return float(self) + other
+
+    rows = [("interest", k + 1, k, Value(100 - k / 10), ["a", "b"], ["t"]) for k in range(150)] + [("interest", 151, 500, Value(84.0), ["c"], [])]
+    assert [r[2] for r in L._by_quota(rows, {"c": 1}, 3)] == [0, 500, 1] and len(looked) <= 6
